@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import ngram_join
+from tessella.llm import mixing, ngram_join, oracles, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,25 +19,30 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word windows that an earlier document has."""
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+    found = (op1_ngram_jaccard_join, op3_url_filter, op5_source_mixing, op10_substring_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": OP1_SQL}
-
-
-OP1_SQL = r"""
-WITH RECURSIVE
-words AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-zA-Z\x{80}-\x{10FFFF}]+') AS w FROM documents),
-grams AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i : least(i + 4, len(w))], ' ') AS g
-  FROM words, LATERAL unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS t(i)),
-sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
-shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-links AS (SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 9 * c >= 4 * (s.n + t.n)),
-reach(doc_id, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.at)
-SELECT d.doc_id, (SELECT min(at) FROM reach r WHERE r.doc_id = d.doc_id) AS class_id,
-       (SELECT count(*) FROM links l WHERE l.x = d.doc_id) AS n_links
-FROM documents d
-"""
+    return {
+        "op1_ngram_jaccard_join": oracles.OP1,
+        "op3_url_filter": oracles.op3(),
+        "op5_source_mixing": oracles.OP5,
+        "op10_substring_dedup": oracles.OP10,
+    }
