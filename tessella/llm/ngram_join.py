@@ -224,9 +224,17 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
         .agg(F.min("bucket").alias("bucket"))
     )
     member = materialize(in_bucket.join(buckets.select("bucket", "n", "weight", "head"), "bucket").select("bucket", "f1", "f2", "n_grams", "n", "weight", "head"))
-    groups = connected_components(member.select(F.col("f1").alias("u"), F.col("head").alias("v")))
+    per_class = member.groupBy("f1", "f2", "n_grams").agg(  # one bucket per band at most
+        F.sort_array(F.collect_list("bucket")).alias("buckets"), F.sort_array(F.collect_set("head")).alias("heads")
+    )
+    per_class = materialize(per_class)
+    # a class is tied to its least head, and its heads to each other, which are few different pairs in a large group
+    to_head = per_class.select(F.col("f1").alias("u"), F.element_at("heads", 1).alias("v"))
+    pairs = F.arrays_zip(F.col("heads").alias("u"), F.slice("heads", F.lit(2), F.size("heads")).alias("v"))
+    between = per_class.where("size(heads) > 1").select(F.inline(pairs)).where("v IS NOT NULL").distinct()
+    groups = connected_components(to_head.union(between))
     candidates = (
-        member.groupBy("f1", "f2", "n_grams").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))  # one per band at most
+        per_class.drop("heads")
         .join(groups.select(F.col("node").alias("f1"), F.col("label").alias("group")), "f1")
         .join(classes.select("f1", "f2", "rep", "copies"), ["f1", "f2"])
     )
