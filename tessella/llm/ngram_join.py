@@ -243,7 +243,8 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
     candidates = candidates.join(sizes, "group").withColumn("whole", (F.col("size") <= UNIT_DOCS) & (F.col("total") <= UNIT_GRAMS))
     texts = candidates.select("f1", "f2", F.col("rep"))
     grams = (
-        narrow.select("doc_id", "text").join(texts, F.col("doc_id").eqNullSafe(F.col("rep")))
+        narrow.select("doc_id", "text")
+        .join(texts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")))  # the candidates grow with the corpus: never broadcast
         .select("text", "f1", "f2")
         .mapInArrow(_gram_rows, "f1 long, f2 long, grams binary")
     )
