@@ -314,11 +314,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         .groupBy("doc_id", "text_hash").agg(F.max("hits").alias("hits"))  # of repeated rows, that have equal hits
     )
     starts = (
-        words.join(hits, ["doc_id", "text_hash"])
+        known.join(hits.hint("merge"), ["doc_id", "text_hash"])
         .mapInArrow(_window_packer(window, n_buckets), _PACKED_SQL)
         .groupBy("key").applyInArrow(_least, _FOUND_SQL)
         .groupBy("slice").applyInArrow(_resolve_windows, "doc_id long, text_hash long, starts binary")
         .groupBy("doc_id", "text_hash").agg(F.max("starts").alias("starts"))
     )
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return words.join(starts, ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts").mapInArrow(_finisher(window, with_text), schema)
+    # both joins read the same rows of ``known``, so that its texts are shuffled once
+    judged = known.join(starts.hint("merge"), ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts")
+    others = words.where("doc_id IS NULL OR text IS NULL").select("doc_id", "text", F.lit(None).cast("binary").alias("starts"))
+    return judged.union(others).mapInArrow(_finisher(window, with_text), schema)
