@@ -199,7 +199,7 @@ def _window_packer(window: int, n_buckets: int):
                 hashes = window_hashes(words.hash, window)[valid]
                 more = window_hashes(words.hash ^ U64(0x5851F42D4C957F2D), window)[valid]
                 doc = np.repeat(np.arange(len(part)), words.counts)[valid]
-                ids = part.column("doc_id").to_numpy()
+                ids = part.column("id_key").to_numpy()
                 order, head, group = _equal(hashes)
                 firsts, starts = order[head], np.flatnonzero(head)
                 least = np.minimum.reduceat(ids[doc][order], starts)
@@ -303,25 +303,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     other's. ``docs`` must give the same rows in the same order when it is read
     again, as tables do.
     """
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit("\0null"))).alias("text_hash"), "text")
+    words = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id_key"), F.xxhash64(F.coalesce("text", F.lit("\0null"))).alias("text_hash"), "text"
+    )
     known = words.where("doc_id IS NOT NULL AND text IS NOT NULL")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(16, -(-total // BUCKET_BYTES))
+    keys = ["id_key", "text_hash"]
     hits = (
         known.mapInArrow(_packer(window, n_buckets), _PACKED_SQL)
         .groupBy("key").applyInArrow(_match, _FOUND_SQL)
         .groupBy("slice").applyInArrow(_resolve_hits, "doc_id long, text_hash long, hits binary")
-        .groupBy("doc_id", "text_hash").agg(F.max("hits").alias("hits"))  # of repeated rows, that have equal hits
+        .groupBy(F.col("doc_id").alias("id_key"), "text_hash").agg(F.max("hits").alias("hits"))  # of repeated rows, that have equal hits
     )
+    # both joins read ``words`` by the same keys, which can't be null, so that the texts are shuffled once
     starts = (
-        known.join(hits.hint("merge"), ["doc_id", "text_hash"])
+        words.join(hits.hint("merge"), keys)
         .mapInArrow(_window_packer(window, n_buckets), _PACKED_SQL)
         .groupBy("key").applyInArrow(_least, _FOUND_SQL)
         .groupBy("slice").applyInArrow(_resolve_windows, "doc_id long, text_hash long, starts binary")
-        .groupBy("doc_id", "text_hash").agg(F.max("starts").alias("starts"))
+        .groupBy(F.col("doc_id").alias("id_key"), "text_hash").agg(F.max("starts").alias("starts"))
     )
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    # both joins read the same rows of ``known``, so that its texts are shuffled once
-    judged = known.join(starts.hint("merge"), ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts")
-    others = words.where("doc_id IS NULL OR text IS NULL").select("doc_id", "text", F.lit(None).cast("binary").alias("starts"))
-    return judged.union(others).mapInArrow(_finisher(window, with_text), schema)
+    own = F.when(F.col("doc_id").isNotNull(), F.col("starts")).alias("starts")
+    return words.join(starts.hint("merge"), keys, "left").select("doc_id", "text", own).mapInArrow(_finisher(window, with_text), schema)
