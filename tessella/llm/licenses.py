@@ -9,6 +9,7 @@ compared. Everything happens within a row; only found licences are shuffled.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-_NOT_WORD = r"[^\p{L}\p{N}]+"
+_NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
@@ -64,8 +65,19 @@ def template_bigrams(templates: Sequence[tuple[str, str]] = TEMPLATES) -> list[t
     return out
 
 
-def _words(unit: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(unit), _NOT_WORD, " "), " "), lambda w: w != "")
+def gate_words(templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> list[str]:
+    """Words of which any unit that matches a template has at least one.
+
+    A unit with coefficient ``t`` shares at least ``t / (2 - t)`` of the
+    template's bigrams, so that it has one of any larger rest of them; of each
+    template the rest with the longest words is taken.
+    """
+    gate: set[str] = set()
+    for _, grams in template_bigrams(templates):
+        must_share = math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
+        longest = sorted(grams, key=lambda g: (-max(map(len, g.split(" "))), g))[: len(grams) - must_share + 1]
+        gate |= {max(g.split(" "), key=lambda w: (len(w), w)) for g in longest}
+    return sorted(gate)
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -73,22 +85,24 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
 
     Returns ``doc_id, license, dice, n_units``: a row for each document and
     licence with the best coefficient and the number of lines and paragraphs
-    that match. Of several licences the one with the best coefficient counts
-    for a unit, then the last by name. A null or empty text, or one without a
-    match, has no row; rows of equal ``doc_id`` are counted together.
+    (of several lines, parted by lines without a word) that match. Of several
+    licences the one with the best coefficient counts for a unit, then the last
+    by name. Words are lower-cased runs of letters and digits. A null or empty
+    text, or one without a match, has no row; rows of equal ``doc_id`` are
+    counted together.
     """
     known = template_bigrams(templates)
     sizes = [len(grams) for _, grams in known]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     table = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(len(grams)).alias("n"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in known])
-    paragraphs = F.filter(F.split("text", r"\n[ \t]*\n"), lambda p: p.contains("\n"))
-    units = docs.select("doc_id", F.explode(F.concat(F.split("text", r"\n"), paragraphs)).alias("unit"))
-    # a unit of n words has n - 1 bigrams at most, so that short ones go before they are cut up
-    units = units.where(F.length("unit") >= 2 * min(sizes) * low).select("doc_id", _words(F.col("unit")).alias("words"))
-    units = units.where(F.size("words") - 1 >= min(sizes) * low)
-    pairs = F.zip_with(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", F.lit(2), F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
-    grams = F.when(F.size("words") > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
-    units = units.select("doc_id", grams.alias("grams")).withColumn("n", F.size("grams")).where((F.col("n") >= min(sizes) * low) & (F.col("n") <= max(sizes) * high))
+    plain = docs.select("doc_id", F.regexp_replace(F.lower("text"), _NOT_WORD, " ").alias("plain"))
+    paragraphs = F.filter(F.split("plain", r"\n *\n"), lambda p: p.contains("\n"))
+    units = plain.select("doc_id", F.explode(F.concat(F.split("plain", r"\n"), paragraphs)).alias("unit"))
+    # a gram has three characters at least; the gate leaves few units to be cut up
+    units = units.where(F.length("unit") >= 2 * min(sizes) * low).where(F.arrays_overlap(F.split("unit", r"[ \n]"), F.array(*map(F.lit, gate_words(templates, threshold)))))
+    words = F.filter(F.split("unit", r"[ \n]+"), lambda w: w != "")
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+    units = units.select("doc_id", F.array_distinct(pairs).alias("grams")).withColumn("n", F.size("grams")).where((F.col("n") >= min(sizes) * low) & (F.col("n") <= max(sizes) * high))
     candidates = F.filter(table, lambda t: (F.col("n") >= t["n"] * low) & (F.col("n") <= t["n"] * high))
     scored = F.transform(
         candidates,

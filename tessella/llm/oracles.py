@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import url_filter
+from tessella.llm import licenses, url_filter
 
 OP1 = r"""
 WITH RECURSIVE
@@ -47,11 +47,11 @@ windows AS (
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts WHERE len(w) >= 50)),
 least_of AS (SELECT h, min(doc_id) AS first_doc FROM windows GROUP BY 1),
 gone AS (
-  SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS at
+  SELECT doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS pos
   FROM windows JOIN least_of USING (h) WHERE first_doc < doc_id GROUP BY 1),
 kept AS (
-  SELECT t.doc_id, len(w) AS n_words, coalesce(len(at), 0) AS n_removed,
-         CASE WHEN at IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(at, j)), lambda j: w[j]) END AS k
+  SELECT t.doc_id, len(w) AS n_words, coalesce(len(pos), 0) AS n_removed,
+         CASE WHEN pos IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(pos, j)), lambda j: w[j]) END AS k
   FROM texts t LEFT JOIN gone USING (doc_id))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
 """
@@ -91,3 +91,25 @@ SELECT page_id, host, path, rule,
        coalesce(CASE rule {actions} END, CASE WHEN logit >= 0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM scored
 """
+
+
+def op9() -> str:
+    """The bigrams of the templates are part of the text."""
+    rows = ",\n  ".join(f"('{name}', {[g for g in grams]!r})" for name, grams in licenses.template_bigrams())
+    t = licenses.THRESHOLD
+    return rf"""
+WITH templates(license, grams) AS (VALUES
+  {rows}),
+plain AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS p FROM documents),
+units AS (
+  SELECT doc_id, unnest(list_concat(string_split(p, chr(10)), list_filter(string_split_regex(p, '\n *\n'), lambda x: contains(x, chr(10))))) AS u FROM plain),
+words AS (SELECT doc_id, row_number() OVER () AS unit, list_filter(string_split_regex(u, '[ \n]+'), lambda x: x <> '') AS w FROM units),
+grams AS (
+  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM words WHERE len(w) > 1),
+scored AS (
+  SELECT doc_id, unit, license, 2.0::DOUBLE * len(list_intersect(g, grams)) / (len(g) + len(grams)) AS dice
+  FROM grams, templates
+  WHERE len(g) >= len(grams) * {t / (2 - t)} AND len(g) <= len(grams) * {(2 - t) / t}),
+best AS (SELECT doc_id, unit, arg_max(license, (dice, license)) AS license, max(dice) AS dice FROM scored WHERE dice >= {t} GROUP BY 1, 2)
+SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS n_units FROM best GROUP BY 1, 2
+"""
