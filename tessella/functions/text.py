@@ -178,7 +178,7 @@ def looks_rewritten(candidate: Column, source: Column) -> Column:
 
 def clean_condensed(raw: Column) -> Column:
     """First line with text, without quotes and without a label that ends in the first twelve characters."""
-    lines = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
     bare = F.trim(F.regexp_replace(first, "^[\"'«»]+|[\"'«»]+$", ""))
     return F.when(F.locate(":", bare).between(1, 12), F.trim(F.regexp_replace(bare, "^[^:]*:", ""))).otherwise(bare)
