@@ -6,7 +6,7 @@ import importlib
 
 from tessella.plans.registry import ORACLES, QUERIES, Query
 
-_PACKS = ("analytics", "texts", "retrieval")
+_PACKS = ("analytics", "texts", "retrieval", "ingest", "state")
 
 
 def all_queries() -> dict[str, Query]:
