@@ -13,6 +13,7 @@ the executors; each Python worker builds the tables once.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Labelled documents of each language that are learned from, and characters of each of them.
-DOCS_PER_LANGUAGE = 96
+DOCS_PER_LANGUAGE = 64
 CHARS_PER_DOC = 400
 #: A phrase doesn't reach over such blocks of a text, which bounds the steps of a batch.
 BLOCK = 512
@@ -59,38 +60,42 @@ def _letters(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-class _Automaton:
-    """Suffix automaton of a string of symbols, by the usual online construction."""
-
-    def __init__(self, symbols: list[int]):
-        self.next: list[dict[int, int]] = [{}]
-        link, length, last = [-1], [0], 0
-        for c in symbols:
-            new = len(self.next)
-            self.next.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            p = last
-            while p >= 0 and c not in self.next[p]:
-                self.next[p][c] = new
-                p = link[p]
-            if p >= 0:
-                q = self.next[p][c]
-                if length[q] == length[p] + 1:
-                    link[new] = q
-                else:
-                    copy = len(self.next)
-                    self.next.append(dict(self.next[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p >= 0 and self.next[p].get(c) == q:
-                        self.next[p][c] = copy
-                        p = link[p]
-                    link[q] = link[new] = copy
-            last = new
-
-
-@lru_cache(maxsize=2)
+def _automaton(symbols: list[int], width: int) -> np.ndarray:
+    """Transitions of the suffix automaton of a string of symbols, a row of ``width`` for each state, -1 for none.
+
+    The usual online construction, on flat arrays: a dictionary for each state
+    would take far more memory, which workers don't give back.
+    """
+    most = 2 * len(symbols) + 1
+    table, link, length = array("i", [-1]) * (most * width), array("i", [0]) * most, array("i", [0]) * most
+    link[0] = -1
+    used, last = 1, 0
+    for c in symbols:
+        new = used
+        used += 1
+        length[new] = length[last] + 1
+        p = last
+        while p >= 0 and table[p * width + c] < 0:
+            table[p * width + c] = new
+            p = link[p]
+        if p >= 0:
+            q = table[p * width + c]
+            if length[q] == length[p] + 1:
+                link[new] = q
+            else:
+                copy = used
+                used += 1
+                table[copy * width : (copy + 1) * width] = table[q * width : (q + 1) * width]
+                length[copy], link[copy] = length[p] + 1, link[q]
+                while p >= 0 and table[p * width + c] == q:
+                    table[p * width + c] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
+        last = new
+    return np.frombuffer(table, np.int32)[: used * width].reshape(used, width)
+
+
+@lru_cache(maxsize=1)
 def tables(model: Model) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Letters, transitions and the start state of each language.
 
@@ -106,16 +111,12 @@ def tables(model: Model) -> tuple[list[int], np.ndarray, np.ndarray]:
     width = len(letters) + 2
     parts, starts, base = [], [], 0
     for sample in samples:
-        a = _Automaton([code[c] for c in sample])
-        table = np.full((len(a.next), width), -1, np.int64)
-        for state, edges in enumerate(a.next):
-            for c, to in edges.items():
-                table[state, c] = to
+        table = _automaton([code[c] for c in sample], width)
         fresh = np.where(table[0] < 0, 0, table[0])
         ended = table < 0
-        parts.append(((np.where(ended, fresh, table) + base) * 2 + ended).astype(np.int32))
+        parts.append((np.where(ended, fresh, table) + np.int32(base)) * np.int32(2) + ended)
         starts.append(base)
-        base += len(a.next)
+        base += len(table)
     return [ord(c) for c in letters], np.concatenate(parts).reshape(-1) if parts else np.zeros(0, np.int32), np.array(starts, np.int64)
 
 

@@ -30,7 +30,7 @@ MAGIC = b"TSLREC01"
 #: Header (format, bytes of an id), length and checksum, as ``struct`` formats.
 _HEADER, _LENGTH, _CHECK = "<8sI", "<Q", "<I"
 #: Words kept with their ids in each Python worker; the table starts anew beyond.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _LONGEST_CACHED = 64
 #: Punctuation that is a pre-token of its own after letters.
 _TAIL = ".,!?;:&$#%*"
@@ -82,7 +82,7 @@ class Encoder:
         pieces = [_lowered(t).replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known = {"": b""}
-        if len(self.cores) > 2 * CACHED_WORDS:
+        if len(self.cores) > CACHED_WORDS * 3 // 2:
             self.cores = {"": b""}
         new = set().union(*pieces) - self.known.keys()
         self._learn(new)
