@@ -27,6 +27,8 @@ DOCS_PER_LANGUAGE = 64
 CHARS_PER_DOC = 400
 #: A phrase doesn't reach over such blocks of a text, which bounds the steps of a batch.
 BLOCK = 512
+#: Rows of a batch that are looked at together.
+_ROWS = 256
 #: Phrases per character above which a text is of none of the languages.
 WORST_RATE = 0.6
 
@@ -100,9 +102,10 @@ def tables(model: Model) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Letters, transitions and the start state of each language.
 
     All automata share one flat table of ``state * width + symbol``. An entry
-    holds twice the next state, and one more if a phrase ended: then the next
-    state is that of a phrase that starts with the symbol. Symbol 0 isn't a
-    letter of any sample and is a phrase of its own; the last symbol is space.
+    holds twice the next state, and one more if the symbol starts a phrase: as
+    nothing longer matches, or after the state between phrases, where texts
+    begin and where a symbol that the sample lacks leads, being a phrase of its
+    own. Symbol 0 is any letter that no sample has; the last symbol is space.
     """
     samples = [_letters(text) for _, text in model]
     letters = sorted(set("".join(samples)) - {" "})
@@ -112,10 +115,12 @@ def tables(model: Model) -> tuple[list[int], np.ndarray, np.ndarray]:
     parts, starts, base = [], [], 0
     for sample in samples:
         table = _automaton([code[c] for c in sample], width)
-        fresh = np.where(table[0] < 0, 0, table[0])
+        between = np.int32(len(table))
+        fresh = np.where(table[0] < 0, between, table[0])
+        table = np.concatenate([table, np.full((1, width), -1, np.int32)])
         ended = table < 0
         parts.append((np.where(ended, fresh, table) + np.int32(base)) * np.int32(2) + ended)
-        starts.append(base)
+        starts.append(base + int(between))
         base += len(table)
     return [ord(c) for c in letters], np.concatenate(parts).reshape(-1) if parts else np.zeros(0, np.int32), np.array(starts, np.int64)
 
@@ -162,7 +167,7 @@ def phrase_rates(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray
         state[:, :alive] = now
     owner = doc[begins]
     for k in range(len(starts)):
-        rates[:, k] = np.bincount(owner, phrases[k] + 1.0, minlength=len(texts))
+        rates[:, k] = np.bincount(owner, phrases[k], minlength=len(texts))
     return rates / np.maximum(n, 1)[:, None], letters_of
 
 
@@ -170,7 +175,7 @@ def _predictor(model: Model, schema: pa.Schema):
     names = np.array([lang for lang, _ in model], dtype=object)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, _ROWS) for b in batches for lo in range(0, b.num_rows, _ROWS)):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             langs: list[str] = []
             scores: list[float] = []
@@ -222,7 +227,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("rate", pa.float64())])
         judge = _predictor(model, schema)
-        for batch in batches:
+        for batch in (b.slice(lo, _ROWS) for b in batches for lo in range(0, b.num_rows, _ROWS)):
             judged = next(judge(iter([pa.RecordBatch.from_arrays([batch.column("text")], names=["text"])])))
             rate = judged.column("rate")
             good = np.array([r is not None and r <= WORST_RATE for r in rate.to_pylist()], bool)

@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
-from tessella.llm.storage import materialize
+from tessella.llm.storage import materialize, small_batches
 from tessella.llm.words import ALNUM_WORDS, U64, find_words, mix, slices, window_hashes, windows_inside
 
 NGRAM = 5
 THRESHOLD = 0.8
 #: Classes and n-grams that one verification task takes at most.
-UNIT_DOCS, UNIT_GRAMS = 4096, 2_000_000
+UNIT_DOCS, UNIT_GRAMS = 2048, 500_000
+#: Text that is hashed at once.
+SLICE_BYTES = 1 << 18
 
 
 def choose_bands(threshold: float, target_recall: float, rows: int = 5) -> tuple[int, int]:
@@ -78,7 +80,7 @@ def _signer(bands: int, rows: int):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi in slices(batch.column("text")):
+            for lo, hi in slices(batch.column("text"), SLICE_BYTES):
                 part = batch.slice(lo, hi - lo)
                 grams, counts = _grams(part.column("text"))
                 full = counts > 0
@@ -111,7 +113,7 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi in slices(batch.column("text")):
+        for lo, hi in slices(batch.column("text"), SLICE_BYTES):
             part = batch.slice(lo, hi - lo)
             grams, counts = _grams(part.column("text"))
             f1, f2 = _set_ids(grams, counts)
@@ -209,7 +211,8 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
     """
     bands, rows = choose_bands(threshold, target_recall)
     narrow = _narrow(docs)
-    signed = materialize(narrow.mapInArrow(_signer(bands, rows), _SIGNED))
+    with small_batches(docs.sparkSession):
+        signed = materialize(narrow.mapInArrow(_signer(bands, rows), _SIGNED))
     classes = materialize(
         signed.where("f1 IS NOT NULL")
         .groupBy("f1", "f2")
@@ -248,10 +251,11 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
         .select("text", "f1", "f2")
         .mapInArrow(_gram_rows, "f1 long, f2 long, grams binary")
     )
-    wide = materialize(
-        candidates.select("f1", "f2", "copies", "group", "whole", F.when(F.col("whole"), F.array().cast("array<long>")).otherwise(F.col("buckets")).alias("buckets"))
-        .join(grams, ["f1", "f2"])
-    )
+    with small_batches(docs.sparkSession):
+        wide = materialize(
+            candidates.select("f1", "f2", "copies", "group", "whole", F.when(F.col("whole"), F.array().cast("array<long>")).otherwise(F.col("buckets")).alias("buckets"))
+            .join(grams, ["f1", "f2"])
+        )
     columns = ["unit", "part", "other", "side", "crossing", "final", "f1", "f2", "copies", "buckets", "grams"]
     whole = wide.where("whole").select(
         F.col("group").alias("unit"), F.lit(-1).alias("part"), F.lit(-1).alias("other"), F.lit(0).alias("side"), F.lit(False).alias("crossing"), F.lit(True).alias("final"), "f1", "f2", "copies", "buckets", "grams"

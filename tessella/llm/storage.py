@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Fewer rows in each Arrow batch for the jobs that run inside, as texts may be long; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def open_fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """File system and path of a URI, for tasks that write or read own file formats."""
     if "://" not in uri and uri.startswith("file:"):

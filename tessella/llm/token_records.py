@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.storage import materialize, open_fs, shared_dir
+from tessella.llm.storage import materialize, open_fs, shared_dir, small_batches
 
 MAGIC = b"TSLREC01"
 #: Header (format, bytes of an id), length and checksum, as ``struct`` formats.
@@ -180,7 +180,8 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder:
     folder = folder or shared_dir(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return materialize(ordered.mapInArrow(_writer(folder, tokenizer_path, end_id), _INDEX_SQL)), folder
+    with small_batches(docs.sparkSession):
+        return materialize(ordered.mapInArrow(_writer(folder, tokenizer_path, end_id), _INDEX_SQL)), folder
 
 
 def with_starts(index: DataFrame) -> DataFrame:
