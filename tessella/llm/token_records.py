@@ -53,10 +53,14 @@ def masked_crc(data: bytes) -> int:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer, and one with its model alone that takes pre-tokens between blanks as they are."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    return Tokenizer.from_file(path)
+    whole, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    bare.normalizer = None  # its pre-tokens are normalized
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return whole, bare
 
 
 class Encoder:
@@ -71,7 +75,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, end_id: int):
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer, self.bare = _tokenizer(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.known: dict[str, bytes] = {"": b""}
@@ -82,7 +86,7 @@ class Encoder:
         pieces = [_lowered(t).replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known = {"": b""}
-        if len(self.cores) > CACHED_WORDS * 3 // 2:
+        if len(self.cores) > CACHED_WORDS * 5 // 2:
             self.cores = {"": b""}
         new = set().union(*pieces) - self.known.keys()
         self._learn(new)
@@ -95,32 +99,32 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """Ids of pieces that aren't known yet."""
+        known, cores = self.known, self.cores
         parts: list[tuple[str, str, str]] = []
         others: list[str] = []
         for piece in new:
             core = piece.rstrip(_TAIL)
-            if core.isalpha() and core.lower() == core:
-                parts.append((piece, core, piece[len(core) :]))
-            elif not core:
-                parts.append((piece, "", piece))
-            else:
+            if core and not (core.isalpha() and core.lower() == core):
                 others.append(piece)
-        cores = self.cores
-        fresh = sorted({x for _, core, tail in parts for x in (core, tail)} - cores.keys())
+                continue
+            tail = piece[len(core) :]
+            if core in cores and tail in cores:
+                known[piece] = cores[core] + cores[tail]
+            else:
+                parts.append((piece, core, tail))
+        fresh = [x for x in {x for _, core, tail in parts for x in (core, tail)} if x not in cores]
         for lo in range(0, len(fresh), 1000):
             group = fresh[lo : lo + 1000]
-            ids = self._together(group)
-            for x, raw in zip(group, ids):
-                cores[x] = raw
+            cores.update(zip(group, self._together(group)))
         for piece, core, tail in parts:
-            self.known[piece] = cores[core] + cores[tail]
+            known[piece] = cores[core] + cores[tail]
         for lo in range(0, len(others), 20_000):
             for piece, e in zip(others[lo : lo + 20_000], self.tokenizer.encode_batch_fast(others[lo : lo + 20_000], add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, self.dtype).tobytes()
+                known[piece] = np.array(e.ids, self.dtype).tobytes()
 
     def _together(self, group: list[str]) -> list[bytes]:
         """Ids of pre-tokens that are encoded in one text; one by one if the numbers don't agree."""
-        e = self.tokenizer.encode_batch([" ".join(group)], add_special_tokens=False)[0]
+        e = self.bare.encode(" ".join(group), add_special_tokens=False)
         of = np.array(e.word_ids)
         if len(of) and of[-1] == len(group) - 1 and len(np.unique(of)) == len(group):
             raw, width = np.array(e.ids, self.dtype).tobytes(), self.dtype.itemsize
