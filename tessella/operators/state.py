@@ -136,12 +136,14 @@ def anchored_window_hits(hits: DataFrame, limit: int = 20, seconds: int = 60) ->
 
 
 def trim_history(turns: Column, last: int = 10, budget: int = 1500) -> Column:
-    """Of the last turns, newest first, those that fit in the characters left; a longer one is skipped and costs nothing."""
+    """Of the last turns, newest first, those whose stripped text fits in the characters left; a longer one is skipped
+    and costs nothing. Turns with a null or blank text go."""
     newest = F.reverse(F.slice(turns, F.greatest(F.size(turns) - last + 1, F.lit(1)), F.lit(last)))
-    start = F.struct(F.lit(budget).alias("left"), F.slice(turns, F.lit(1), F.lit(0)).alias("kept"))
+    newest = F.transform(newest, lambda t: t.withField("text", F.regexp_replace(t["text"], r"(?U)^\s+|\s+$", "")))
+    start = F.struct(F.lit(budget).alias("left"), F.slice(newest, F.lit(1), F.lit(0)).alias("kept"))
 
     def step(acc: Column, turn: Column) -> Column:
-        fits = F.length(turn["text"]) <= acc["left"]
+        fits = F.length(turn["text"]).between(1, acc["left"])
         return F.struct(
             F.when(fits, acc["left"] - F.length(turn["text"])).otherwise(acc["left"]).alias("left"), F.when(fits, F.concat(F.array(turn), acc["kept"])).otherwise(acc["kept"]).alias("kept")
         )

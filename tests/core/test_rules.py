@@ -135,7 +135,11 @@ def test_trim_history(spark):
     kept = df.select(state.trim_history(F.col("turns"), budget=1500).alias("k")).first()["k"]
     assert [t["text"][0] for t in kept] == ["d"]
     kept = df.select(state.trim_history(F.col("turns"), budget=1600).alias("k")).first()["k"]
-    assert [t["text"][0] for t in kept] == ["a", "d"]  # what doesn't fit costs nothing
+    assert [t["text"][0] for t in kept] == ["c", "d"]  # 70 characters are left, too few for the first turn
+    kept = df.select(state.trim_history(F.col("turns"), budget=1640).alias("k")).first()["k"]
+    assert [t["text"][0] for t in kept] == ["a", "c", "d"]  # what doesn't fit costs nothing
+    df = spark.createDataFrame([([("user", " \u00a0x "), ("user", " "), ("user", None), ("user", "y")],)], "turns array<struct<role: string, text: string>>")
+    assert [t["text"] for t in df.select(state.trim_history(F.col("turns"), budget=2).alias("k")).first()["k"]] == ["x", "y"]
 
 
 def test_smalltalk_is_whole_messages(spark):
