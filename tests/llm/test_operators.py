@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -298,6 +299,34 @@ def test_overlaps_brute_force(spark):
     assert got == want and want
 
 
+def test_overlaps_every_placement(spark):
+    """Substitutions at all places, in items of all sizes, against all diagonals compared without seeds."""
+    rng = np.random.default_rng(8)
+    items = {n: [f"i{n}w{j}" for j in range(n)] for n in (*range(1, 13), 15)}
+    docs = []
+    for n, w in items.items():
+        for k in range(min(n, 4)):
+            places = list(itertools.combinations(range(n), k))
+            for at in places if len(places) <= 110 else [places[j] for j in rng.choice(len(places), 110, replace=False)]:
+                changed = ["other" if j in at else x for j, x in enumerate(w)]
+                before, after = (["pad"] * m for m in rng.integers(0, 3, 2))
+                docs.append((len(docs), before + changed + after))
+    need = {n: min(n, decontaminate.OVERLAP) for n in items}
+    allowed = {n: 2 if n >= 8 else 1 if n >= 4 else 0 for n in items}
+    want = {}
+    for d, w in docs:
+        for n, o in items.items():
+            for shift in range(1 - len(w), len(o)):
+                same_word = [0 <= p + shift < len(o) and o[p + shift] == w[p] for p in range(len(w))]
+                for p in range(max(0, -shift), min(len(w), len(o) - shift) - need[n] + 1):
+                    if sum(same_word[p : p + need[n]]) >= need[n] - allowed[n]:
+                        want[d, n] = max(want.get((d, n), 0), sum(same_word[p : p + need[n]]))
+    docs_df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    items_df = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontaminate.find_overlaps(docs_df, items_df).collect()}
+    assert got == want and {n for _, n in want} == set(items)
+
+
 def test_license_gate():
     """No unit that matches a template passes by the gate."""
     gate = set(licenses.gate_words())
