@@ -40,9 +40,12 @@ _AS_IT_IS = ("\u0130", "\u03a3", "<|")
 
 def _lowered(text: str) -> str:
     """The text in lower case, as the normalizer makes it anyway, where that is sure to be the same."""
+    if text.isascii():
+        return text if "<|" in text else text.lower()
     if any(x in text for x in _AS_IT_IS) or not unicodedata.is_normalized("NFC", text):
         return text
-    return text.lower()
+    lowered = text.lower()  # may compose where the capital letter doesn't
+    return lowered if unicodedata.is_normalized("NFC", lowered) else text
 
 
 def masked_crc(data: bytes) -> int:
@@ -70,7 +73,7 @@ class Encoder:
     separates, and neither does its normalizer, so that the ids of a text are
     those of its pieces between blanks, tabs and line feeds. A piece of letters
     and a tail of plain punctuation is two pre-tokens, of which the first is
-    lower-cased; those are remembered by themselves, and new ones are encoded
+    lower-cased and in NFC; those are remembered by themselves, and new ones are encoded
     many at a time, in one text, where each is one pre-token.
     """
 
@@ -104,7 +107,7 @@ class Encoder:
         others: list[str] = []
         for piece in new:
             core = piece.rstrip(_TAIL)
-            if core and not (core.isalpha() and core.lower() == core):
+            if core and not (core.isalpha() and core.lower() == core and (core.isascii() or unicodedata.is_normalized("NFC", core))):
                 others.append(piece)
                 continue
             tail = piece[len(core) :]

@@ -247,6 +247,22 @@ def test_encoder(text):
     assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
+_UNNORMALIZED = ("\u1112\u1161\u11ab\u1100\u116e\u11a8\u110b\u1165", "\u1f71", "\uf900\uf9ff", "J\u030c", "j\u030c", "H\u0331t", "\u03aa\u0301", "\u212b\u2126\u212a", "ma\u00f1ana", "man\u0303ana")
+
+
+@pytest.mark.parametrize("text", [*_UNNORMALIZED, *(f"One {x}, two {x}." for x in _UNNORMALIZED), " ".join(_UNNORMALIZED), " ".join(_UNNORMALIZED).lower(), "<\u0338|endoftext|>\u0338 A\u030a"])
+def test_encoder_normalizes(text):
+    encoder = token_records.Encoder(TOKENIZER, 1)
+    assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+@given(st.text(alphabet="aJjHT \u030c\u0331\u0308\u0301\u03aa\u03ca\u1112\u1161\u11ab\u1f71\uf900\u212b.,", max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_encoder_combining(text):
+    encoder = token_records.Encoder(TOKENIZER, 1)
+    assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_damaged_record(spark, tmp_path):
     docs = spark.createDataFrame([(i, "some text") for i in range(5)], "doc_id long, text string")
     index, folder = token_records.write_records(docs, TOKENIZER, folder=f"file://{tmp_path}/r")
