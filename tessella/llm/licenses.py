@@ -1,7 +1,8 @@
-"""Licence scan: lines and paragraphs against licence templates by Dice coefficient over word bigrams.
+"""Licence scan: lines, paragraphs and word windows against licence templates by Dice coefficient over word bigrams.
 
 Built-in functions only. Texts are cut in lines and in paragraphs of several
-lines; a unit is normalised to lower-case words, and of the templates only
+lines, and those that don't match as a whole in windows of a template's size,
+or a quarter more, that begin with one of its bigrams; a unit is normalised to lower-case words, and of the templates only
 those whose number of bigrams can still reach the threshold (a Dice coefficient
 of ``t`` bounds the ratio of the sizes by ``t / (2 - t)`` both ways) are
 compared. Everything happens within a row; only found licences are shuffled.
@@ -52,6 +53,15 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("All-Rights-Reserved", "All rights reserved."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:'),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, version 2.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Zlib", "Licensed under the zlib License."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 
@@ -80,12 +90,39 @@ def gate_words(templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: floa
     return sorted(gate)
 
 
+def _in_windows(table: Column, threshold: float) -> Column:
+    """Matches of windows of a unit (``pairs``, ``hits``, ``breaks``) that don't overlap; of several lines those that reach over a line feed."""
+
+    def windows(hit: Column) -> Column:
+        def of(t: Column) -> Column:
+            def window(width: Column) -> Column:
+                span = F.slice("pairs", hit["at"] + 1, width)
+                dice = F.size(F.array_intersect(span, t["grams"])) * 2.0 / (F.size(F.array_distinct(span)) + t["n"])
+                return F.struct(dice.alias("dice"), t["license"].alias("license"), (-hit["at"]).alias("minus_start"), (hit["at"] + F.size(span)).alias("end"))
+
+            return F.transform(F.array(t["n"], t["n"] + F.ceil(t["n"] / 4).cast("int")), window)
+
+        return F.flatten(F.transform(F.filter(table, lambda t: F.array_contains(t["grams"], hit["gram"])), of))
+
+    matching = F.filter(F.flatten(F.transform("hits", lambda h: F.filter(windows(h), lambda w: w["dice"] >= threshold))), lambda w: w.isNotNull())
+    apart = F.aggregate(
+        F.sort_array(matching, asc=False),
+        F.filter(matching, lambda w: F.lit(False)),
+        lambda chosen, w: F.when(F.exists(chosen, lambda c: (-w["minus_start"] < c["end"]) & (-c["minus_start"] < w["end"])), chosen).otherwise(F.concat(chosen, F.array(w))),
+    )
+    # pair i is of words i and i + 1, so that a window's words after the first end at word ``end``
+    counted = F.filter(apart, lambda w: ~F.exists(F.slice("breaks", 2, F.size("breaks")), lambda x: x) | F.exists(F.slice("breaks", 2 - w["minus_start"], w["end"] + w["minus_start"]), lambda x: x))
+    return F.transform(counted, lambda w: F.struct(w["dice"].alias("dice"), w["license"].alias("license")))
+
+
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Licences that each document of ``docs`` (``doc_id``, ``text``) states.
 
     Returns ``doc_id, license, dice, n_units``: a row for each document and
     licence with the best coefficient and the number of lines and paragraphs
-    (of several lines, parted by lines without a word) that match. Of several
+    (of several lines, parted by lines without a word) that match, and of
+    windows that match in other lines or reach over the line feeds of other
+    paragraphs. Windows of a unit don't overlap; the best go first. Of several
     licences the one with the best coefficient counts for a unit, then the last
     by name. Words are lower-cased runs of letters and digits. A null or empty
     text, or one without a match, has no row; rows of equal ``doc_id`` are
@@ -100,13 +137,24 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     units = plain.select("doc_id", F.explode(F.concat(F.split("plain", r"\n"), paragraphs)).alias("unit"))
     # a gram has three characters at least; the gate leaves few units to be cut up
     units = units.where(F.length("unit") >= 2 * min(sizes) * low).where(F.arrays_overlap(F.split("unit", r"[ \n]"), F.array(*map(F.lit, gate_words(templates, threshold)))))
-    words = F.filter(F.split("unit", r"[ \n]+"), lambda w: w != "")
+    # the first word of a line keeps its line feed until the breaks are known
+    marked = F.filter(F.split(F.regexp_replace("unit", r" *\n *", " \n"), " "), lambda w: F.trim(F.translate(w, "\n", " ")) != "")
+    units = units.select("doc_id", marked.alias("marked"))
+    units = units.select("doc_id", F.transform("marked", lambda w: w.startswith("\n")).alias("breaks"), F.transform("marked", lambda w: F.translate(w, "\n", "")).alias("words"))
+    words = F.col("words")
     pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    units = units.select("doc_id", F.array_distinct(pairs).alias("grams")).withColumn("n", F.size("grams")).where((F.col("n") >= min(sizes) * low) & (F.col("n") <= max(sizes) * high))
+    units = units.select("doc_id", "breaks", pairs.alias("pairs"))
+    every = sorted({g for _, grams in known for g in grams})
+    hits = F.filter(F.transform("pairs", lambda g, i: F.struct(g.alias("gram"), i.alias("at"))), lambda h: h["gram"].isin(every))
+    units = units.withColumn("hits", hits).where(F.size("hits") >= min(sizes) * low)
+    units = units.withColumn("grams", F.array_distinct("pairs")).withColumn("n", F.size("grams"))
     candidates = F.filter(table, lambda t: (F.col("n") >= t["n"] * low) & (F.col("n") <= t["n"] * high))
     scored = F.transform(
         candidates,
         lambda t: F.struct((F.size(F.array_intersect(F.col("grams"), t["grams"])) * 2.0 / (F.col("n") + t["n"])).alias("dice"), t["license"].alias("license")),
     )
-    best = units.select("doc_id", F.array_max(scored).alias("best")).where(F.col("best.dice") >= threshold)
+    units = units.withColumn("best", F.array_max(scored))
+    whole = F.coalesce(F.col("best.dice") >= threshold, F.lit(False))
+    found = F.when(whole, F.array("best")).otherwise(_in_windows(table, threshold))
+    best = units.select("doc_id", F.explode(found).alias("best"))
     return best.groupBy("doc_id", F.col("best.license").alias("license")).agg(F.round(F.max("best.dice"), 6).alias("dice"), F.count("*").alias("n_units"))

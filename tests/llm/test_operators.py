@@ -365,6 +365,24 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_inside_lines(spark):
+    long_mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 300)
+    prose = " ".join(f"word{i}" for i in range(200))
+    texts = {
+        1: "Copyright (c) 2020 X. Licensed under the MIT License.",
+        2: f"{prose} This work is licensed under the GNU General Public License, version 3. {prose} Licensed under CC BY-SA 4.0, {prose}",
+        3: f"{prose} {long_mit} {prose}",
+        4: f"{prose}\nmore Released under\nthe MIT License. {prose}",
+        5: "All rights reserved.\n\n(c) 2021 Y, all rights reserved worldwide and in space",
+        6: f"{prose} licensed under CC BY-NC 3.0 {prose} all the rights are reserved, the license of the software",
+        7: f"{prose}\nReleased under the MIT License.\nunder the {prose}",
+        8: "x " + "Licensed under the zlib License. " * 3,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["license"], r["n_units"]) for r in licenses.scan_licenses(docs).collect()}
+    assert got == {(1, "MIT", 1), (2, "GPL-3.0", 1), (2, "CC-BY-SA-4.0", 1), (3, "MIT", 1), (4, "MIT", 1), (5, "All-Rights-Reserved", 2), (7, "MIT", 1), (8, "Zlib", 3)}
+
+
 def _repeats(docs, window):
     least = {}
     for i, w in docs:
