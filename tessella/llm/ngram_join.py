@@ -203,7 +203,8 @@ def _verifier(threshold: float):
 def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = 0.9999) -> DataFrame:
     """Class and links of each row of ``docs`` (``doc_id``, ``text``; other columns are ignored).
 
-    Returns ``doc_id, text_hash, class_id, n_links``, a row for each input row.
+    Returns ``doc_id, text_hash, label, class_id, n_links``, a row for each input
+    row. ``label`` names the class also where it has no ID (null without words).
     ``class_id`` is the least ``doc_id`` of the class (null if all are null) and
     ``n_links`` the number of other rows whose n-gram set has at least
     ``threshold`` in common. A null text or one without words is alone in its
@@ -216,7 +217,8 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
     classes = materialize(
         signed.where("f1 IS NOT NULL")
         .groupBy("f1", "f2")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("rep"), F.count("*").alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+        .withColumns({"rep": F.col("rep.doc_id"), "rep_hash": F.col("rep.text_hash")})
     )
     in_bucket = classes.select("f1", "f2", "n_grams", F.explode("bands").alias("bucket"))
     buckets = (
@@ -239,15 +241,15 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
     candidates = (
         per_class.drop("heads")
         .join(groups.select(F.col("node").alias("f1"), F.col("label").alias("group")), "f1")
-        .join(classes.select("f1", "f2", "rep", "copies"), ["f1", "f2"])
+        .join(classes.select("f1", "f2", "rep", "rep_hash", "copies"), ["f1", "f2"])
     )
     candidates = materialize(candidates)
     sizes = candidates.groupBy("group").agg(F.count("*").alias("size"), F.sum("n_grams").alias("total"))
     candidates = candidates.join(sizes, "group").withColumn("whole", (F.col("size") <= UNIT_DOCS) & (F.col("total") <= UNIT_GRAMS))
-    texts = candidates.select("f1", "f2", F.col("rep"))
+    texts = candidates.select("f1", "f2", "rep", "rep_hash")
     grams = (
-        narrow.select("doc_id", "text")
-        .join(texts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")))  # the candidates grow with the corpus: never broadcast
+        narrow.select("doc_id", "text_hash", "text")
+        .join(texts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash")))  # the candidates grow with the corpus: never broadcast
         .select("text", "f1", "f2")
         .mapInArrow(_gram_rows, "f1 long, f2 long, grams binary")
     )
@@ -284,10 +286,10 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
     labelled = labelled.select("f1", "f2", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "f1").alias("label"))
     labelled = materialize(labelled)
     heads = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
-    result = labelled.join(heads, "label").select("f1", "f2", "class_id", "n_links")
+    result = labelled.join(heads, "label").select("f1", "f2", "label", "class_id", "n_links")
     out = signed.select("doc_id", "text_hash", "f1", "f2").join(result, ["f1", "f2"], "left")
     return out.select(
-        "doc_id", "text_hash",
+        "doc_id", "text_hash", "label",
         F.when(F.col("f1").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
@@ -301,7 +303,7 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, target_recal
     """
     classes = ngram_classes(docs, threshold, target_recall)
     words_less = classes.where("n_links = 0").select("doc_id", "text_hash")
-    groups = classes.where("n_links > 0").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
+    groups = classes.where("n_links > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
     keep = groups.select("first.doc_id", "first.text_hash").union(words_less).distinct()
     keep = keep.select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash"))
     own = F.xxhash64(F.coalesce(docs["text"], F.lit("\0null")))

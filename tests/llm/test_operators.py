@@ -94,6 +94,16 @@ def test_ngram_join_odd(odd, empty):
     assert kept.columns == odd.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, i) for i in (1, 3, 4, 5, 6, 8, 10)] + [(True, 0)]
 
 
+def test_ngram_join_without_ids(spark):
+    """Classes whose rows have no doc_id are kept apart, and texts of one doc_id too."""
+    near = lambda k: [" ".join(f"{k}w{i}" if i != at else "changed" for i in range(100)) for at in (5, None)]
+    docs = spark.createDataFrame(rows(*((i, t) for i, k in ((None, "a"), (None, "b"), (None, "c"), (7, "d"), (7, "e")) for t in near(k))), DOCS)
+    got = ngram_join.ngram_classes(docs).collect()
+    assert len(got) == 10 and {r["n_links"] for r in got} == {1} and len({r["label"] for r in got}) == 5
+    kept = [r["text"].split()[0][0] for r in ngram_join.keep_one_of_each(docs).collect()]
+    assert sorted(kept) == ["a", "b", "c", "d", "e"]
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
