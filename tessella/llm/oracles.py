@@ -71,7 +71,7 @@ def op3() -> str:
     def logit(text: str, base: int) -> str:
         code = lambda i: f"unicode(m[i + {i}])"
         return (
-            f"(SELECT coalesce(sum(weights[1 + {base} + ({code(0)} * 961 + {code(1)} * 31 + {code(2)}) % {s}]) / count(*), 0) "
+            f"(SELECT coalesce(sum(weights[1 + {base} + ({code(0)} * 961 + {code(1)} * 31 + {code(2)}) % {s}]) / sqrt(count(*)), 0) "
             f"FROM (SELECT '^' || {text} || '$' AS m, unnest(range(1, len({text}) + 1)) AS i))"
         )
 
@@ -88,7 +88,7 @@ scored AS (
        {weights[0]:.6f} + {logit("host", 0)} + {logit("path", s)} AS logit
   FROM split, model)
 SELECT page_id, host, path, rule,
-       coalesce(CASE rule {actions} END, CASE WHEN logit >= 0 THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(CASE rule {actions} END, CASE WHEN logit >= 0 AND host <> '' THEN 'block' ELSE 'allow' END) AS verdict
 FROM scored
 """
 

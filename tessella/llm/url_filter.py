@@ -7,6 +7,7 @@ weights; scoring and rule matching are built-in functions only.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -30,18 +31,51 @@ SLOTS = 2048
 #: Multipliers of the three code points of an n-gram.
 _FACTORS = (961, 31, 1)
 
-#: The labelled URL table that the model is trained from: 1 is unwanted.
-LABELLED = tuple(
-    (f"{sub}{name}.{top}/{path}", unwanted)
-    for unwanted, names, own_paths in (
-        (1, ("casino-win", "free-bets", "cheap-pills", "spam-farm", "adult-x", "ads-track", "poker-bonus", "pills-online", "xxx-cams", "click-ads", "loan-fast", "replica-cheap"), ("play/slots", "buy/pills", "bonus/win", "click?id")),
-        (0, ("library", "weather", "museum", "gardening", "university", "the-herald", "cooking", "history", "science", "thereader", "northern", "theater", "station", "nation",
-             "thatch", "ththe", "thistle", "thursday", "other", "health", "thther", "earth", "thousand", "weaver", "shore", "blessed", "thinking", "handel"), ("catalogue", "article/3", "recipes", "news/7")),
-    )
-    for i, name in enumerate(names)
-    for j, (sub, top) in enumerate((sub, top) for sub in ("", "www.", "m.", "blog.") for top in ("example.com", "example.net", "example.org"))
-    for path in (own_paths[(i + j) % 4], ("en/825", "fr/41446/", "de/252.html", "es/5489")[(i + j) % 4])
-)
+# The labelled URL table is made of words that tell what a site is about, of neutral words that sites of both kinds have
+# in their names, and of paths. 1 is unwanted.
+_UNWANTED = (
+    "adclick ads adult bets betting bingo blackjack botnet camgirls casino clickbait cracks cryptodoubler diet escort fakeid gamble hacks jackpot keygen lottery malware nude payday phish pills poker porn replica roulette scam sexy slots spam steroids sweepstakes torrentz viagra warez xxx adserver"
+).split()
+_WANTED = (
+    "academy airport archive atlas bakery biology books bridge calendar chemistry chess city climate college community cooking council cycling data design dictionary docs economics education energy engineering film forum foundation garden geography government guide harbour history hospital hotel institute journal kitchen laboratory language law learning library literature magazine maps market mathematics medicine monitor museum music nature network newspaper observatory ocean open orchestra parks philosophy photo physics planet poetry press project python radio records research review river sailing school science software sport statistics studio teacher theatre times town travel tribune university village weather wiki wildlife woodwork world writing"
+).split()
+_NEUTRAL = "best big daily direct easy first free global home info live my net new now online plus pro red smart top win zone".split()
+_BARE = (
+    "abelard bluefin cordoba dunmore elmtree fairfax glasgow hobart ibsen jura kepler lund mercer nilsson orkney perugia quincy rotterdam salford tromso uppsala vilnius wessex xanthi york zermatt "
+    "answer avenue canyon castle commons elder falcon forest hub island kernel lantern letter linux meadow mountain number orange overflow purple question shadow silver source square stack stone street summer thunder tower valley window winter yellow"
+).split()
+_TOPS = ("com", "net", "org", "info", "co.uk", "eu", "github.io", "blogspot.com")
+_PATHS = {
+    1: ("buy/cheap", "bonus/claim", "click/win", "free/spins", "order/discreet", "join/now", "download/crack.exe", "go/offer"),
+    0: ("about", "catalogue/books", "news/2019/05/report", "docs/manual", "abs/1706", "articles/history", "people/staff", "help/contact"),
+    None: ("", "index.html", "en/", "a/12", "page/3", "item/4711", "blog/post-7", "x/y/z", "s/query", "2021/"),
+}
+
+
+def _labelled() -> tuple[tuple[str, int], ...]:
+    rows: dict[str, int] = {}
+    for unwanted, words in ((1, _UNWANTED), (0, _WANTED), (0, _BARE)):
+        for i, word in enumerate(words):
+            for j, other in enumerate(("", *_NEUTRAL[i % 3 :: 3])):
+                for k, name in enumerate(dict.fromkeys((f"{word}{other}", f"{other}{word}", f"{word}-{other}".rstrip("-"), f"{other}-{word}".lstrip("-")))):
+                    if other and (i + j + k) % 2:
+                        continue
+                    at = i + 3 * j + 5 * k
+                    own, neutral = _PATHS[unwanted], _PATHS[None]
+                    path = own[at // 2 % len(own)] if at % 2 else neutral[at // 2 % len(neutral)]
+                    rows[f"{('', 'www.', 'blog.', 'm.')[at % 4]}{name}.{_TOPS[at % len(_TOPS)]}/{path}"] = unwanted
+    return tuple(rows.items())
+
+
+LABELLED = _labelled()
+#: One URL in so many is kept out of training.
+HELD_OUT_OF = 5
+
+
+def split_labelled(labelled: Sequence[tuple[str, int]] = LABELLED) -> tuple[tuple[tuple[str, int], ...], tuple[tuple[str, int], ...]]:
+    """Rows to train from and rows held out, by CRC-32 of the URL."""
+    held = [zlib.crc32(url.encode()) % HELD_OUT_OF == 0 for url, _ in labelled]
+    return tuple(r for r, h in zip(labelled, held) if not h), tuple(r for r, h in zip(labelled, held) if h)
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -74,7 +108,7 @@ def _slots(text: str, base: int) -> list[int]:
 
 
 @lru_cache
-def train(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 1500, rate: float = 3.0, penalty: float = 1e-5) -> list[float]:
+def train(labelled: tuple[tuple[str, int], ...] = split_labelled()[0], rounds: int = 1000, rate: float = 1.0, penalty: float = 1e-3) -> list[float]:
     """Weights by gradient descent over the labelled table: the bias, then one for each slot, to six decimals."""
     x = np.zeros((len(labelled), 2 * SLOTS))
     for i, (url, _) in enumerate(labelled):
@@ -82,7 +116,7 @@ def train(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 1500,
         for part, base in ((host, 0), ("/" + path, SLOTS)):
             found = _slots(part, base)
             for s in found:
-                x[i, s] += 1 / len(found)
+                x[i, s] += len(found) ** -0.5
     y = np.array([label for _, label in labelled], float)
     used = np.flatnonzero(x.any(axis=0))
     x = x[:, used]
@@ -96,10 +130,14 @@ def train(labelled: tuple[tuple[str, int], ...] = LABELLED, rounds: int = 1500,
     return [round(float(v), 6) for v in (bias, *weights)]
 
 
-def _mean_weight(text: Column, weights: Column, base: int) -> Column:
-    """Mean weight of the n-grams of ``^text$``."""
-    marked = F.concat(F.lit("^"), text, F.lit("$"))
-    codes = F.transform(F.split(marked, ""), F.ascii)
+def _codes(text: Column) -> Column:
+    """Code points of ``^text$``."""
+    return F.transform(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), F.ascii)
+
+
+def _weight(codes: Column, weights: Column, base: int) -> Column:
+    """Weights of the n-grams of code points, summed and divided by the root of their number. ``codes`` must be a
+    column of its own: an expression would be evaluated again for each n-gram."""
     n = F.size(codes) - GRAM + 1
 
     def weight(i: Column) -> Column:
@@ -108,37 +146,39 @@ def _mean_weight(text: Column, weights: Column, base: int) -> Column:
             value = value + F.element_at(codes, i + k) * factor
         return F.element_at(weights, (value % SLOTS + base + 1).cast("int"))
 
-    return F.when(n > 0, F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), weight), F.lit(0.0), lambda a, b: a + b) / n).otherwise(0.0)
+    return F.when(n > 0, F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), weight), F.lit(0.0), lambda a, b: a + b) / F.sqrt(n)).otherwise(0.0)
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, weights: Sequence[float] | None = None) -> DataFrame:
     """``pages`` (``page_id``, ``url``) as ``page_id, host, path, rule, verdict, score``, a row for each input row.
 
     ``verdict`` is that of the rule, else ``block`` where the model's ``score``
-    is 0.5 or more. A null URL, or one without ``://``, has an empty host and
-    path, no rule, and is scored as such.
+    is 0.5 or more. A URL without a host (null, or without ``://``) has no
+    rule and nothing to be judged by: it is allowed, with score 0.
     """
     weights = list(train() if weights is None else weights)
     host, path = split_url(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     array = F.lit(np.array(weights[1:]))
-    logit = F.lit(weights[0]) + _mean_weight(F.col("host"), array, 0) + _mean_weight(F.col("path"), array, SLOTS)
+    split = split.withColumns({"host_codes": _codes(F.col("host")), "path_codes": _codes(F.col("path"))})
+    logit = F.lit(weights[0]) + _weight(F.col("host_codes"), array, 0) + _weight(F.col("path_codes"), array, SLOTS)
     scored = split.withColumn("logit", logit).withColumn("matched", match_rule(F.col("host"), F.col("path"), rules))
-    modelled = F.when(F.col("logit") >= 0, "block").otherwise("allow")
+    known = F.col("host") != ""
+    modelled = F.when(known & (F.col("logit") >= 0), "block").otherwise("allow")
     return scored.select(
         "page_id", "host", "path", F.col("matched.rule").alias("rule"),
-        F.coalesce("matched.action", modelled).alias("verdict"), F.round(1 / (1 + F.exp(-F.col("logit"))), 4).alias("score"),
+        F.coalesce("matched.action", modelled).alias("verdict"), F.when(known, F.round(1 / (1 + F.exp(-F.col("logit"))), 4)).otherwise(0.0).alias("score"),
     )
 
 
-def loss(weights: Sequence[float], labelled: Sequence[tuple[str, int]] = LABELLED) -> float:
-    """Share of the labelled table that the weights get wrong."""
+def loss(weights: Sequence[float], labelled: Sequence[tuple[str, int]]) -> float:
+    """Share of labelled rows that the weights get wrong."""
     wrong = 0
     for url, label in labelled:
         host, _, path = url.partition("/")
         z = weights[0]
         for part, base in ((host, 0), ("/" + path, SLOTS)):
             found = _slots(part, base)
-            z += math.fsum(weights[1 + s] for s in found) / len(found)
+            z += math.fsum(weights[1 + s] for s in found) / max(1, len(found)) ** 0.5
         wrong += (z >= 0) != bool(label)
     return wrong / len(labelled)
