@@ -1,55 +1,77 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton is built over a bounded sample of labelled
-text. A text is then parsed greedily against each automaton in phrases, each
+texts. A text is then parsed greedily against each automaton in phrases, each
 the longest match from where the last one ended; a text of a language needs few
 and long phrases under its own automaton. The language with the fewest phrases
 per character wins.
 
-Automata are laid out as dense transition tables, so that NumPy steps all
-blocks of a batch, and all languages, at once. Only the sample texts travel to
-the executors; each Python worker builds the tables once.
+NumPy steps all blocks of a slice of texts, and all languages, at once. Blocks
+are first parsed as if a phrase ended before each; where it doesn't, a block is
+parsed again from the state that the block before it ends in, up to where both
+parses are in the same state, so that phrases and counts are those of one
+greedy parse of the whole text. Transitions are a hash table in flat arrays,
+whose size follows the sample and not the alphabet. Only the sample texts
+travel to the executors; each Python worker builds the tables once.
 """
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled documents of each language that are learned from, and characters of each of them.
-DOCS_PER_LANGUAGE = 64
-CHARS_PER_DOC = 400
-#: A phrase doesn't reach over such blocks of a text, which bounds the steps of a batch.
-BLOCK = 512
-#: Rows of a batch that are looked at together.
-_ROWS = 256
-#: Phrases per character above which a text is of none of the languages.
-WORST_RATE = 0.6
+from tessella.llm.storage import lean
+from tessella.llm.words import U64
+
+#: The sample that is learned from: so many languages (those with most rows), so many different texts of each, and of
+#: these whole texts up to so many characters in all.
+MAX_LANGUAGES, TEXTS_PER_LANGUAGE, CHARS_PER_LANGUAGE = 64, 256, 32_000
+#: Characters that one step takes from; it bounds the steps, not the phrases.
+BLOCK = 256
+#: Characters of the texts, times languages, that are parsed at once.
+SLICE = 2_000_000
+#: A text is of no language if its rate is so many deviations above the mean of texts of the best one. The deviation is that of
+#: pieces of so many characters; shorter texts deviate more, with the root of their length.
+DEVIATIONS, PIECE = 6.0, 100
 
 Model = tuple[tuple[str, str], ...]
 
 
-def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, chars_per_doc: int = CHARS_PER_DOC) -> Model:
+def train(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, chars: int = CHARS_PER_LANGUAGE, languages: int = MAX_LANGUAGES) -> Model:
     """(language, sample text) for each ``lang`` of ``docs`` (``doc_id``, ``text``, ``lang``).
 
     Learned from are rows with text and ``lang`` whose CRC-32 of ``doc_id`` (as
-    text) modulo 4 isn't 2; of each language ``docs_per_language`` rows, chosen
-    by hash, and up to ``chars_per_doc`` characters of each, so that the model
-    is bounded whatever the corpus.
+    text) modulo 4 isn't 2. Of the ``languages`` with most such rows, different
+    texts are taken whole, by order of their hash, those left out that would
+    make a sample of more than ``chars`` characters (but a language has its
+    shortest text at least). So the model is bounded whatever the corpus, and
+    copies of a text count once.
     """
-    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_per_language)
-    ids = sorted({r["doc_id"] for r in chosen.collect()})
-    found = usable.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, chars_per_doc).alias("text")).distinct() if ids else None
-    rows = sorted(tuple(r) for r in found.collect()) if ids else []
-    return tuple((lang, " ".join(text for _, own, text in rows if own == lang)) for lang in sorted({r[1] for r in rows}))
+    usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", "lang", "text")
+    most = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    names = sorted(r["lang"] for r in most.collect())
+    if not names:
+        return ()
+    usable = usable.where(F.col("lang").isin(names))
+    different = usable.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.max(F.length("text")).alias("size"))
+    ranked = different.withColumns(
+        {"place": F.row_number().over(Window.partitionBy("lang").orderBy("hash")), "by_size": F.row_number().over(Window.partitionBy("lang").orderBy("size", "hash"))}
+    )
+    chosen: dict[tuple[str, int], int] = {}
+    left = dict.fromkeys(names, chars)
+    for r in sorted(ranked.where((F.col("place") <= texts) | (F.col("by_size") == 1)).collect(), key=lambda r: (r["lang"], r["place"])):  # texts of each language at most, and one
+        if r["size"] <= left[r["lang"]] and r["place"] <= texts or r["by_size"] == 1 and left[r["lang"]] == chars:
+            left[r["lang"]] -= r["size"]
+            chosen[r["lang"], r["doc_id"]] = r["hash"]
+    found = usable.where(F.col("doc_id").isin(sorted({i for _, i in chosen}))).withColumn("hash", F.xxhash64("text")).distinct().collect()
+    rows = sorted((r["lang"], r["hash"], r["text"]) for r in found if chosen.get((r["lang"], r["doc_id"])) == r["hash"])
+    return tuple((name, "\n".join(text for lang, _, text in rows if lang == name)) for name in names)
 
 
 def held_out() -> F.Column:
@@ -62,146 +84,226 @@ def _letters(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def _automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a string of symbols, a row of ``width`` for each state, -1 for none.
-
-    The usual online construction, on flat arrays: a dictionary for each state
-    would take far more memory, which workers don't give back.
-    """
-    most = 2 * len(symbols) + 1
-    table, link, length = array("i", [-1]) * (most * width), array("i", [0]) * most, array("i", [0]) * most
-    link[0] = -1
-    used, last = 1, 0
+def _automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of a string of symbols, by state; the usual online construction."""
+    step: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
     for c in symbols:
-        new = used
-        used += 1
-        length[new] = length[last] + 1
+        new = len(step)
+        step.append({})
+        link.append(0)
+        length.append(length[last] + 1)
         p = last
-        while p >= 0 and table[p * width + c] < 0:
-            table[p * width + c] = new
+        while p >= 0 and c not in step[p]:
+            step[p][c] = new
             p = link[p]
         if p >= 0:
-            q = table[p * width + c]
+            q = step[p][c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                copy = used
-                used += 1
-                table[copy * width : (copy + 1) * width] = table[q * width : (q + 1) * width]
-                length[copy], link[copy] = length[p] + 1, link[q]
-                while p >= 0 and table[p * width + c] == q:
-                    table[p * width + c] = copy
+                copy = len(step)
+                step.append(step[q].copy())
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and step[p].get(c) == q:
+                    step[p][c] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return np.frombuffer(table, np.int32)[: used * width].reshape(used, width)
+    return step
 
 
-@lru_cache(maxsize=1)
-def tables(model: Model) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Letters, transitions and the start state of each language.
-
-    All automata share one flat table of ``state * width + symbol``. An entry
-    holds twice the next state, and one more if the symbol starts a phrase: as
-    nothing longer matches, or after the state between phrases, where texts
-    begin and where a symbol that the sample lacks leads, being a phrase of its
-    own. Symbol 0 is any letter that no sample has; the last symbol is space.
+class Tables(NamedTuple):
+    """All automata in one hash table of ``state * width + symbol`` (state 0 has no transitions and is between phrases).
+
+    ``fresh`` is where a symbol leads that starts a phrase, by language: it
+    does where nothing longer matches, and after state 0, where texts begin and
+    where a symbol that the sample lacks leads, being a phrase of its own.
+    Symbol 0 is any letter that no sample has; the last symbol is space.
     """
+
+    letters: list[int]
+    keys: np.ndarray
+    next: np.ndarray
+    fresh: np.ndarray
+
+    def step(self, state: np.ndarray, symbol: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Twice the state that a symbol leads to, and one more if it starts a phrase."""
+        width = self.fresh.shape[1]
+        key = state * np.int64(width) + symbol
+        slot = _slots(key, len(self.keys))
+        out = self.next[slot]
+        found = self.keys[slot]
+        missed = np.flatnonzero(found != key)
+        if len(missed):
+            again = missed[found[missed] >= 0]
+            out[missed] = -1
+            while len(again):
+                slot[again] = (slot[again] + 1) & (len(self.keys) - 1)
+                at = slot[again]
+                hit = self.keys[at] == key[again]
+                out[again[hit]] = self.next[at[hit]]
+                again = again[~hit & (self.keys[at] >= 0)]
+            missed = missed[out[missed] < 0]
+        out *= 2
+        out[missed] = self.fresh[language[missed], symbol[missed]] * 2 + 1
+        return out
+
+
+def _slots(key: np.ndarray, size: int) -> np.ndarray:
+    return (key.astype(U64) * U64(0x9E3779B97F4A7C15) >> U64(64 - size.bit_length() + 1)).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def tables(model: Model) -> Tables:
     samples = [_letters(text) for _, text in model]
     letters = sorted(set("".join(samples)) - {" "})
     code = {c: i + 1 for i, c in enumerate(letters)}
     code[" "] = len(letters) + 1
     width = len(letters) + 2
-    parts, starts, base = [], [], 0
-    for sample in samples:
-        table = _automaton([code[c] for c in sample], width)
-        between = np.int32(len(table))
-        fresh = np.where(table[0] < 0, between, table[0])
-        table = np.concatenate([table, np.full((1, width), -1, np.int32)])
-        ended = table < 0
-        parts.append((np.where(ended, fresh, table) + np.int32(base)) * np.int32(2) + ended)
-        starts.append(base + int(between))
-        base += len(table)
-    return [ord(c) for c in letters], np.concatenate(parts).reshape(-1) if parts else np.zeros(0, np.int32), np.array(starts, np.int64)
-
-
-def phrase_rates(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Phrases per character of each text under each language, and the letters of each text."""
-    letters, table, starts = tables(model)
-    width = len(letters) + 2
-    joined = "\n".join(t.lower().replace("\n", " ") for t in texts)
+    fresh = np.zeros((max(1, len(samples)), width), np.int32)
+    keys, values, base = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 1
+    for k, sample in enumerate(samples):
+        step = _automaton([code[c] for c in sample])
+        sizes = np.array([len(s) for s in step])
+        symbols = np.fromiter((c for s in step for c in s), np.int64, int(sizes.sum()))
+        targets = np.fromiter((t for s in step for t in s.values()), np.int32, int(sizes.sum()))
+        keys.append((np.repeat(np.arange(len(step)), sizes) + base) * width + symbols)
+        values.append(targets + np.int32(base))
+        fresh[k, list(step[0])] = np.array(list(step[0].values()), np.int32) + base
+        base += len(step)
+        del step
+    key, value = np.concatenate(keys), np.concatenate(values)
+    size = 1 << max(4, int(len(key) * 1.6).bit_length())
+    table, targets = np.full(size, -1, np.int64), np.zeros(size, np.int32)
+    slot, left = _slots(key, size), np.arange(len(key))
+    while len(left):  # linear probing: the first of those that want a free slot gets it
+        at = slot[left]
+        free = np.flatnonzero(table[at] < 0)
+        _, first = np.unique(at[free], return_index=True)
+        placed = free[first]
+        table[at[placed]], targets[at[placed]] = key[left[placed]], value[left[placed]]
+        left = np.delete(left, placed)
+        slot[left] = (slot[left] + 1) & (size - 1)
+    return Tables([ord(c) for c in letters], table, targets, fresh)
+
+
+def _symbols(texts: list[str], t: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of all texts and the text of each, as ``_letters`` has them."""
+    joined = "\n".join(x.lower().replace("\n", " ") for x in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    top = int(points.max(initial=0)) + 1
-    symbol = np.full(top, -1, np.int32)
-    for p in np.unique(points):
-        symbol[p] = 0 if chr(p).isalpha() else width - 1
-    for i, p in enumerate(letters):
-        if p < top:
+    space = t.fresh.shape[1] - 1
+    symbol = np.full(int(points.max(initial=0)) + 1, space, np.int32)
+    for p in np.unique(points).tolist():
+        if chr(p).isalpha():
+            symbol[p] = 0
+    for i, p in enumerate(t.letters):
+        if p < len(symbol):
             symbol[p] = i + 1
-    codes = symbol[points] if top > 1 else np.zeros(0, np.int32)
-    doc = np.cumsum(points == 10) - (points == 10)  # the separator belongs to the text before it
-    space = codes == width - 1
-    keep = ~space
-    if len(space):
-        keep[1:] |= ~space[:-1] & (doc[1:] == doc[:-1])  # one space after a word
+    codes = symbol[points]
+    doc = (np.cumsum(points == 10) - (points == 10)).astype(np.int32)  # the separator belongs to the text before it
+    letter = codes != space
+    keep = letter.copy()
+    keep[1:] |= ~letter[1:] & letter[:-1] & (doc[1:] == doc[:-1])  # one space after a word,
     codes, doc = codes[keep], doc[keep]
+    last = np.append(doc[1:] != doc[:-1], True)
+    inner = ~(last & (codes == space))  # but the last
+    return codes[inner], doc[inner]
+
+
+def phrase_rates(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases per character of each text under each language, and the characters (letters and single spaces) of each text."""
+    t = tables(model)
+    n_languages = len(model)
+    rates = np.zeros((len(texts), n_languages))
+    codes, doc = _symbols(texts, t) if texts else (np.zeros(0, np.int32), np.zeros(0, np.int32))
     n = np.bincount(doc, minlength=len(texts))
-    letters_of = np.bincount(doc[codes != width - 1], minlength=len(texts))
-    rates = np.zeros((len(texts), len(starts)))
-    if not len(codes) or not len(starts):
-        return rates, letters_of
+    if not len(codes) or not n_languages:
+        return rates, n
     first = np.concatenate([[0], np.cumsum(n)])[:-1]
     in_doc = np.arange(len(codes)) - np.repeat(first, n)
     begins = np.flatnonzero(in_doc % BLOCK == 0)
     sizes = np.diff(np.append(begins, len(codes)))
+    blocks = len(begins)
     order = np.argsort(-sizes, kind="stable")
-    begins, sizes = begins[order], sizes[order]
-    state = np.broadcast_to(starts[:, None] * 2, (len(starts), len(begins))).astype(np.int32).copy()
-    phrases = np.zeros(state.shape, np.int32)
-    alive = len(begins)
-    for step in range(int(sizes[0])):
-        while sizes[alive - 1] <= step:
+    trail = np.zeros((n_languages, len(codes)), np.int32)
+    # every block from between phrases, the longest first, so that those still going on are in front
+    start, left = begins[order], sizes[order]
+    language = np.repeat(np.arange(n_languages), blocks).reshape(n_languages, blocks)
+    state = np.zeros((n_languages, blocks), np.int32)
+    alive = blocks
+    for step in range(int(left[0])):
+        while left[alive - 1] <= step:
             alive -= 1
-        now = table[(state[:, :alive] >> 1) * width + codes[begins[:alive] + step]]
-        phrases[:, :alive] += now & 1
-        state[:, :alive] = now
-    owner = doc[begins]
-    for k in range(len(starts)):
-        rates[:, k] = np.bincount(owner, phrases[k], minlength=len(texts))
-    return rates / np.maximum(n, 1)[:, None], letters_of
+        at = start[:alive] + step
+        now = t.step(state[:, :alive].reshape(-1), np.tile(codes[at], n_languages), language[:, :alive].reshape(-1)).reshape(n_languages, alive)
+        trail[:, at] = now
+        state[:, :alive] = now >> 1
+    # blocks that go on from another state than they began with, until their parse meets the former one
+    inner = np.flatnonzero(in_doc[begins] > 0)
+    lang, block = np.repeat(np.arange(n_languages), len(inner)), np.tile(inner, n_languages)
+    entered = np.zeros((n_languages, blocks), np.int32)
+    while len(block):
+        enter = trail[lang, begins[block] - 1] >> 1
+        other = enter != entered[lang, block]
+        lang, block, now = lang[other], block[other], enter[other]
+        entered[lang, block] = now
+        changed_lang, changed_block = [], []
+        at, l, b = begins[block], lang, block
+        while len(b):
+            go = t.step(now, codes[at], l)
+            met = (go >> 1) == (trail[l, at] >> 1)
+            trail[l, at] = go
+            ended = ~met & (at + 1 == begins[b] + sizes[b])
+            changed_lang.append(l[ended])
+            changed_block.append(b[ended] + 1)
+            on = ~met & ~ended
+            at, l, b, now = at[on] + 1, l[on], b[on], go[on] >> 1
+        lang, block = np.concatenate(changed_lang or [lang[:0]]), np.concatenate(changed_block or [block[:0]])
+        goes_on = (block < blocks) & (in_doc[begins[np.minimum(block, blocks - 1)]] > 0)
+        lang, block = lang[goes_on], block[goes_on]
+    for k in range(n_languages):
+        rates[:, k] = np.bincount(doc, trail[k] & 1, minlength=len(texts))
+    return rates / np.maximum(n, 1)[:, None], n
+
+
+def _judge(column: pa.Array, model: Model) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, rates and characters of each slice of a column of texts."""
+    lo, size, part = 0, 0, []
+    limit = SLICE // max(4, len(model))
+    for i, value in enumerate(column):
+        text = value.as_py() or ""
+        if part and size + len(text) > limit:
+            yield lo, *phrase_rates(part, model)
+            lo, size, part = i, 0, []
+        part.append(text)
+        size += len(text)
+    if part:
+        yield lo, *phrase_rates(part, model)
 
 
 def _predictor(model: Model, schema: pa.Schema):
     names = np.array([lang for lang, _ in model], dtype=object)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(lo, _ROWS) for b in batches for lo in range(0, b.num_rows, _ROWS)):
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            langs: list[str] = []
-            scores: list[float] = []
-            rate_out: list[float | None] = []
-            lo, size = 0, 0
-            for hi in range(1, len(texts) + 1):
-                size += len(texts[hi - 1])
-                if size < 1 << 20 and hi < len(texts):
-                    continue
-                rates, letters = phrase_rates(texts[lo:hi], model)
-                lo, size = hi, 0
-                for row, n in zip(rates, letters):
-                    if not n or not len(row):
-                        langs.append("und")
-                        scores.append(0.0)
-                        rate_out.append(None)
-                        continue
-                    best = int(np.argmin(row))
-                    others = np.delete(row, best)
-                    langs.append(names[best])
-                    scores.append(float(1 - row[best] / others.min()) if len(others) else 1.0)
-                    rate_out.append(float(row[best]))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rate_out, pa.float64())], schema=schema)
-
-    return predict
+        for batch in batches:
+            for lo, rates, n in _judge(batch.column("text"), model):
+                known = (n > 0) & bool(len(names))
+                if len(names):
+                    best = np.argmin(rates, axis=1)
+                    low = rates[np.arange(len(n)), best]
+                    others = rates.copy()
+                    others[np.arange(len(n)), best] = np.inf
+                    score = np.where(known, 1 - low / others.min(axis=1).clip(1e-9), 0.0) if len(names) > 1 else known.astype(float)
+                    langs = np.where(known, names[best], "und")
+                else:
+                    langs, score, low = np.full(len(n), "und", object), np.zeros(len(n)), np.zeros(len(n))
+                part = batch.slice(lo, len(n))
+                columns = [part.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(langs.tolist(), pa.string()), pa.array(score), pa.array(low, mask=~known)], schema=schema)
+
+    return lean(predict)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -218,19 +320,44 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_predictor(model, schema), "doc_id long, text_hash long, held_out boolean, lang_pred string, score double, rate double")
 
 
+@lru_cache(maxsize=1)
+def usual_rates(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of the rates of pieces of ``PIECE`` characters of each language.
+
+    Each sample is cut in two halves, and pieces of one are parsed under the
+    other, which they are no part of.
+    """
+    means, deviations = np.ones(len(model)), np.zeros(len(model))
+    for k, (name, text) in enumerate(model):
+        letters, got = _letters(text), []
+        middle = len(letters) // 2
+        for learned, tried in ((letters[:middle], letters[middle:]), (letters[middle:], letters[:middle])):
+            pieces = [tried[i : i + PIECE] for i in range(0, len(tried) - PIECE + 1, PIECE)]
+            if pieces:
+                got.append(phrase_rates(pieces, ((name, learned),))[0][:, 0])
+        rates = np.concatenate(got) if got else np.ones(1)
+        means[k], deviations[k] = rates.mean(), rates.std()
+    tables.cache_clear()
+    return means, deviations
+
+
 def keep_identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """``docs`` without the rows that no language fits: null texts, those without a letter, and those that need
-    more than ``WORST_RATE`` phrases per character in every language. All columns stay, and the order of rows within a
-    partition; the text is judged where it is read, without a shuffle."""
+    """``docs`` without the rows that no language fits: null texts, those without a letter, and those whose rate is more
+    than ``DEVIATIONS`` deviations above the mean of the language that fits best, as its labelled texts have it (a
+    language of less than two pieces of ``PIECE`` characters rejects nothing). All columns stay, and the order of rows
+    within a partition; the text is judged where it is read, without a shuffle."""
     model = train(docs) if model is None else model
+    means, deviations = usual_rates(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("rate", pa.float64())])
-        judge = _predictor(model, schema)
-        for batch in (b.slice(lo, _ROWS) for b in batches for lo in range(0, b.num_rows, _ROWS)):
-            judged = next(judge(iter([pa.RecordBatch.from_arrays([batch.column("text")], names=["text"])])))
-            rate = judged.column("rate")
-            good = np.array([r is not None and r <= WORST_RATE for r in rate.to_pylist()], bool)
-            yield batch.filter(pa.array(good))
-
-    return docs.mapInArrow(keep, docs.schema)
+        for batch in batches:
+            for lo, rates, n in _judge(batch.column("text"), model):
+                good = n > 0
+                if len(model):
+                    limit = means + DEVIATIONS * deviations * np.sqrt(PIECE / np.clip(n, 1, PIECE))[:, None]
+                    good &= (rates <= limit).any(axis=1)
+                else:
+                    good &= False
+                yield batch.slice(lo, len(n)).filter(pa.array(good))
+
+    return docs.mapInArrow(lean(keep), docs.schema)
