@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.storage import lean
 from tessella.llm.words import ALNUM_WORDS, U64, find_words, mix, slices, windows_inside
 
 #: An overlap: so many words in a row on one diagonal, of which so many may differ.
@@ -160,10 +161,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         bitmap[row["word"]] = row["bits"]
         sizes |= row["sizes"]
     shapes = np.flatnonzero(_HAS_SHAPE[[size for size in range(OVERLAP + 1) if sizes >> size & 1]].any(axis=0)).tolist()
-    seeds = _texts(docs, "doc_id").mapInArrow(_seeds(bitmap.view(U64), shapes), _SEEDS).withColumnRenamed("id", "doc_id")
+    seeds = _texts(docs, "doc_id").mapInArrow(lean(_seeds(bitmap.view(U64), shapes)), _SEEDS).withColumnRenamed("id", "doc_id")
     hits = seeds.join(items, "seed").withColumn("diagonal", F.col("place") - F.col("item_place"))
     checked = hits.select("doc_id", "text_hash", "item_id", "diagonal", "before", "near", "item_before", "item_near", "item_words").mapInArrow(
-        _verify, "doc_id long, text_hash long, item_id long, diagonal long, matched int"
+        lean(_verify), "doc_id long, text_hash long, item_id long, diagonal long, matched int"
     )
     found = checked.groupBy("doc_id", "text_hash", "item_id", "diagonal").agg(F.max("matched").alias("matched"))
     return found.groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("n_places"), F.max("matched").alias("matched"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import connected_components
-from tessella.llm.storage import materialize, small_batches
+from tessella.llm.storage import lean, materialize, small_batches
 from tessella.llm.words import ALNUM_WORDS, U64, find_words, mix, slices, window_hashes, windows_inside
 
 NGRAM = 5
@@ -213,7 +213,7 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
     bands, rows = choose_bands(threshold, target_recall)
     narrow = _narrow(docs)
     with small_batches(docs.sparkSession):
-        signed = materialize(narrow.mapInArrow(_signer(bands, rows), _SIGNED))
+        signed = materialize(narrow.mapInArrow(lean(_signer(bands, rows)), _SIGNED))
     classes = materialize(
         signed.where("f1 IS NOT NULL")
         .groupBy("f1", "f2")
@@ -251,7 +251,7 @@ def ngram_classes(docs: DataFrame, threshold: float = THRESHOLD, target_recall:
         narrow.select("doc_id", "text_hash", "text")
         .join(texts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_hash") == F.col("rep_hash")))  # the candidates grow with the corpus: never broadcast
         .select("text", "f1", "f2")
-        .mapInArrow(_gram_rows, "f1 long, f2 long, grams binary")
+        .mapInArrow(lean(_gram_rows), "f1 long, f2 long, grams binary")
     )
     with small_batches(docs.sparkSession):
         wide = materialize(

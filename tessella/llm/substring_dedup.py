@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.storage import lean
 from tessella.llm.words import U64, WHITESPACE_WORDS, Words, find_words, mix, slices, window_hashes, windows_inside
 
 WINDOW = 50
@@ -311,7 +312,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     n_buckets = max(16, -(-total // BUCKET_BYTES))
     keys = ["id_key", "text_hash"]
     hits = (
-        known.mapInArrow(_packer(window, n_buckets), _PACKED_SQL)
+        known.mapInArrow(lean(_packer(window, n_buckets)), _PACKED_SQL)
         .groupBy("key").applyInArrow(_match, _FOUND_SQL)
         .groupBy("slice").applyInArrow(_resolve_hits, "doc_id long, text_hash long, hits binary")
         .groupBy(F.col("doc_id").alias("id_key"), "text_hash").agg(F.max("hits").alias("hits"))  # of repeated rows, that have equal hits
@@ -319,11 +320,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     # both joins read ``words`` by the same keys, which can't be null, so that the texts are shuffled once
     starts = (
         words.join(hits.hint("merge"), keys)
-        .mapInArrow(_window_packer(window, n_buckets), _PACKED_SQL)
+        .mapInArrow(lean(_window_packer(window, n_buckets)), _PACKED_SQL)
         .groupBy("key").applyInArrow(_least, _FOUND_SQL)
         .groupBy("slice").applyInArrow(_resolve_windows, "doc_id long, text_hash long, starts binary")
         .groupBy(F.col("doc_id").alias("id_key"), "text_hash").agg(F.max("starts").alias("starts"))
     )
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     own = F.when(F.col("doc_id").isNotNull(), F.col("starts")).alias("starts")
-    return words.join(starts.hint("merge"), keys, "left").select("doc_id", "text", own).mapInArrow(_finisher(window, with_text), schema)
+    return words.join(starts.hint("merge"), keys, "left").select("doc_id", "text", own).mapInArrow(lean(_finisher(window, with_text)), schema)

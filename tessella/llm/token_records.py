@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.storage import materialize, open_fs, shared_dir, small_batches
+from tessella.llm.storage import lean, materialize, open_fs, shared_dir, small_batches
 
 MAGIC = b"TSLREC01"
 #: Header (format, bytes of an id), length and checksum, as ``struct`` formats.
@@ -60,8 +60,8 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer, pre_tokenizers
 
-    whole, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    bare.normalizer = None  # its pre-tokens are normalized
+    whole = Tokenizer.from_file(path)
+    bare = Tokenizer(whole.model)  # one model for both; no normalizer, as its pre-tokens are normalized
     bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return whole, bare
 
@@ -188,7 +188,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     with small_batches(docs.sparkSession):
-        return materialize(ordered.mapInArrow(_writer(folder, tokenizer_path, end_id), _INDEX_SQL)), folder
+        return materialize(ordered.mapInArrow(lean(_writer(folder, tokenizer_path, end_id)), _INDEX_SQL)), folder
 
 
 def with_starts(index: DataFrame) -> DataFrame:
