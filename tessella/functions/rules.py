@@ -1,4 +1,4 @@
-"""Text rules that need a callback or a running comparison: Arrow functions over batches of strings."""
+"""Masking of personal data and greetings as built-in expressions, and rules with a running comparison as Arrow functions."""
 
 from __future__ import annotations
 
@@ -12,76 +12,55 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import FILLERS, GREETINGS, MARKER, THANKS
 
-_IBAN = re.compile(r"(?<![A-Z0-9])TJ[ -]?\d{2}(?:[ -]?[A-Z0-9]){16,24}(?![A-Z0-9])", re.I)
-_NUMBER = re.compile(r"(?<!\d)\d(?:[ \t. -]*\d){7,}(?!\d)")
-_PASSPORT = re.compile(r"(?<![A-ZА-Я\d])[AА][ -]?\d{8}(?!\d)", re.I)
-_TAX = re.compile(r"(ИНН|РМА)(\D{0,20}?)(\d{9})(?!\d)", re.I)
-_PHONE = re.compile(r"(?<!\d)\+?\d(?:[ \t ()-]*\d){6,}(?!\d)")
-_DIGITS = re.compile(r"\d+")
-
-
-def _merge(candidate: str, most: int, fits: Callable[[str], bool], label: str) -> str:
-    """Replace groups of digits, taken greedily up to ``most`` digits, where their digits fit; the rest stays as it is."""
-    groups = [(m.start(), m.end()) for m in _DIGITS.finditer(candidate)]
-    out, at, i = [], 0, 0
-    while i < len(groups):
-        digits, best, j = "", None, i
-        while j < len(groups) and len(digits) + groups[j][1] - groups[j][0] <= most:
-            digits += candidate[groups[j][0] : groups[j][1]]
-            if fits(digits):
-                best = j
-            j += 1
-        if best is None:
-            i += 1
-            continue
-        out += [candidate[at : groups[i][0]], label]
-        at, i = groups[best][1], best + 1
-    return "".join([*out, candidate[at:]])
-
-
-def _mask_numbers(m: re.Match[str]) -> str:
-    text = m.group()
-    text = _merge(text, 20, lambda d: len(d) == 20, "[ACCOUNT]")
-    return _merge(text, 19, lambda d: 13 <= len(d) <= 19, "[CARD]")
-
-
-def _mask_phone(m: re.Match[str]) -> str:
-    digits = "".join(_DIGITS.findall(m.group()))
-    fits = lambda d: len(d) == 9 or len(d) == 12 and d.startswith("992")
-    if fits(digits):
-        return "[PHONE]"
-    return _merge(m.group(), 12, fits, "[PHONE]")
-
-
-def mask(text: str | None) -> str | None:
-    """IBANs, accounts, cards, passports, tax numbers and phones as labels, in that order; null stays null."""
-    if not text or not _DIGITS.search(text):
-        return text
-    text = _IBAN.sub("[IBAN]", text)
-    text = _NUMBER.sub(_mask_numbers, text)
-    text = _PASSPORT.sub("[PASSPORT]", text)
-    text = _TAX.sub(lambda m: f"{m[1]}{m[2]}[INN]", text)
-    return _PHONE.sub(_mask_phone, text)
+# What is masked and how it is written; separators of cards and of phones.
+CARD_SEPARATORS = "[ \t.\u00a0-]"
+PHONE_SEPARATORS = "[ \t\u00a0()-]"
+IBAN = r"(?iuU)\bTJ[ -]?\d{2}(?:[ -]?[A-Z0-9]){16,24}\b"
+PASSPORT = r"(?iu)(?<![A-ZА-Я\p{Nd}])[AА][ -]?\p{Nd}{8}(?!\p{Nd})"
+TAX = r"(?iu)(ИНН|РМА)(\P{Nd}{0,20}?)(\p{Nd}{9})(?!\p{Nd})"
 
 
-_WORD = re.compile(r"[^\W_]+")
-_POLITE = frozenset((*GREETINGS, *THANKS, *FILLERS))
+def digits(least: int, most: int, separators: str) -> str:
+    """Pattern of whole groups of digits that have ``least`` to ``most`` digits together, as many as there are."""
+    return rf"(?<!\p{{Nd}})\p{{Nd}}(?:{separators}*\p{{Nd}}){{{least - 1},{most - 1}}}(?!\p{{Nd}})"
 
 
-def strip_greeting(text: str | None) -> str | None:
-    """The text after leading greetings, thanks and fillers of up to three words; all of it if nothing would be left."""
-    if text is None:
-        return None
-    words = list(_WORD.finditer(text))
-    at = 0
-    while at < len(words):
-        for n in (3, 2, 1):
-            if at + n <= len(words) and " ".join(w.group().lower() for w in words[at : at + n]) in _POLITE:
-                at += n
-                break
-        else:
-            break
-    return text[words[at].start() :] if 0 < at < len(words) else text
+def _phone() -> str:
+    """Twelve digits from 992, else nine; a plus before them belongs to a number that isn't followed by more digits."""
+    s = PHONE_SEPARATORS
+    abroad = rf"(?<!\p{{Nd}})9{s}*9{s}*2(?:{s}*\p{{Nd}}){{9}}(?!\p{{Nd}})"
+    number = f"(?:{abroad}|{digits(9, 9, s)})"
+    return rf"(?<!\p{{Nd}})\+{number}(?!{s}*\p{{Nd}})|{number}"
+
+
+#: In order: a longer number would be taken for several shorter ones.
+MASKS = (
+    (IBAN, "[IBAN]"), (digits(20, 20, CARD_SEPARATORS), "[ACCOUNT]"), (digits(13, 19, CARD_SEPARATORS), "[CARD]"), (PASSPORT, "[PASSPORT]"), (TAX, "$1$2[INN]"), (_phone(), "[PHONE]")
+)
+
+
+def mask(text: Column) -> Column:
+    """IBANs, accounts, cards, passports, tax numbers and phones as labels; null stays null."""
+    out = text
+    for pattern, label in MASKS:
+        out = F.regexp_replace(out, pattern, label)
+    return F.when(text.rlike(r"\p{Nd}"), out).otherwise(text)
+
+
+def greeting_pattern() -> str:
+    """Leading greetings, thanks and fillers with what separates them; longer phrases come first."""
+    phrases = sorted({*GREETINGS, *THANKS, *FILLERS}, key=lambda p: (-p.count(" "), p))
+    between = r"[^\p{L}\p{N}]+"
+    return rf"^[^\p{{L}}\p{{N}}]*(?:(?:{'|'.join(p.replace(' ', between) for p in phrases)})(?:{between}|$))+"
+
+
+def strip_greeting(text: Column) -> Column:
+    """The text after leading greetings, thanks and fillers; all of it if no word would be left."""
+    rest = F.regexp_replace(text, f"(?iu){greeting_pattern()}", "")
+    return F.when(rest.rlike(r"[\p{L}\p{N}]"), rest).otherwise(text)
+
+
+_WORD = re.compile(r"[^\W_]+")
 
 
 def is_repeat(answer: str, earlier: list[str], same_question: bool = False, affirmed: bool = False) -> bool:
@@ -122,14 +101,5 @@ def _vectorized(f: Callable[[str | None], str | None]) -> Callable[[Column], Col
     return F.pandas_udf(lambda s: pd.Series([f(x) for x in s], dtype="object"), "string")  # type: ignore[call-overload]
 
 
-def mask_column(text: Column) -> Column:
-    """``mask`` on a column; texts without a digit never leave the JVM's column."""
-    return F.when(text.rlike(r"[0-9]"), _vectorized(mask)(text)).otherwise(text)
-
-
-def strip_greeting_column(text: Column) -> Column:
-    return _vectorized(strip_greeting)(text)
-
-
 def collapse_repeats_column(text: Column) -> Column:
     return _vectorized(collapse_repeats)(text)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.rules import mask
+
 MINUTES_PER_DIALOG = 4.5
 PREFIX = 60
 
@@ -62,8 +64,8 @@ def by_channel(messages: DataFrame, since: str, until: str) -> DataFrame:
 
 
 def top_questions(messages: DataFrame, n: int = 10) -> DataFrame:
-    """Most frequent user texts by their first 60 characters; ties by text."""
-    asked = messages.where("role = 'user'").groupBy(F.left("text", F.lit(PREFIX)).alias("question")).agg(F.count("*").alias("n"))
+    """Most frequent user texts, masked, by their first 60 characters; ties by text."""
+    asked = messages.where("role = 'user'").groupBy(F.left(mask(F.col("text")), F.lit(PREFIX)).alias("question")).agg(F.count("*").alias("n"))
     return asked.orderBy(F.desc("n"), "question").limit(n)
 
 
@@ -135,10 +137,15 @@ def inbox_counters(escalations: DataFrame) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, key: str, value: str, share: float) -> DataFrame:
-    """Percentile by index ``int(n * share)`` of the sorted values, with median and worst."""
-    ordered = Window.partitionBy(key).orderBy(value, "id")
-    placed = values.select(key, value, "id").withColumn("at", F.row_number().over(ordered) - 1).withColumn("n", F.count("*").over(Window.partitionBy(key)))
-    rank = lambda p: F.max(F.when(F.col("at") == F.least((F.col("n") * p).cast("int"), F.col("n") - 1), F.col(value)))
+    """Percentile by index ``int(n * share)`` of the sorted values, with median and worst.
+
+    Equal values are counted before the shuffle, and running sums go over the
+    different values only, so that a key of very many rows costs no more.
+    """
+    counted = values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("times"))
+    mine = Window.partitionBy(key)
+    placed = counted.withColumns({"upto": F.sum("times").over(mine.orderBy(value)), "n": F.sum("times").over(mine)})
+    rank = lambda p: F.min(F.when(F.col("upto") > F.least((F.col("n") * p).cast("long"), F.col("n") - 1), F.col(value)))
     return placed.groupBy(key).agg(rank(0.5).alias("median"), rank(share).alias("high"), F.max(value).alias("worst"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import rules
+from tessella.functions import period, rules
 from tessella.functions import text as x
 from tessella.functions import urls as u
 from tessella.plans.registry import query
@@ -325,14 +327,74 @@ def sparkline(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x01_mask")
 def mask(spark: SparkSession, d: str) -> DataFrame:
-    return t.table(spark, d, "documents").select("doc_id", rules.mask_column(F.col("text")).alias("masked"))
+    return t.table(spark, d, "documents").select("doc_id", rules.mask(F.col("text")).alias("masked"))
 
 
-@query("x05_strip_greeting")
+@query("x05_strip_greeting", _TEXTS + f"SELECT kind, id, CASE WHEN regexp_matches(rest, '[\\p{{L}}\\p{{N}}]') THEN rest ELSE text END AS question FROM (SELECT *, regexp_replace(text, '(?i){rules.greeting_pattern()}', '') AS rest FROM texts)")
 def strip_greeting(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).select("kind", "id", rules.strip_greeting_column(F.col("text")).alias("question"))
+    return _texts(spark, d).select("kind", "id", rules.strip_greeting(F.col("text")).alias("question"))
 
 
 @query("x24_collapse_repeats")
 def collapse_repeats(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "documents").select("doc_id", rules.collapse_repeats_column(F.col("text")).alias("collapsed"))
+
+
+PERIODS = (
+    "за сегодня", "имрӯз чӣ хел?", "вчера", "дирӯз", "прошлая неделя", "за неделю прошлую", "ҳафта гузашта", "эта неделя", "на текущей неделе", "за прошлый месяц", "мохи гузашта", "этот месяц", "за июнь", "в декабре", "июнь 2023",
+    "мая 2022 года", "маркетинг", "за 3 дня", "за две недели", "три месяца", "за 5000 дней", "за 99999999999 дней", "за полгода", "за год", "солона", "за неделю", "месяц", "как дела", "", "30 рӯз", "отчёт за янв", "за ноя", "0 дней",
+)
+
+
+def _re2(pattern: str) -> str:
+    """A pattern for DuckDB, whose word boundaries and classes are of ASCII."""
+    pattern = pattern.replace(r"\w", r"[\p{L}\p{N}_]")
+    pattern = re.sub(r"\\b(?=[\w(])", lambda _: r"(?:^|[^\p{L}\p{N}_])", pattern)
+    return pattern.replace(r"\b", r"(?:$|[^\p{L}\p{N}_])")
+
+
+def _periods_sql() -> str:
+    fits = lambda pattern: f"regexp_matches(p, '{_re2(pattern)}')"
+    beside = lambda word, unit: fits(rf"({word.replace(chr(92) + 'b', '')})\s+({unit})|({unit})\s+({word})")
+    month = " ".join(f"WHEN {fits(pattern)} THEN {number}" for number, pattern in period.MONTH_PATTERNS)
+    number = lambda unit: f"regexp_extract(p, '{_re2(rf'({period.COUNT})' + chr(92) + rf's*({unit})')}', 1)"
+    value = lambda n: "CASE {n} {words} ELSE least(coalesce(TRY_CAST({n} AS HUGEINT), 366), 366) END".format(n=n, words=" ".join(f"WHEN '{w}' THEN {v}" for w, v in period.NUMBERS.items()))
+    span = " ".join([f"WHEN {number(unit)} <> '' THEN ({value(number(unit))}) * {days}" for unit, days in period.COUNTED] + [f"WHEN {fits(pattern)} THEN {days}" for pattern, days in period.SPANS])
+    listed = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+    word = lambda t: f"{listed(period.GENITIVE)}[month({t})]"
+    named = lambda t: f"{listed(period.NOMINATIVE)}[month({t})] || ' ' || year({t})"
+    return "WITH " + _values(PERIODS, "phrase") + rf"""
+, asked AS (SELECT event_id, lower(phrase) AS p, ts + INTERVAL 5 HOUR AS now FROM events JOIN fixed ON fixed.id = event_id % {len(PERIODS)}),
+said AS (
+  SELECT *, date_trunc('day', now) AS d, date_trunc('week', now) AS w, date_trunc('month', now) AS m, CASE {month} END AS number,
+         regexp_extract(p, '{_re2(r"\b(20[0-9]{2})\b")}', 1) AS y, CASE {span} END AS days FROM asked),
+dated AS (SELECT *, CASE WHEN days IS NOT NULL THEN least(greatest(days, 1), 366) END AS span, CAST(make_date(CASE WHEN y <> '' THEN CAST(y AS INT) ELSE CAST(year(now) AS INT) - CAST(number > month(now) AS INT) END, number, 1) AS TIMESTAMP) AS named FROM said),
+ruled AS (
+  SELECT *, CASE WHEN {fits(period.TODAY)} THEN 1 WHEN {fits(period.YESTERDAY)} THEN 2 WHEN {beside(period.LAST, period.WEEK)} THEN 3 WHEN {beside(period.THIS, period.WEEK)} THEN 4
+                 WHEN {beside(period.LAST, period.MONTH)} THEN 5 WHEN {beside(period.THIS, period.MONTH)} THEN 6 WHEN number IS NOT NULL THEN 7 WHEN span IS NOT NULL THEN 8 ELSE 9 END AS rule FROM dated),
+bounded AS (
+  SELECT event_id, rule = 9 AS assumed,
+         CASE rule WHEN 1 THEN 'сегодня' WHEN 2 THEN 'вчера' WHEN 3 THEN 'прошлая неделя' WHEN 4 THEN 'эта неделя' WHEN 5 THEN {named("(m - INTERVAL 1 MONTH)")} WHEN 6 THEN {named("m")} || ', с начала месяца'
+                   WHEN 7 THEN {named("named")} ELSE 'последние ' || coalesce(CASE WHEN rule = 8 THEN span END, 7) || ' дней' END AS name,
+         CASE rule WHEN 1 THEN d WHEN 2 THEN d - INTERVAL 1 DAY WHEN 3 THEN w - INTERVAL 7 DAY WHEN 4 THEN w WHEN 5 THEN m - INTERVAL 1 MONTH WHEN 6 THEN m WHEN 7 THEN named
+                   WHEN 8 THEN now - to_days(CAST(span AS INT)) ELSE now - INTERVAL 7 DAY END AS since,
+         CASE rule WHEN 2 THEN d WHEN 3 THEN w WHEN 5 THEN m WHEN 7 THEN named + INTERVAL 1 MONTH ELSE now END AS until FROM ruled),
+worded AS (
+  SELECT *, until - INTERVAL 1 SECOND AS last, CAST(since AS DATE) = CAST(until - INTERVAL 1 SECOND AS DATE) AS one_day, year(since) = year(until - INTERVAL 1 SECOND) AS one_year FROM bounded),
+dates AS (
+  SELECT *, CASE WHEN one_day THEN day(since) || ' ' || {word("since")} || ' ' || year(since)
+                 WHEN one_year AND month(since) = month(last) THEN day(since) || '–' || day(last) || ' ' || {word("since")} || ' ' || year(since)
+                 WHEN one_year THEN day(since) || ' ' || {word("since")} || ' — ' || day(last) || ' ' || {word("last")} || ' ' || year(since)
+                 ELSE day(since) || ' ' || {word("since")} || ' ' || year(since) || ' — ' || day(last) || ' ' || {word("last")} || ' ' || year(last) END AS dates FROM worded)
+SELECT event_id, strftime(since, '%Y-%m-%d %H:%M:%S') AS since, strftime(until, '%Y-%m-%d %H:%M:%S') AS until, assumed,
+       CAST(greatest(1, ceil(datediff('second', since, until) / 86400.0)) AS INT) AS days, CASE WHEN dates = name THEN dates ELSE name || ' · ' || dates END AS title FROM dates"""
+
+
+@query("t01_periods", _periods_sql())
+def periods(spark: SparkSession, d: str) -> DataFrame:
+    """Also T02, T03: each event asks for a period, at its local time."""
+    asked = F.element_at(F.array(*map(F.lit, PERIODS)), (F.col("event_id") % len(PERIODS) + 1).cast("int"))
+    now = F.col("ts").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(5))
+    found = period.parse_periods(t.table(spark, d, "events").select("event_id", asked.alias("phrase"), now.alias("now")))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return found.select("event_id", text("since"), text("until"), "assumed", "days", "title")

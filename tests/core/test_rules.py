@@ -1,8 +1,10 @@
 """Rules without SQL, by example and by property."""
 
 import io
+import random
 import re
 import zipfile
+from datetime import datetime
 
 import pytest
 from hypothesis import given, settings
@@ -24,28 +26,49 @@ from tessella.sources import office, web
         ("01.02.2024", "01.02.2024"), ("35 000 сомони", "35 000 сомони"), ("Рақами 12345678", "Рақами 12345678"), ("12345678901", "12345678901"), ("1" * 30, "1" * 30), ("+1 (555) 123-4567", "+1 (555) 123-4567"),
     ],
 )
-def test_mask(text, masked):
-    assert rules.mask(text) == masked
-
-
-@given(st.text(alphabet="0123456789 -.()+AaТИНН", max_size=60))
-@settings(max_examples=200, deadline=None)
-def test_mask_is_idempotent(text):
-    once = rules.mask(text)
-    assert rules.mask(once) == once
-
-
-@given(st.text(alphabet=st.characters(exclude_categories=["Nd"]), max_size=60))
-def test_mask_leaves_text_without_digits(text):
-    assert rules.mask(text) == text
+def test_mask(spark, text, masked):
+    assert _masked(spark, [text]) == [masked]
+
+
+def _masked(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", rules.mask(F.col("t")))
+    return [r[1] for r in sorted(df.collect())]
+
+
+def _spans(text, separators, labels):
+    """By every pair of groups of digits: from each first group the longest span whose digits fit."""
+    groups = [(m.start(), m.end()) for m in re.finditer(r"[0-9]+", text)]
+    out, at, i = "", 0, 0
+    while i < len(groups):
+        ends = [j for j in range(i, len(groups)) if all(set(text[groups[k][1] : groups[k + 1][0]]) <= set(separators) for k in range(i, j))]
+        fitting = [j for j in ends if labels("".join(text[a:b] for a, b in groups[i : j + 1]))]
+        if fitting:
+            out, at, i = out + text[at : groups[i][0]] + labels("".join(text[a:b] for a, b in groups[i : fitting[-1] + 1])), groups[fitting[-1]][1], fitting[-1] + 1
+        else:
+            i += 1
+    return out + text[at:]
+
+
+def test_mask_by_all_spans(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["1", "22", "992", "93 1", "4444", "55555", " ", "-", ".", "b", "(", ")", "1234567", " x "]) for _ in range(rng.randint(1, 14))) for _ in range(600)]
+    want = []
+    for text in texts:
+        text = _spans(text, " \t.\u00a0-", lambda d: "[ACCOUNT]" if len(d) == 20 else "")
+        text = _spans(text, " \t.\u00a0-", lambda d: "[CARD]" if 13 <= len(d) <= 19 else "")
+        want.append(_spans(text, " \t\u00a0()-", lambda d: "[PHONE]" if len(d) == 9 or len(d) == 12 and d.startswith("992") else ""))
+    got = _masked(spark, texts)
+    assert got == want and _masked(spark, got) == got
+    assert any("[CARD]" in t for t in got) and any("[PHONE]" in t for t in got) and any("[ACCOUNT]" in t for t in got)
+    assert _masked(spark, [None, "", "no digits"]) == [None, "", "no digits"]
 
 
 @pytest.mark.parametrize(
     ("text", "rest"),
-    [("Салом! Чигуна корт гирам?", "Чигуна корт гирам?"), ("Здравствуйте, подскажите, пожалуйста, курс", "курс"), ("Привет", "Привет"), ("У меня вопрос: Где банк?", "Где банк?"), ("Добрый день! Спасибо", "Добрый день! Спасибо"), ("", "")],
+    [("Салом! Чигуна корт гирам?", "Чигуна корт гирам?"), ("Здравствуйте, подскажите, пожалуйста, курс", "курс"), ("Привет", "Привет"), ("У меня вопрос: Где банк?", "Где банк?"), ("Добрый день! Спасибо", "Добрый день! Спасибо"), ("", ""), ("приветливый", "приветливый"), (None, None)],
 )
-def test_strip_greeting(text, rest):
-    assert rules.strip_greeting(text) == rest
+def test_strip_greeting(spark, text, rest):
+    assert spark.createDataFrame([(text,)], "t string").select(rules.strip_greeting(F.col("t"))).first()[0] == rest
 
 
 def test_repeats_and_markers():
@@ -152,17 +175,21 @@ def test_smalltalk_is_whole_messages(spark):
     [
         ("за сегодня", "2026-08-17 00:00", "2026-08-17 13:40"), ("вчера", "2026-08-16 00:00", "2026-08-17 00:00"), ("прошлая неделя", "2026-08-10 00:00", "2026-08-17 00:00"), ("эта неделя", "2026-08-17 00:00", "2026-08-17 13:40"),
         ("за прошлый месяц", "2026-07-01 00:00", "2026-08-01 00:00"), ("за июнь", "2026-06-01 00:00", "2026-07-01 00:00"), ("в декабре", "2025-12-01 00:00", "2026-01-01 00:00"), ("июнь 2025", "2025-06-01 00:00", "2025-07-01 00:00"),
-        ("за 3 дня", "2026-08-14 13:40", "2026-08-17 13:40"), ("за две недели", "2026-08-03 13:40", "2026-08-17 13:40"), ("за все дни", "2026-08-10 13:40", "2026-08-17 13:40"), ("как дела", "2026-08-10 13:40", "2026-08-17 13:40"),
+        ("за 3 дня", "2026-08-14 13:40", "2026-08-17 13:40"), ("за две недели", "2026-08-03 13:40", "2026-08-17 13:40"), ("за все дни", "2026-08-14 13:40", "2026-08-17 13:40"), (None, "2026-08-10 13:40", "2026-08-17 13:40"), ("как дела", "2026-08-10 13:40", "2026-08-17 13:40"),
         ("за 5000 дней", "2025-08-16 13:40", "2026-08-17 13:40"),
     ],
 )
-def test_periods(phrase, since, until):
-    from datetime import datetime
-
-    now = datetime(2026, 8, 17, 13, 40, tzinfo=period.ZONE)
-    got = period.parse_period(phrase, now)
+def test_periods(spark, phrase, since, until):
+    df = spark.createDataFrame([(phrase, datetime(2026, 8, 17, 13, 40))], "phrase string, now timestamp_ntz")
+    got = period.parse_periods(df).first()
     assert (f"{got.since:%Y-%m-%d %H:%M}", f"{got.until:%Y-%m-%d %H:%M}") == (since, until)
-    assert got.assumed == (phrase in ("как дела", "за все дни"))
+    assert got.assumed == (phrase in ("как дела", None))
+
+
+def test_period_titles(spark):
+    rows = [("эта неделя", "эта неделя · 17 августа 2026", 1), ("за июнь", "июнь 2026 · 1–30 июня 2026", 30), ("за год", "последние 365 дней · 17 августа 2025 — 17 августа 2026", 365), ("за 3 месяца", "последние 90 дней · 19 мая — 17 августа 2026", 90)]
+    df = spark.createDataFrame([(p, datetime(2026, 8, 17, 13, 40)) for p, _, _ in rows], "phrase string, now timestamp_ntz")
+    assert {(r["phrase"], r["title"], r["days"]) for r in period.parse_periods(df).collect()} == set(rows)
 
 
 def test_names_stay_out_of_patterns():
