@@ -8,9 +8,9 @@ smaller ``doc_id``. Any such window holds a whole indexed block of the earlier
 document, so that none is missed.
 
 Rolling blocks outnumber the words of the index by far, so they are shuffled
-packed: texts are taken in slices of about a megabyte, the hash space is cut in
-buckets, and a row holds all probes of one slice in one bucket, six bytes for
-each. Equal blocks of one slice are sent once, so that a passage which a third
+packed: texts are taken in slices, the hash space is cut in buckets, and a row
+holds all probes of one slice in one bucket, six bytes for each. Slices and
+buckets grow with the data up to a bound, so that rows stay long. Equal blocks of one slice are sent once, so that a passage which a third
 of the documents share costs a bucket one entry per slice. The words of windows
 that are left (repeated regions only) meet in the same way under 96-bit hashes.
 """
@@ -30,9 +30,15 @@ from tessella.llm.storage import lean
 from tessella.llm.words import U64, WHITESPACE_WORDS, Words, find_words, mix, slices, window_hashes, windows_inside
 
 WINDOW = 50
-#: Text that the entries of one bucket come from, on average.
-BUCKET_BYTES = 8 << 20
+#: Text that is hashed at once.
 SLICE_BYTES = 1 << 20
+#: Text that the entries of one bucket come from, on average, and text of one slice; the least and the most of each.
+BUCKET_BYTES, BUCKET_MOST = 8 << 20, 32 << 20
+PACKED_BYTES, PACKED_MOST = 1 << 20, 16 << 20
+#: Bucket and slice grow from this size of all texts on.
+GROWS_FROM = 4 << 30
+#: Text of one partition of the joins that bring hits to the texts.
+JOIN_BYTES = 64 << 20
 
 _PACKED = pa.schema([("key", pa.int64()), ("slice", pa.int64()), ("entries", pa.binary()), ("at", pa.binary()), ("ids", pa.binary())])
 _PACKED_SQL = "key long, slice long, entries binary, at binary, ids binary"
@@ -91,34 +97,74 @@ def _places(raw: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32), dtype=np.int64)
 
 
-def _packer(window: int, n_buckets: int):
+class _Slice:
+    """Windows of several pieces of a batch, gathered until they make a slice."""
+
+    def __init__(self, n_arrays: int):
+        self.arrays: list[list[np.ndarray]] = [[] for _ in range(n_arrays)]
+        self.ids: list[np.ndarray] = []
+        self.hashes: list[np.ndarray] = []
+        self.first: list[np.ndarray] = [np.zeros(1, np.int64)]
+        self.docs = self.words = self.bytes = 0
+
+    def add(self, ids: np.ndarray, text_hashes: np.ndarray, words: Words, place: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> None:
+        for kept, value in zip(self.arrays, (place + self.words, doc + self.docs, *values)):
+            kept.append(value)
+        self.ids.append(ids)
+        self.hashes.append(text_hashes)
+        self.first.append(words.first[1:] + self.words)
+        self.docs += len(ids)
+        self.words += int(words.first[-1])
+        self.bytes += len(words.data)
+
+    def gathered(self) -> tuple[np.ndarray, ...]:
+        """IDs and hashes of the texts, first words, and the arrays; empty ones if there is no window."""
+        if not self.ids:
+            return ()
+        return (np.concatenate(self.ids), np.concatenate(self.hashes), np.concatenate(self.first), *map(np.concatenate, self.arrays))
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    for lo, hi in slices(batch.column("text"), SLICE_BYTES):
+        part = batch.slice(lo, hi - lo)
+        yield part, find_words(part.column("text"), WHITESPACE_WORDS)
+
+
+def _packer(window: int, n_buckets: int, slice_bytes: int):
     """Probes of all rolling blocks; the lowest bits of an entry say that it is an indexed block too, and that several documents of the slice have it."""
     block = window // 2
 
+    def probes(found: _Slice, slice_id: int) -> Iterator[pa.RecordBatch]:
+        if not found.ids:
+            return
+        ids, text_hashes, first, valid, doc, hashes, aligned = found.gathered()
+        order, head, group = _equal(hashes)
+        firsts = order[head]
+        starts = np.flatnonzero(head)
+        indexed = np.bitwise_or.reduceat(aligned[order], starts)
+        several = np.maximum.reduceat(doc[order], starts) != np.minimum.reduceat(doc[order], starts)
+        entry = np.zeros(len(valid), np.uint32)
+        entry[firsts] = (hashes[firsts] & U64(0x3FFFFFFF)).astype(np.uint32) << np.uint32(2) | indexed.astype(np.uint32) << np.uint32(1) | several
+        again = order[~head]
+        table = _table(ids, text_hashes, first, (valid[firsts[group[~head]]], valid[again]))
+        kept = np.sort(firsts)
+        yield _rows(slice_id, _bucket(hashes[kept], n_buckets), [entry[kept]], valid[kept], table, n_buckets)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TaskContext.get().partitionId() << 32
+        found = _Slice(4)
         for batch in batches:
-            for lo, hi in slices(batch.column("text"), SLICE_BYTES):
-                part = batch.slice(lo, hi - lo)
-                words = find_words(part.column("text"), WHITESPACE_WORDS)
+            for part, words in _pieces(batch):
                 valid = np.flatnonzero(windows_inside(words.first, block))
                 if not len(valid):
                     continue
-                hashes = window_hashes(words.hash, block)[valid]
                 doc = np.repeat(np.arange(len(part)), words.counts)[valid]
                 aligned = (valid - words.first[doc]) % block == 0
-                order, head, group = _equal(hashes)
-                firsts = order[head]
-                starts = np.flatnonzero(head)
-                indexed = np.bitwise_or.reduceat(aligned[order], starts)
-                several = np.maximum.reduceat(doc[order], starts) != np.minimum.reduceat(doc[order], starts)
-                entry = np.zeros(len(valid), np.uint32)
-                entry[firsts] = (hashes[firsts] & U64(0x3FFFFFFF)).astype(np.uint32) << np.uint32(2) | indexed.astype(np.uint32) << np.uint32(1) | several
-                again = order[~head]
-                table = _table(part.column("doc_id").to_numpy(), part.column("text_hash").to_numpy(), words.first, (valid[firsts[group[~head]]], valid[again]))
-                kept = np.sort(firsts)
-                yield _rows(counter, _bucket(hashes[kept], n_buckets), [entry[kept]], valid[kept], table, n_buckets)
-                counter += 1
+                found.add(part.column("doc_id").to_numpy(), part.column("text_hash").to_numpy(), words, valid, doc, window_hashes(words.hash, block)[valid], aligned)
+                if found.bytes >= slice_bytes:
+                    yield from probes(found, counter)
+                    counter, found = counter + 1, _Slice(4)
+        yield from probes(found, counter)
 
     return pack
 
@@ -175,16 +221,31 @@ def _resolve_hits(group: pa.Table) -> pa.Table:
     return pa.table({"doc_id": table[0][docs], "text_hash": table[1][docs], "hits": pa.array([x.astype(np.uint32).tobytes() for x in lists], pa.binary())})
 
 
-def _window_packer(window: int, n_buckets: int):
+def _window_packer(window: int, n_buckets: int, slice_bytes: int):
     """Windows around hits, with the least document of the slice that has each."""
     block = window // 2
 
+    def entries(found: _Slice, slice_id: int) -> Iterator[pa.RecordBatch]:
+        if not found.ids:
+            return
+        ids, text_hashes, first, valid, doc, hashes, second = found.gathered()
+        order, head, group = _equal(hashes)
+        firsts, starts = order[head], np.flatnonzero(head)
+        least = np.minimum.reduceat(ids[doc][order], starts)
+        several = least != np.maximum.reduceat(ids[doc][order], starts)
+        least_of = np.zeros(len(valid), np.int64)
+        least_of[firsts] = least
+        second[firsts] |= several.astype(np.uint32)
+        again = order[~head]
+        table = _table(ids, text_hashes, first, (valid[firsts[group[~head]]], valid[again]))
+        kept = np.sort(firsts)
+        yield _rows(slice_id, _bucket(hashes[kept], n_buckets), [hashes[kept], least_of[kept], second[kept]], valid[kept], table, n_buckets)
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TaskContext.get().partitionId() << 32
+        found = _Slice(4)
         for batch in batches:
-            for lo, hi in slices(batch.column("text"), SLICE_BYTES):
-                part = batch.slice(lo, hi - lo)
-                words = find_words(part.column("text"), WHITESPACE_WORDS)
+            for part, words in _pieces(batch):
                 if words.first[-1] < window:
                     continue
                 edges = np.zeros(int(words.first[-1]) + 1, np.int32)
@@ -197,23 +258,14 @@ def _window_packer(window: int, n_buckets: int):
                 valid = np.flatnonzero(inside & near[: len(inside)])
                 if not len(valid):
                     continue
-                hashes = window_hashes(words.hash, window)[valid]
                 more = window_hashes(words.hash ^ U64(0x5851F42D4C957F2D), window)[valid]
                 doc = np.repeat(np.arange(len(part)), words.counts)[valid]
-                ids = part.column("id_key").to_numpy()
-                order, head, group = _equal(hashes)
-                firsts, starts = order[head], np.flatnonzero(head)
-                least = np.minimum.reduceat(ids[doc][order], starts)
-                several = least != np.maximum.reduceat(ids[doc][order], starts)
-                least_of = np.zeros(len(valid), np.int64)
-                least_of[firsts] = least
                 second = (more >> U64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)
-                second[firsts] |= several.astype(np.uint32)
-                again = order[~head]
-                table = _table(ids, part.column("text_hash").to_numpy(), words.first, (valid[firsts[group[~head]]], valid[again]))
-                kept = np.sort(firsts)
-                yield _rows(counter, _bucket(hashes[kept], n_buckets), [hashes[kept], least_of[kept], second[kept]], valid[kept], table, n_buckets)
-                counter += 1
+                found.add(part.column("id_key").to_numpy(), part.column("text_hash").to_numpy(), words, valid, doc, window_hashes(words.hash, window)[valid], second)
+                if found.bytes >= slice_bytes:
+                    yield from entries(found, counter)
+                    counter, found = counter + 1, _Slice(4)
+        yield from entries(found, counter)
 
     return pack
 
@@ -309,10 +361,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     )
     known = words.where("doc_id IS NOT NULL AND text IS NOT NULL")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(16, -(-total // BUCKET_BYTES))
+    growth = max(1, total // GROWS_FROM)
+    n_buckets = max(16, -(-total // min(BUCKET_BYTES * growth, BUCKET_MOST)))
+    slice_bytes = min(PACKED_BYTES * growth, PACKED_MOST)
     keys = ["id_key", "text_hash"]
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // JOIN_BYTES))
+    words = words.repartition(partitions, *keys)  # both joins read this one exchange
     hits = (
-        known.mapInArrow(lean(_packer(window, n_buckets)), _PACKED_SQL)
+        known.mapInArrow(lean(_packer(window, n_buckets, slice_bytes)), _PACKED_SQL)
         .groupBy("key").applyInArrow(_match, _FOUND_SQL)
         .groupBy("slice").applyInArrow(_resolve_hits, "doc_id long, text_hash long, hits binary")
         .groupBy(F.col("doc_id").alias("id_key"), "text_hash").agg(F.max("hits").alias("hits"))  # of repeated rows, that have equal hits
@@ -320,7 +376,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     # both joins read ``words`` by the same keys, which can't be null, so that the texts are shuffled once
     starts = (
         words.join(hits.hint("merge"), keys)
-        .mapInArrow(lean(_window_packer(window, n_buckets)), _PACKED_SQL)
+        .mapInArrow(lean(_window_packer(window, n_buckets, slice_bytes)), _PACKED_SQL)
         .groupBy("key").applyInArrow(_least, _FOUND_SQL)
         .groupBy("slice").applyInArrow(_resolve_windows, "doc_id long, text_hash long, starts binary")
         .groupBy(F.col("doc_id").alias("id_key"), "text_hash").agg(F.max("starts").alias("starts"))
