@@ -11,7 +11,10 @@ compared word by word on the hit's diagonal, where some words may differ.
 The training side has a seed for every word and mask, so that it is thinned
 before the shuffle by a bitmap of fixed size, made of the benchmark's seeds by
 a Spark aggregation: it only says which seeds can't join. What passes carries
-its neighbouring words, enough to judge the overlap without the text.
+its neighbouring words, enough to judge the overlap without the text. Equal
+seeds with equal neighbours are judged once for all documents of a slice that
+have them, so that a passage which very many documents share is few rows; what
+is left of a frequent seed the skew join splits.
 """
 
 from __future__ import annotations
@@ -53,6 +56,8 @@ SPAN = len(MASKS[0])
 SHAPES = tuple(sorted({m.strip("0") for size in range(1, OVERLAP + 1) for m in masks(size)}, key=lambda x: (-len(x), x)))
 #: Whether an item of so many words (``OVERLAP`` stands for all longer ones) has seeds of a shape.
 _HAS_SHAPE = np.array([[any(m.strip("0") == x for m in masks(size)) for x in SHAPES] if size else [False] * len(SHAPES) for size in range(OVERLAP + 1)])
+#: Documents that a row of one seed and its neighbours stands for at most.
+OWNERS_PER_ROW = 1000
 #: Bits of the bitmap, a power of two: 2 MB.
 BITMAP_BITS = 1 << 24
 
@@ -103,15 +108,31 @@ def _seeds(bitmap: np.ndarray | None, shapes: list[int]):
                 a, b = np.maximum(place + span - OVERLAP, start), np.minimum(place + OVERLAP, end)
                 raw = words.hash.tobytes()
                 near = [raw[8 * x : 8 * y] for x, y in zip(a.tolist(), b.tolist())]
+                if bitmap is None:
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("id").take(pa.array(doc)), pa.array(seed.view(np.int64)), pa.array(place - start, pa.int64()), pa.array(place - a, pa.int32()), pa.array(near, pa.binary()), pa.array(end - start, pa.int64())], names=_ITEM_NAMES
+                    )
+                    continue
+                rows: dict[tuple, list[int]] = {}
+                for i, key in enumerate(zip(seed.view(np.int64).tolist(), (place - a).tolist(), near)):
+                    rows.setdefault(key, []).append(i)
+                groups = [(*key, at[lo : lo + OWNERS_PER_ROW]) for key, at in rows.items() for lo in range(0, len(at), OWNERS_PER_ROW)]
+                flat = np.concatenate([g[3] for g in groups])
+                owners = pa.StructArray.from_arrays(
+                    [part.column("id").take(pa.array(doc[flat])), part.column("text_hash").take(pa.array(doc[flat])), pa.array((place - start)[flat], pa.int64())], names=["doc_id", "text_hash", "place"]
+                )
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(g[3]) for g in groups])]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(doc)), part.column("text_hash").take(pa.array(doc)), pa.array(seed.view(np.int64)), pa.array(place - start, pa.int64()), pa.array(place - a, pa.int32()), pa.array(near, pa.binary()), pa.array(end - start, pa.int64())],
-                    names=["id", "text_hash", "seed", "place", "before", "near", "n_words"],
+                    [pa.array([g[0] for g in groups], pa.int64()), pa.array([g[1] for g in groups], pa.int32()), pa.array([g[2] for g in groups], pa.binary()), pa.ListArray.from_arrays(ends, owners)], names=["seed", "before", "near", "owners"]
                 )
 
     return seeds
 
 
-_SEEDS = "id long, text_hash long, seed long, place long, before int, near binary, n_words long"
+_ITEM_NAMES = ["id", "seed", "place", "before", "near", "n_words"]
+_ITEM_SEEDS = "id long, seed long, place long, before int, near binary, n_words long"
+_OWNERS = "array<struct<doc_id: bigint, text_hash: bigint, place: bigint>>"
+_SEEDS = f"seed long, before int, near binary, owners {_OWNERS}"
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +151,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = int((sums[need:] - sums[:-need]).max()) if n >= need else 0
             matched.append(best if n >= need and best >= need - may_differ(need) else None)
         kept = pa.array(matched, pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_hash"), batch.column("item_id"), batch.column("diagonal"), kept], names=["doc_id", "text_hash", "item_id", "diagonal", "matched"]
-        ).filter(kept.is_valid())
+        yield pa.RecordBatch.from_arrays([batch.column("owners"), batch.column("item_id"), batch.column("item_place"), kept], names=["owners", "item_id", "item_place", "matched"]).filter(kept.is_valid())
 
 
 def _texts(df: DataFrame, key: str) -> DataFrame:
@@ -151,7 +170,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     digits and non-ASCII characters. Texts without a word, null texts and empty
     tables give no rows; equal rows count once.
     """
-    items = _texts(benchmark, "item_id").mapInArrow(_seeds(None, list(range(len(SHAPES)))), _SEEDS)
+    items = _texts(benchmark, "item_id").mapInArrow(_seeds(None, list(range(len(SHAPES)))), _ITEM_SEEDS)
     items = items.groupBy("id", "seed", "place").agg(F.first(F.struct("before", "near", "n_words")).alias("i"))
     items = items.select(F.col("id").alias("item_id"), "seed", F.col("place").alias("item_place"), F.col("i.before").alias("item_before"), F.col("i.near").alias("item_near"), F.col("i.n_words").alias("item_words"))
     bit = F.col("seed").bitwiseAND(F.lit(BITMAP_BITS - 1))
@@ -161,18 +180,16 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         bitmap[row["word"]] = row["bits"]
         sizes |= row["sizes"]
     shapes = np.flatnonzero(_HAS_SHAPE[[size for size in range(OVERLAP + 1) if sizes >> size & 1]].any(axis=0)).tolist()
-    seeds = _texts(docs, "doc_id").mapInArrow(lean(_seeds(bitmap.view(U64), shapes)), _SEEDS).withColumnRenamed("id", "doc_id")
-    hits = seeds.join(items, "seed").withColumn("diagonal", F.col("place") - F.col("item_place"))
-    checked = hits.select("doc_id", "text_hash", "item_id", "diagonal", "before", "near", "item_before", "item_near", "item_words").mapInArrow(
-        lean(_verify), "doc_id long, text_hash long, item_id long, diagonal long, matched int"
-    )
+    seeds = _texts(docs, "doc_id").mapInArrow(lean(_seeds(bitmap.view(U64), shapes)), _SEEDS)
+    checked = seeds.join(items, "seed").select("owners", "item_id", "item_place", "before", "near", "item_before", "item_near", "item_words").mapInArrow(lean(_verify), f"owners {_OWNERS}, item_id long, item_place long, matched int")
+    checked = checked.select(F.explode("owners").alias("o"), "item_id", "item_place", "matched")
+    checked = checked.select("o.doc_id", "o.text_hash", "item_id", (F.col("o.place") - F.col("item_place")).alias("diagonal"), "matched")
     found = checked.groupBy("doc_id", "text_hash", "item_id", "diagonal").agg(F.max("matched").alias("matched"))
     return found.groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("n_places"), F.max("matched").alias("matched"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that overlap an item of ``benchmark``; all columns stay."""
+    """``docs`` without the rows that overlap an item of ``benchmark``; all columns stay, whatever their names."""
     found = find_overlaps(docs, benchmark).select(F.col("doc_id").alias("_found_id"), F.col("text_hash").alias("_found_hash")).distinct()
-    own = docs.withColumn("_own_hash", F.xxhash64(F.coalesce(docs["text"], F.lit("\0null"))))
-    clean = own.join(found.hint("merge"), own["doc_id"].cast("long").eqNullSafe(found["_found_id"]) & (own["_own_hash"] == found["_found_hash"]), "left_anti")
-    return clean.drop("_own_hash")
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("\0null")))
+    return docs.join(found.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(found["_found_id"]) & (own == found["_found_hash"]), "left_anti")
