@@ -12,6 +12,8 @@ document, and the token, at which its budget is used up.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,9 +96,17 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: i
 
 
 def repeat_by_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, to the nearest whole copy; the columns stay."""
-    taken = mix_sources(docs, weights, max_epochs).where("copies > 0").groupBy("doc_id", "text_hash").agg(F.max("copies").alias("_copies"))
-    taken = taken.select(F.col("doc_id").alias("_taken_id"), F.col("text_hash").alias("_taken_hash"), "_copies")
-    own = docs.withColumn("_own_hash", F.xxhash64(F.coalesce(docs["text"], F.lit("\0null"))))
-    joined = own.join(taken, own["doc_id"].eqNullSafe(taken["_taken_id"]) & (own["_own_hash"] == taken["_taken_hash"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*[joined[c] for c in docs.columns])
+    """``docs`` with each row as often as the mix takes it, to the nearest whole copy; the columns stay, whatever their names.
+
+    Rows of one ``doc_id``, text and source are taken one by one by the mix:
+    they are numbered on both sides, so that each gets its own copies.
+    """
+    keys = ["doc_id", "text_hash", "source"]
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("copies"))
+    taken = mix_sources(docs, weights, max_epochs).select(*keys, "copies").withColumn("number", number).where("copies > 0")
+    taken = taken.select(*[F.col(k).alias(f"taken_{k}") for k in (*keys, "number")], "copies")
+    rows = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit("\0null"))).alias("text_hash"), F.struct(*docs.columns).alias("row"))
+    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row"))))
+    same = [F.col(k).eqNullSafe(F.col(f"taken_{k}")) for k in ("doc_id", "source")] + [F.col(k) == F.col(f"taken_{k}") for k in ("text_hash", "number")]
+    joined = rows.join(taken, reduce(and_, same))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -306,7 +306,7 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, target_recal
     groups = classes.where("n_links > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
     keep = groups.select("first.doc_id", "first.text_hash").union(words_less).distinct()
     keep = keep.select(F.col("doc_id").alias("_keep_id"), F.col("text_hash").alias("_keep_hash"))
-    own = F.xxhash64(F.coalesce(docs["text"], F.lit("\0null")))
-    one = docs.withColumn("_own_hash", own)
-    joined = one.join(keep, one["doc_id"].cast("long").eqNullSafe(keep["_keep_id"]) & (one["_own_hash"] == keep["_keep_hash"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_own_hash"]).drop("_own_hash")
+    # the row travels as one struct, beside which helper columns have no names to clash with
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit("\0null"))).alias("hash"))
+    joined = rows.join(keep, rows["id"].eqNullSafe(keep["_keep_id"]) & (rows["hash"] == keep["_keep_hash"]), "left_semi")
+    return joined.dropDuplicates(["id", "hash"]).select("row.*")

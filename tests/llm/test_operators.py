@@ -427,6 +427,26 @@ def test_overlaps(spark, odd, empty):
     assert decontaminate.drop_contaminated(odd, benchmark.limit(0)).count() == 13
 
 
+def test_stages_keep_clashing_columns(spark, odd):
+    """Filtering and repeating stages return the columns they got, whatever these are named; repeated rows get the mix's copies one by one."""
+    for name in ("_own_hash", "row", "copies", "number", "id", "hash", "_keep_id", "taken_doc_id", "label"):
+        docs = odd.withColumnRenamed("extra", name)
+        for got in (ngram_join.keep_one_of_each(docs), decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, "nothing of these")], "item_id long, text string")), mixing.repeat_by_mix(docs)):
+            assert got.columns == docs.columns and {r[name] for r in got.collect()} == {"x"}
+    mixed = mixing.mix_sources(odd)
+    assert mixing.repeat_by_mix(odd).count() == mixed.agg(F.sum("copies")).first()[0]
+
+
+def test_overlaps_of_shared_passages(spark):
+    """A passage that very many documents share, with several items that have it."""
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
+    docs = [(i, f"own{i % 50} {passage} end") for i in range(3000)] + [(9000, "else " + passage.replace("zeta", "zzz"))]
+    items = spark.createDataFrame([(1, passage), (2, "x y " + passage)], "item_id long, text string")
+    got = decontaminate.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, k) for i, _ in docs for k in (1, 2)} and len(got) == 6002
+    assert {r["n_places"] for r in got} == {1} and {r["matched"] for r in got if r["doc_id"] != 9000} == {12}
+
+
 def test_overlaps_brute_force(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
