@@ -35,7 +35,7 @@ MAX_LANGUAGES, TEXTS_PER_LANGUAGE, CHARS_PER_LANGUAGE = 64, 256, 32_000
 #: Characters that one step takes from; it bounds the steps, not the phrases.
 BLOCK = 256
 #: Characters of the texts, times languages, that are parsed at once.
-SLICE = 2_000_000
+SLICE = 4_000_000
 #: A text is of no language if its rate is so many deviations above the mean of texts of the best one. The deviation is that of
 #: pieces of so many characters; shorter texts deviate more, with the root of their length.
 DEVIATIONS, PIECE = 6.0, 100
@@ -60,15 +60,18 @@ def train(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, chars: int = CHARS_P
         return ()
     usable = usable.where(F.col("lang").isin(names))
     different = usable.groupBy("lang", F.xxhash64("text").alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.max(F.length("text")).alias("size"))
-    ranked = different.withColumns(
-        {"place": F.row_number().over(Window.partitionBy("lang").orderBy("hash")), "by_size": F.row_number().over(Window.partitionBy("lang").orderBy("size", "hash"))}
-    )
+    ranked = different.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hash"))).where(F.col("place") <= texts)
+    shortest = different.groupBy("lang").agg(F.min(F.struct("size", "hash", "doc_id")).alias("s")).select("lang", "s.hash", "s.doc_id", "s.size")
+    candidates = sorted(tuple(r) for r in ranked.select("lang", "hash", "doc_id", "size").collect())  # texts of each language at most
     chosen: dict[tuple[str, int], int] = {}
     left = dict.fromkeys(names, chars)
-    for r in sorted(ranked.where((F.col("place") <= texts) | (F.col("by_size") == 1)).collect(), key=lambda r: (r["lang"], r["place"])):  # texts of each language at most, and one
-        if r["size"] <= left[r["lang"]] and r["place"] <= texts or r["by_size"] == 1 and left[r["lang"]] == chars:
-            left[r["lang"]] -= r["size"]
-            chosen[r["lang"], r["doc_id"]] = r["hash"]
+    for name, digest, doc_id, size in candidates:
+        if size <= left[name]:
+            left[name] -= size
+            chosen[name, doc_id] = digest
+    for name, digest, doc_id, _ in shortest.collect():
+        if left[name] == chars:
+            chosen[name, doc_id] = digest
     found = usable.where(F.col("doc_id").isin(sorted({i for _, i in chosen}))).withColumn("hash", F.xxhash64("text")).distinct().collect()
     rows = sorted((r["lang"], r["hash"], r["text"]) for r in found if chosen.get((r["lang"], r["doc_id"])) == r["hash"])
     return tuple((name, "\n".join(text for lang, _, text in rows if lang == name)) for name in names)
@@ -117,42 +120,49 @@ def _automaton(symbols: list[int]) -> list[dict[int, int]]:
 class Tables(NamedTuple):
     """All automata in one hash table of ``state * width + symbol`` (state 0 has no transitions and is between phrases).
 
-    ``fresh`` is where a symbol leads that starts a phrase, by language: it
+    An entry is the key in the upper half and the next state in the lower. ``fresh`` is
+    where a symbol leads that starts a phrase, at ``language * width + symbol``: it
     does where nothing longer matches, and after state 0, where texts begin and
     where a symbol that the sample lacks leads, being a phrase of its own.
     Symbol 0 is any letter that no sample has; the last symbol is space.
     """
 
     letters: list[int]
-    keys: np.ndarray
-    next: np.ndarray
+    entries: np.ndarray
     fresh: np.ndarray
-
-    def step(self, state: np.ndarray, symbol: np.ndarray, language: np.ndarray) -> np.ndarray:
-        """Twice the state that a symbol leads to, and one more if it starts a phrase."""
-        width = self.fresh.shape[1]
-        key = state * np.int64(width) + symbol
-        slot = _slots(key, len(self.keys))
-        out = self.next[slot]
-        found = self.keys[slot]
-        missed = np.flatnonzero(found != key)
-        if len(missed):
-            again = missed[found[missed] >= 0]
-            out[missed] = -1
+    width: int
+
+    def step(self, state: np.ndarray, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Twice the state that a symbol leads to, and one more if it starts a phrase; ``row`` is where the language's part of ``fresh`` begins."""
+        key = state * self.width + symbol
+        slot = _slots(key, len(self.entries))
+        entry = self.entries.take(slot, mode="clip")
+        out = (entry & _LOW) << 1
+        other = np.flatnonzero(entry >> 32 != key)
+        if len(other):
+            start = other
+            again = other[entry[other] >= 0]  # taken by another key: look on
+            gone = np.zeros(len(key), bool)
+            gone[other] = True
             while len(again):
-                slot[again] = (slot[again] + 1) & (len(self.keys) - 1)
-                at = slot[again]
-                hit = self.keys[at] == key[again]
-                out[again[hit]] = self.next[at[hit]]
-                again = again[~hit & (self.keys[at] >= 0)]
-            missed = missed[out[missed] < 0]
-        out *= 2
-        out[missed] = self.fresh[language[missed], symbol[missed]] * 2 + 1
+                at = slot[again] + 1 & len(self.entries) - 1
+                slot[again] = at
+                entry = self.entries[at]
+                hit = entry >> 32 == key[again]
+                found = again[hit]
+                out[found] = (entry[hit] & _LOW) << 1
+                gone[found] = False
+                again = again[~hit & (entry >= 0)]
+            start = other[gone[other]]
+            out[start] = self.fresh[row[start] + symbol[start]]
         return out
 
 
+_LOW = np.int64(0xFFFFFFFF)
+
+
 def _slots(key: np.ndarray, size: int) -> np.ndarray:
-    return (key.astype(U64) * U64(0x9E3779B97F4A7C15) >> U64(64 - size.bit_length() + 1)).astype(np.int64)
+    return (key.view(U64) * U64(0x9E3779B97F4A7C15) >> U64(65 - size.bit_length())).view(np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -162,39 +172,40 @@ def tables(model: Model) -> Tables:
     code = {c: i + 1 for i, c in enumerate(letters)}
     code[" "] = len(letters) + 1
     width = len(letters) + 2
-    fresh = np.zeros((max(1, len(samples)), width), np.int32)
-    keys, values, base = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], 1
+    fresh = np.zeros((max(1, len(samples)), width), np.int64)
+    keys, values, base = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
     for k, sample in enumerate(samples):
         step = _automaton([code[c] for c in sample])
         sizes = np.array([len(s) for s in step])
         symbols = np.fromiter((c for s in step for c in s), np.int64, int(sizes.sum()))
-        targets = np.fromiter((t for s in step for t in s.values()), np.int32, int(sizes.sum()))
+        targets = np.fromiter((t for s in step for t in s.values()), np.int64, int(sizes.sum()))
         keys.append((np.repeat(np.arange(len(step)), sizes) + base) * width + symbols)
-        values.append(targets + np.int32(base))
-        fresh[k, list(step[0])] = np.array(list(step[0].values()), np.int32) + base
+        values.append(targets + base)
+        fresh[k, list(step[0])] = np.array(list(step[0].values()), np.int64) + base
         base += len(step)
         del step
+    if base * width >= 2**31:
+        raise ValueError("the samples have too many characters for their number of different letters")
     key, value = np.concatenate(keys), np.concatenate(values)
-    size = 1 << max(4, int(len(key) * 1.6).bit_length())
-    table, targets = np.full(size, -1, np.int64), np.zeros(size, np.int32)
-    slot, left = _slots(key, size), np.arange(len(key))
+    size = 1 << max(4, int(len(key) * 2).bit_length())
+    table, slot, left = np.full(size, -1, np.int64), _slots(key, size), np.arange(len(key))
     while len(left):  # linear probing: the first of those that want a free slot gets it
         at = slot[left]
         free = np.flatnonzero(table[at] < 0)
         _, first = np.unique(at[free], return_index=True)
         placed = free[first]
-        table[at[placed]], targets[at[placed]] = key[left[placed]], value[left[placed]]
+        table[at[placed]] = key[left[placed]] << 32 | value[left[placed]]
         left = np.delete(left, placed)
         slot[left] = (slot[left] + 1) & (size - 1)
-    return Tables([ord(c) for c in letters], table, targets, fresh)
+    return Tables([ord(c) for c in letters], table, fresh.reshape(-1) * 2 + 1, width)
 
 
 def _symbols(texts: list[str], t: Tables) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of all texts and the text of each, as ``_letters`` has them."""
     joined = "\n".join(x.lower().replace("\n", " ") for x in texts)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    space = t.fresh.shape[1] - 1
-    symbol = np.full(int(points.max(initial=0)) + 1, space, np.int32)
+    space = t.width - 1
+    symbol = np.full(int(points.max(initial=0)) + 1, space, np.int64)
     for p in np.unique(points).tolist():
         if chr(p).isalpha():
             symbol[p] = 0
@@ -230,39 +241,31 @@ def phrase_rates(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray
     trail = np.zeros((n_languages, len(codes)), np.int32)
     # every block from between phrases, the longest first, so that those still going on are in front
     start, left = begins[order], sizes[order]
-    language = np.repeat(np.arange(n_languages), blocks).reshape(n_languages, blocks)
-    state = np.zeros((n_languages, blocks), np.int32)
-    alive = blocks
+    state = np.zeros(n_languages * blocks, np.int64)
+    rows = np.repeat(np.arange(n_languages) * t.width, blocks)
+    alive, ends = blocks, np.searchsorted(-left, -np.arange(int(left[0])), side="left")
     for step in range(int(left[0])):
-        while left[alive - 1] <= step:
-            alive -= 1
+        if ends[step] < alive:
+            kept = int(ends[step])
+            state, rows = (x.reshape(n_languages, alive)[:, :kept].ravel() for x in (state, rows))
+            alive = kept
         at = start[:alive] + step
-        now = t.step(state[:, :alive].reshape(-1), np.tile(codes[at], n_languages), language[:, :alive].reshape(-1)).reshape(n_languages, alive)
-        trail[:, at] = now
-        state[:, :alive] = now >> 1
-    # blocks that go on from another state than they began with, until their parse meets the former one
-    inner = np.flatnonzero(in_doc[begins] > 0)
-    lang, block = np.repeat(np.arange(n_languages), len(inner)), np.tile(inner, n_languages)
-    entered = np.zeros((n_languages, blocks), np.int32)
-    while len(block):
-        enter = trail[lang, begins[block] - 1] >> 1
-        other = enter != entered[lang, block]
-        lang, block, now = lang[other], block[other], enter[other]
-        entered[lang, block] = now
-        changed_lang, changed_block = [], []
-        at, l, b = begins[block], lang, block
-        while len(b):
-            go = t.step(now, codes[at], l)
-            met = (go >> 1) == (trail[l, at] >> 1)
-            trail[l, at] = go
-            ended = ~met & (at + 1 == begins[b] + sizes[b])
-            changed_lang.append(l[ended])
-            changed_block.append(b[ended] + 1)
-            on = ~met & ~ended
-            at, l, b, now = at[on] + 1, l[on], b[on], go[on] >> 1
-        lang, block = np.concatenate(changed_lang or [lang[:0]]), np.concatenate(changed_block or [block[:0]])
-        goes_on = (block < blocks) & (in_doc[begins[np.minimum(block, blocks - 1)]] > 0)
-        lang, block = lang[goes_on], block[goes_on]
+        now = t.step(state, np.tile(codes[at], n_languages), rows)
+        trail[:, at] = now.reshape(n_languages, alive)
+        state = now >> 1
+    # blocks that don't begin between phrases are parsed again from the state before them, until that parse meets the
+    # former one. A parse that goes on into the next block comes there after the next block's own, which set out earlier.
+    inner = begins[in_doc[begins] > 0]
+    language, at = np.repeat(np.arange(n_languages), len(inner)), np.tile(inner, n_languages)
+    state = (trail[language, at - 1] >> 1).astype(np.int64)
+    last = np.append(doc[1:] != doc[:-1], True)
+    going = state != 0
+    while going.any():
+        language, at, state = language[going], at[going], state[going]
+        now = t.step(state, codes[at], language * t.width)
+        going = (now >> 1 != trail[language, at] >> 1) & ~last[at]
+        trail[language, at] = now
+        at, state = at + 1, now >> 1
     for k in range(n_languages):
         rates[:, k] = np.bincount(doc, trail[k] & 1, minlength=len(texts))
     return rates / np.maximum(n, 1)[:, None], n
