@@ -1,8 +1,8 @@
 """Hybrid retrieval for many questions at once: vectors, full text, rank fusion, decision.
 
-Ranking is exact. The questions are taken in blocks of bounded size; each block
-is compared with all chunks where those lie, and only the best of each batch
-are shuffled. Text goes through a join of terms. Wide text joins the hits last.
+Ranking is exact. Questions and chunks are packed in tables of blocks of bounded
+size, which meet in a join; nothing of them passes through the driver, and only
+the best of each meeting are shuffled. Text goes through a join of terms. Wide text joins the hits last.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import terms
+from tessella.session import written
 
 TOP_K, RETURN_K, RRF_K = 12, 3, 60
 COSINE_THRESHOLD, RERANK_THRESHOLD = 0.60, 0.20
 RERANKED, RERANK_CHARS = 6, 400
-#: Question vectors that one job takes along; more questions are more blocks.
-BLOCK = 4096
+#: Question vectors of a block, and chunk vectors of a pack.
+BLOCK, PACK = 1024, 4096
 DIGITS = 6
 
 
@@ -36,55 +37,53 @@ def _ranked(hits: DataFrame, score: str, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def vector_top(questions: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
-    """``query_id, chunk_id, score, rank``: the ``k`` nearest chunks of each question, its own id left out; ties by chunk."""
-    rows = questions.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
-    blocks: list[tuple[np.ndarray, np.ndarray]] = []
-    ids: list[int] = []
-    vectors: list[list[float]] = []
-
-    def flush() -> None:
-        if ids:
-            q = np.array(vectors, np.float64)
-            blocks.append((np.array(ids), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-30)))
-            ids.clear()
-            vectors.clear()
-
-    for row in rows:
-        ids.append(row["query_id"])
-        vectors.append(row["embedding"])
-        if len(ids) == BLOCK:
-            flush()
-    flush()
-    out = None
-    for block in blocks:
-        part = _vector_block(block, chunks, k)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return questions.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
-    return _ranked(out, "score", k)
-
-
-def _vector_block(block: tuple[np.ndarray, np.ndarray], chunks: DataFrame, k: int) -> DataFrame:
-    query_ids, q = block
+def _packs(rows: DataFrame, id_column: str, name: str, per_pack: int) -> tuple[DataFrame, int]:
+    """Rows with vectors in packs of about ``per_pack``, dealt by hash: ``name`` (number of the pack), ``ids``, ``vectors``; and how many packs."""
+    rows = rows.where(F.col("embedding").isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), "embedding")
+    count = max(1, -(-rows.count() // per_pack))
+    packed = rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).groupBy(name).agg(F.collect_list(F.struct("id", "embedding")).alias("r"))
+    return packed.select(name, F.col("r.id").alias(f"{name}_ids"), F.col("r.embedding").alias(f"{name}_vectors")), count
+
+
+def _unit(vectors: pa.Array) -> np.ndarray:
+    """Vectors of a list array as rows of length one."""
+    x = np.array(vectors.to_pylist(), np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
+def _nearest(k: int):
+    """The ``k`` best chunks of a pack for each question of a block, ties by chunk, a question's own left out."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column("embedding").is_valid())
-            if not batch.num_rows:
-                continue
-            c = np.array(batch.column("embedding").to_pylist(), np.float64)
-            chunk_ids = batch.column("chunk_id").to_numpy()
-            scores = np.round(q @ (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-30)).T, DIGITS)
-            scores[query_ids[:, None] == chunk_ids[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(chunk_ids, scores.shape), -scores), axis=1)[:, :k]
-            at = np.arange(len(query_ids))[:, None]
-            kept = np.isfinite(scores[at, order])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.broadcast_to(query_ids[:, None], order.shape)[kept]), pa.array(chunk_ids[order][kept]), pa.array(scores[at, order][kept])], names=["query_id", "chunk_id", "score"]
-            )
-
-    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding").mapInArrow(near, "query_id long, chunk_id long, score double")
+            for i in range(batch.num_rows):
+                query_ids, chunk_ids = (batch.column(f"{n}_ids")[i].values.to_numpy() for n in ("block", "pack"))
+                scores = np.round(_unit(batch.column("block_vectors")[i].values) @ _unit(batch.column("pack_vectors")[i].values).T, DIGITS)
+                scores[query_ids[:, None] == chunk_ids[None, :]] = -np.inf
+                least = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k] if scores.shape[1] > k else np.full((len(query_ids), 1), -np.inf)
+                q, c = np.nonzero((scores >= least) & np.isfinite(scores))
+                order = np.lexsort((chunk_ids[c], -scores[q, c], q))
+                q, c = q[order], c[order]
+                first = np.searchsorted(q, np.arange(len(query_ids)))
+                kept = np.arange(len(q)) - first[q] < k
+                q, c = q[kept], c[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(chunk_ids[c]), pa.array(scores[q, c])], names=["query_id", "chunk_id", "score"])
+
+    return near
+
+
+def vector_top(questions: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
+    """``query_id, chunk_id, score, rank``: the ``k`` nearest chunks of each question, its own id left out; ties by chunk.
+
+    Each pack of chunks meets each block of questions once: a join on the
+    block, whose side of questions Spark broadcasts where its size allows. Only
+    the best of each meeting are shuffled.
+    """
+    blocks, n_blocks = _packs(questions, "query_id", "block", BLOCK)
+    packs, _ = _packs(chunks, "chunk_id", "pack", PACK)
+    meetings = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
+    found = meetings.select("block_ids", "block_vectors", "pack_ids", "pack_vectors").mapInArrow(_nearest(k), "query_id long, chunk_id long, score double")
+    return _ranked(found, "score", k)
 
 
 def text_top(questions: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -103,13 +102,22 @@ def fuse(vector: DataFrame, text: DataFrame) -> DataFrame:
     return part(vector).unionByName(part(text)).groupBy("query_id", "chunk_id").agg(F.round(F.sum("r"), 9).alias("rrf"))
 
 
-def search(questions: DataFrame, chunks: DataFrame, return_k: int = RETURN_K, min_score: float = COSINE_THRESHOLD, top_k: int = TOP_K) -> DataFrame:
+def _without(hits: DataFrame, exclude: DataFrame, score: str, k: int) -> DataFrame:
+    return _ranked(hits.drop("rank").join(exclude, ["query_id", "chunk_id"], "left_anti"), score, k)
+
+
+def search(questions: DataFrame, chunks: DataFrame, return_k: int = RETURN_K, min_score: float = COSINE_THRESHOLD, top_k: int = TOP_K, exclude: DataFrame | None = None) -> DataFrame:
     """Hits of each question: ``query_id, chunk_id, document_id, title, score, rrf, place, has_answer``.
 
     Ordered by fused rank, then cosine, then chunk. The decision compares the
     best cosine of the returned hits with the threshold, never the fused rank.
+    ``exclude`` (``query_id, chunk_id``, a few of each question) are no hits.
     """
-    merged = fuse(vector_top(questions, chunks, top_k), text_top(questions, chunks, top_k))
+    more = 0 if exclude is None else exclude.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    by_vector, by_text = vector_top(questions, chunks, top_k + more), text_top(questions, chunks, top_k + more)
+    if more:
+        by_vector, by_text = _without(by_vector, exclude, "score", top_k), _without(by_text, exclude, "text_score", top_k)
+    merged = fuse(by_vector, by_text)
     wide = merged.join(chunks.select("chunk_id", "document_id", "title", F.col("embedding").alias("c")), "chunk_id").join(questions.select("query_id", F.col("embedding").alias("q")), "query_id")
     scored = wide.select("query_id", "chunk_id", "document_id", "title", cosine(F.col("c"), F.col("q")).alias("score"), "rrf")
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), F.desc("score"), "chunk_id")
@@ -125,6 +133,31 @@ def more_from_documents(seen: DataFrame, chunks: DataFrame, questions: DataFrame
     return _ranked(scored, "score", limit)
 
 
+def search_in_context(asked: DataFrame, chunks: DataFrame, seen: DataFrame, return_k: int = RETURN_K, min_score: float = COSINE_THRESHOLD) -> DataFrame:
+    """Search as asked; what has no answer but a history is tried once more: ``query_id, stage, chunk_id, place``.
+
+    ``asked`` has ``query_id, question, embedding`` and, where the history gives them, ``topic, topic_embedding`` (of an
+    affirmation) or ``standalone, standalone_embedding`` (the question rewritten). An affirmation searches the topic
+    without the chunks ``seen`` (stage ``topic``), else goes on in the documents of these (``continued``); any other
+    question searches its rewritten form if that is another (``rewritten``). Where that finds nothing either the first
+    hits stay (``as_is``). Each stage takes only the questions that the one before left.
+    """
+    form = lambda df, name: df.select("query_id", F.col(name).alias("question"), F.col(f"{name}_embedding").alias("embedding"))
+    hits = lambda df, stage, place="place": df.select("query_id", F.lit(stage).alias("stage"), "chunk_id", F.col(place).alias("place"))
+    first = written(search(asked.select("query_id", "question", "embedding"), chunks, return_k, min_score))
+    left = asked.join(first.where("has_answer").select("query_id").distinct(), "query_id", "left_anti")
+    agreed = form(left.where("topic IS NOT NULL"), "topic")
+    by_topic = written(search(agreed, chunks, return_k, min_score, exclude=seen).where("has_answer"))
+    unread = agreed.join(by_topic.select("query_id").distinct(), "query_id", "left_anti")
+    continued = written(more_from_documents(seen.join(unread.select("query_id"), "query_id", "left_semi"), chunks, unread, return_k))
+    changed = F.lower(F.trim("standalone")) != F.lower(F.trim("question"))
+    rewritten = written(search(form(left.where("topic IS NULL").where(changed), "standalone"), chunks, return_k, min_score).where("has_answer"))
+    stay = first
+    for second in (by_topic, continued, rewritten):
+        stay = stay.join(second.select("query_id").distinct(), "query_id", "left_anti")
+    return hits(by_topic, "topic").unionByName(hits(continued, "continued", "rank")).unionByName(hits(rewritten, "rewritten")).unionByName(hits(stay, "as_is"))
+
+
 def rerank(hits: DataFrame, scorer, threshold: float = RERANK_THRESHOLD) -> DataFrame:
     """Hits reordered by ``scorer(question, text)``, a column function that may give null.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +35,15 @@ def fold_escalations(events: DataFrame) -> DataFrame:
     order = F.struct("at", "id")
     last_end = F.max(F.when(ends, order)).over(Window.partitionBy("conversation_id"))
     fresh = events.withColumn("last_end", last_end).withColumn("live", F.col("last_end").isNull() | (order > F.col("last_end")))
+    opened = F.min(F.when(F.col("live") & (F.col("action") == "escalate"), order)).over(Window.partitionBy("conversation_id"))
+    fresh = fresh.withColumn("opened", opened)
+    takes = F.col("live") & (F.col("action") == "take") & (order > F.col("opened"))
     folded = fresh.groupBy("conversation_id").agg(
         F.max_by(F.when(ends, F.col("action")), F.when(ends, order)).alias("ended"),
         F.min(F.when(F.col("live") & (F.col("action") == "escalate"), order)).alias("escalated"),
-        F.collect_list(F.when(F.col("live") & (F.col("action") == "take"), F.struct("at", "id", "actor"))).alias("takes"),
+        F.min_by(F.when(takes, F.col("actor")), F.when(takes, order)).alias("first"),
     )
-    takes = F.sort_array(F.filter("takes", lambda t: t["at"].isNotNull() & (F.struct(t["at"].alias("at"), t["id"].alias("id")) > F.col("escalated"))))
-    first = F.try_element_at(takes, F.lit(1))["actor"]
+    first = F.col("first")
     state = F.when(F.col("escalated").isNotNull() & first.isNotNull(), "taken").when(F.col("escalated").isNotNull(), "waiting").when(F.col("ended") == "close", "closed").otherwise("bot")
     return folded.select("conversation_id", state.alias("state"), F.when(F.col("escalated").isNotNull(), first).alias("taken_by"))
 
@@ -118,21 +123,24 @@ def anchored_window_hits(hits: DataFrame, limit: int = 20, seconds: int = 60) ->
     """Rate limit with windows that start at a key's first hit: ``key, id, used, allowed``.
 
     Where a window starts depends on the one before, so each key's hits are
-    folded in order; a key's times alone go through Python.
+    folded in order. They stream past sorted, and a key of any number of hits
+    takes no more memory than its current window.
     """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"])
-        start, used, out = None, 0, []
-        for at in pdf["at"]:
-            if start is None or (at - start).total_seconds() >= seconds:
-                start, used = at, 0
-            used += 1
-            out.append(used)
-        return pd.DataFrame({"key": pdf["key"], "id": pdf["id"], "used": out, "allowed": [limit <= 0 or u <= limit for u in out]})
-
-    return hits.select("key", "id", F.col("at").cast("timestamp").alias("at")).groupBy("key").applyInPandas(fold, "key string, id long, used int, allowed boolean")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, start, used = None, 0, 0
+        for batch in batches:
+            out = []
+            for own, at in zip(batch.column("key").to_pylist(), batch.column("micros").to_pylist()):
+                if own != key or at - start >= seconds * 1_000_000:
+                    key, start, used = own, at, 0
+                used += 1
+                out.append(used)
+            allowed = pa.array([limit <= 0 or u <= limit for u in out])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), pa.array(out, pa.int32()), allowed], names=["key", "id", "used", "allowed"])
+
+    rows = hits.select("key", "id", F.unix_micros(F.col("at").cast("timestamp")).alias("micros")).where("key IS NOT NULL")
+    return rows.repartition("key").sortWithinPartitions("key", "micros", "id").mapInArrow(fold, "key string, id long, used int, allowed boolean")
 
 
 def trim_history(turns: Column, last: int = 10, budget: int = 1500) -> Column:

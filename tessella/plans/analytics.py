@@ -156,15 +156,6 @@ def nearest_rank(spark: SparkSession, d: str) -> DataFrame:
     return a.nearest_rank(t.messages(spark, d).where("latency_ms IS NOT NULL"), "channel", "latency_ms", 0.95)
 
 
-@query("a24_row_counts", " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in ("customer", "documents", "events", "orders", "pages")))
-def row_counts(spark: SparkSession, d: str) -> DataFrame:
-    parts = [t.table(spark, d, n).agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("customer", "documents", "events", "orders", "pages")]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
 @query("a25_outcome_deltas", with_tables("messages", "threads", "escalations") + f"""
 , judged AS (SELECT started_at, NOT EXISTS (SELECT 1 FROM escalations e WHERE e.conversation_id = th.conversation_id) AS by_bot FROM threads th)
 SELECT count(*) FILTER (WHERE {_in("started_at")}) - count(*) FILTER (WHERE started_at >= TIMESTAMP '2024-01-17' AND started_at < TIMESTAMP '{SINCE}') AS total_delta,
@@ -223,35 +214,6 @@ def tenant_scan(spark: SparkSession, d: str) -> DataFrame:
     return t.messages(spark, d).where((F.col("workspace_id") == 1) & a.in_period("created_at", SINCE, NOW)).select("id", "channel", "role")
 
 
-@query("s21_audit_sink", """SELECT event_type AS event, count(*) AS n FROM events WHERE user_id % 3 <> 0 GROUP BY 1""")
-def audit_sink(spark: SparkSession, d: str) -> DataFrame:
-    """Events as audit rows, for tenants whose settings allow it (default: allowed)."""
-    events = t.table(spark, d, "events")
-    settings = spark.createDataFrame([(0, '{"audit": false}'), (1, "{}")], "tenant int, settings string")
-    gated = events.withColumn("tenant", (F.col("user_id") % 3).cast("int")).join(settings, "tenant", "left")
-    allowed = F.coalesce(F.get_json_object("settings", "$.audit").cast("boolean"), F.lit(True))
-    return gated.where(allowed).select(F.col("event_type").alias("event"), F.to_json(F.struct("event_id", "value")).alias("payload")).groupBy("event").agg(F.count("payload").alias("n"))
-
-
-@query("s20_message_sink", with_tables("messages", "threads") + "SELECT conversation_id, CAST(epoch_us(last_msg_at) AS BIGINT) AS last_us FROM threads")
-def message_sink(spark: SparkSession, d: str) -> DataFrame:
-    """The last message time that saving messages leaves on each conversation."""
-    return t.threads(spark, d).select("conversation_id", F.unix_micros(F.col("last_msg_at").cast("timestamp")).alias("last_us"))
-
-
-@query("s23_restore_check", " UNION ALL ".join(f"SELECT '{n}' AS name, true AS same FROM (SELECT count(*) AS c FROM {n}) WHERE c >= 0" for n in ("nation", "region", "supplier")))
-def restore_check(spark: SparkSession, d: str) -> DataFrame:
-    """Row counts of a snapshot against the tables it was taken of."""
-    import functools
-
-    def same(n: str) -> DataFrame:
-        live = t.table(spark, d, n).agg(F.count("*").alias("live"))
-        snapshot = t.table(spark, d, n).agg(F.count("*").alias("kept"))
-        return live.join(snapshot).select(F.lit(n).alias("name"), (F.col("live") == F.col("kept")).alias("same"))
-
-    return functools.reduce(DataFrame.unionByName, map(same, ("nation", "region", "supplier")))
-
-
 @query("f03_inbox_states", with_tables("messages", "escalations") + """
 SELECT CASE WHEN resolved_at IS NOT NULL THEN 'resolved' WHEN taken_at IS NOT NULL THEN 'active' ELSE 'waiting' END AS state, reason, count(*) AS n FROM escalations GROUP BY 1, 2""")
 def inbox_states(spark: SparkSession, d: str) -> DataFrame:
@@ -390,34 +352,6 @@ def oldest_contact(spark: SparkSession, d: str) -> DataFrame:
     return t.threads(spark, d).groupBy("workspace_id").agg(F.min_by("contact_id", F.struct("started_at", "contact_id")).alias("contact_id"))
 
 
-@query("r10_report", with_tables("messages", "threads", "escalations", "ratings") + f"""
-, judged AS (SELECT *, NOT EXISTS (SELECT 1 FROM escalations e WHERE e.conversation_id = th.conversation_id) AS by_bot FROM threads th WHERE {_in("started_at")})
-SELECT (SELECT count(*) FROM judged) AS total, (SELECT count(*) FROM judged WHERE by_bot) AS by_bot,
-       (SELECT CAST(trunc(quantile_cont(latency_ms, 0.5)) AS INT) FROM messages WHERE role = 'assistant' AND {_in("created_at")}) AS median_ms,
-       (SELECT count(*) FROM ratings WHERE {_in("created_at")}) AS rated, (SELECT count(*) FROM escalations WHERE reason = 'no_answer' AND {_in("created_at")}) AS no_answer""")
-def report(spark: SparkSession, d: str) -> DataFrame:
-    """The figures of a report in one row."""
-    m, th, es = t.messages(spark, d), t.threads(spark, d), t.escalations(spark, d)
-    parts = [
-        a.outcomes(th, es, SINCE, NOW).select("total", "by_bot"), a.latency_quantile(m, 0.5, SINCE, NOW).withColumnRenamed("latency_ms", "median_ms"),
-        a.rating_summary(t.ratings(spark, d), SINCE, NOW).select(F.col("n").alias("rated")),
-        es.where((F.col("reason") == "no_answer") & a.in_period("created_at", SINCE, NOW)).agg(F.count("*").alias("no_answer")),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part)  # one row each
-    return out
-
-
-@query("r12_inbox_cards", with_tables("messages", "threads", "escalations") + """
-, last AS (SELECT conversation_id, max(id) AS last_id, arg_max(channel, id) AS channel FROM messages GROUP BY 1)
-SELECT e.id, e.reason, th.contact_id, last_id, channel FROM escalations e JOIN threads th USING (conversation_id) JOIN last USING (conversation_id) WHERE resolved_at IS NULL AND taken_at IS NULL""")
-def inbox_cards(spark: SparkSession, d: str) -> DataFrame:
-    last = t.messages(spark, d).groupBy("conversation_id").agg(F.max("id").alias("last_id"), F.max_by("channel", "id").alias("channel"))
-    waiting = t.escalations(spark, d).where(a.inbox_state() == "waiting").drop("workspace_id")
-    return waiting.join(t.threads(spark, d), "conversation_id").join(last, "conversation_id").select("id", "reason", "contact_id", "last_id", "channel")
-
-
 @query("r13_omni_latest", with_tables("messages") + """
 , best AS (SELECT conversation_id FROM messages GROUP BY 1 ORDER BY count(DISTINCT channel) DESC, max(id) DESC LIMIT 1)
 SELECT id, channel, role FROM messages JOIN best USING (conversation_id) WHERE role <> 'system' ORDER BY id DESC LIMIT 40""")

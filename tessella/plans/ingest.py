@@ -33,7 +33,8 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 @query("s19_chunk_terms")
 def chunk_terms(spark: SparkSession, d: str) -> DataFrame:
     """Chunks with their terms, as the chunk sink writes them."""
-    return chunking.chunk_documents(_documents(spark, d)).select("doc_id", "ord", F.size(x.terms(F.col("text"))).alias("n_terms"), F.size(F.array_distinct(x.terms(F.col("text")))).alias("distinct_terms"))
+    found = chunking.chunk_documents(_documents(spark, d)).select("doc_id", "ord", x.terms(F.col("text")).alias("terms"))
+    return found.select("doc_id", "ord", F.size("terms").alias("n_terms"), F.size(F.array_distinct("terms")).alias("distinct_terms"))
 
 
 @query("s08_crawl")

@@ -13,14 +13,18 @@ from tessella.sources.standin import with_tables
 _TERMS = r"list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1)"
 _COSINE = "round(list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[]), 6)"
 
-_BASE = with_tables("chunks") + f"""
-, questions AS (SELECT b.item_id AS query_id, b.text AS question, e.embedding AS q FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id),
+_QUESTIONS = "SELECT b.item_id AS query_id, b.text AS question, e.embedding AS q FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id"
+
+
+def _base(questions: str = _QUESTIONS, exclude: str = "") -> str:
+    return with_tables("chunks") + f"""
+, questions AS ({questions}),
 vec AS (SELECT query_id, chunk_id, {_COSINE.format(a="embedding", b="q")} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {_COSINE.format(a="embedding", b="q")} DESC, chunk_id) AS rank
-  FROM questions, chunks WHERE chunk_id <> query_id QUALIFY rank <= 12),
+  FROM questions, chunks WHERE chunk_id <> query_id {exclude} QUALIFY rank <= 12),
 asked AS (SELECT query_id, len(list_distinct({_TERMS.format(c="question")})) AS n_terms, unnest(list_distinct({_TERMS.format(c="question")})) AS term FROM questions),
 postings AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({_TERMS.format(c="text")}) AS term FROM chunks) GROUP BY 1, 2),
 matched AS (SELECT query_id, chunk_id, round(sum(0.1::DOUBLE * list_sum(list_transform(range(1, tf + 1), lambda j: 1.0::DOUBLE / (j * j))) / n_terms) / 1.64493406685, 6) AS text_score
-  FROM postings JOIN asked USING (term) WHERE chunk_id <> query_id GROUP BY 1, 2),
+  FROM postings JOIN asked USING (term) WHERE chunk_id <> query_id {exclude} GROUP BY 1, 2),
 txt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY text_score DESC, chunk_id) AS rank FROM matched QUALIFY rank <= 12),
 merged AS (SELECT coalesce(v.query_id, x.query_id) AS query_id, coalesce(v.chunk_id, x.chunk_id) AS chunk_id, round(coalesce(1.0::DOUBLE / (60 + v.rank), 0) + coalesce(1.0::DOUBLE / (60 + x.rank), 0), 9) AS rrf
   FROM vec v FULL OUTER JOIN txt x ON v.query_id = x.query_id AND v.chunk_id = x.chunk_id),
@@ -30,6 +34,9 @@ cases AS (SELECT query_id, max(score) AS best_score, CASE WHEN query_id % 3 = 0
 """
 
 
+_BASE = _base()
+
+
 @query("r01_vector_top", _BASE + "SELECT query_id, chunk_id, score, rank FROM vec")
 def vector_top(spark: SparkSession, d: str) -> DataFrame:
     """Also W01, O01 and M01."""
@@ -123,3 +130,39 @@ def rerank(spark: SparkSession, d: str) -> DataFrame:
     hits = r.search(q, c, return_k=r.RERANKED).join(c.select("chunk_id", "text"), "chunk_id").join(q.select("query_id", "question"), "query_id")
     shared = lambda a, b: F.size(F.array_intersect(terms(a), terms(b))) / F.greatest(F.size(F.array_distinct(terms(a))), F.lit(1))
     return r.rerank(hits, shared).select("query_id", "chunk_id", F.round("rerank", 6).alias("rerank"), "place", "has_answer")
+
+
+#: A lower threshold than in use, as the test vectors are random.
+LOW = 0.32
+_OTHER = "SELECT b.item_id AS query_id, o.text AS question, e.embedding AS q FROM benchmark b JOIN benchmark o ON o.item_id = (b.item_id + {step}) % (SELECT count(*) FROM benchmark) JOIN embeddings e ON e.vec_id = o.item_id WHERE b.item_id % 4 {which}"
+_SEEN = "seen AS (SELECT item_id AS query_id, item_id + unnest([1, 2, 3]) AS chunk_id FROM benchmark WHERE item_id % 4 = 1)"
+_NOT_SEEN = "AND NOT EXISTS (SELECT 1 FROM (SELECT item_id AS s_query, item_id + unnest([1, 2, 3]) AS s_chunk FROM benchmark WHERE item_id % 4 = 1) WHERE s_query = query_id AND s_chunk = chunk_id)"
+
+
+@query("r08_contextual_search", with_tables("chunks") + f"""
+, {_SEEN}, {"all_questions AS (" + _QUESTIONS + ")"},
+first AS ({_BASE} SELECT query_id, chunk_id, place, max(score) OVER (PARTITION BY query_id) >= {LOW} AS ok FROM hits),
+unresolved AS (SELECT query_id FROM all_questions WHERE query_id NOT IN (SELECT query_id FROM first WHERE ok)),
+by_topic AS ({_base(_OTHER.format(step=1, which="= 1"), _NOT_SEEN)} SELECT query_id, chunk_id, place, max(score) OVER (PARTITION BY query_id) >= {LOW} AS ok FROM hits),
+topic AS (SELECT * FROM by_topic WHERE ok AND query_id IN (SELECT query_id FROM unresolved)),
+unread AS (SELECT * FROM ({_OTHER.format(step=1, which="= 1")}) WHERE query_id IN (SELECT query_id FROM unresolved) AND query_id NOT IN (SELECT query_id FROM topic)),
+cited AS (SELECT DISTINCT u.query_id, c.document_id, u.q FROM unread u JOIN seen USING (query_id) JOIN chunks c USING (chunk_id)),
+continued AS (
+  SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY {_COSINE.format(a="embedding", b="q")} DESC, chunk_id) AS place
+  FROM cited JOIN chunks USING (document_id) WHERE (query_id, chunk_id) NOT IN (SELECT query_id, chunk_id FROM seen) QUALIFY place <= 3),
+by_form AS ({_base(_OTHER.format(step=2, which="IN (2, 3)"))} SELECT query_id, chunk_id, place, max(score) OVER (PARTITION BY query_id) >= {LOW} AS ok FROM hits),
+rewritten AS (SELECT * FROM by_form WHERE ok AND query_id IN (SELECT query_id FROM unresolved)),
+second AS (SELECT query_id, 'topic' AS stage, chunk_id, place FROM topic UNION ALL SELECT query_id, 'continued', chunk_id, place FROM continued UNION ALL SELECT query_id, 'rewritten', chunk_id, place FROM rewritten)
+SELECT * FROM second UNION ALL SELECT query_id, 'as_is', chunk_id, place FROM first WHERE query_id NOT IN (SELECT query_id FROM second)""")
+def contextual_search(spark: SparkSession, d: str) -> DataFrame:
+    """Also X45's rule that a question without a history, or that rewriting leaves as it is, is searched once. The next
+    item plays an affirmation's topic, the one after next a rewritten question; the three chunks after the item's own
+    were seen."""
+    q, c = t.questions(spark, d), t.chunks(spark, d)
+    count = q.count()
+    i = F.col("query_id")
+    other = lambda name: q.select(F.col("query_id").alias(f"{name}_id"), F.col("question").alias(name), F.col("embedding").alias(f"{name}_embedding"))
+    asked = q.withColumns({"topic_id": F.when(i % 4 == 1, (i + 1) % count), "standalone_id": F.when((i % 4).isin(2, 3), (i + 2) % count)})
+    asked = asked.join(other("topic"), "topic_id", "left").join(other("standalone"), "standalone_id", "left")
+    seen = q.where(i % 4 == 1).select("query_id", F.explode(F.array(i + 1, i + 2, i + 3)).alias("chunk_id"))
+    return r.search_in_context(asked, c, seen, min_score=LOW)

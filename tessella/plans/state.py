@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as x
 from tessella.operators import state as s
 from tessella.plans.registry import query
+from tessella.session import shared_folder
 from tessella.sources import standin as t
 from tessella.sources.standin import with_tables
 
@@ -41,9 +42,7 @@ def merge_contacts(spark: SparkSession, d: str) -> DataFrame:
     from tessella.sources.standin import table
 
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("contact_id"))
     return s.rewrite_contacts(orders, s.resolve_merges(_merges(spark, d))).groupBy("contact_id").agg(F.count("*").alias("n"))
 
@@ -169,29 +168,45 @@ def idle_threads(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id", F.session_window("at", "30 minutes").alias("w")).agg(F.count("*").alias("turns")).select("user_id", "turns", F.unix_micros("w.start").alias("start_us"))
 
 
-@query("e06_fanout_cap", with_tables("messages") + "SELECT contact_id, id FROM messages QUALIFY row_number() OVER (PARTITION BY contact_id ORDER BY id) <= 50")
+@query("e06_fanout_cap", with_tables("messages") + "SELECT contact_id, id FROM messages QUALIFY row_number() OVER (PARTITION BY contact_id, CAST(created_at AS DATE) ORDER BY id) <= 100")
 def fanout_cap(spark: SparkSession, d: str) -> DataFrame:
-    """A subscriber's queue holds so many events; new ones are dropped when it is full."""
+    """A subscriber's queue holds 100 events of a batch (here a day); new ones are dropped when it is full."""
     from pyspark.sql import Window
 
-    at = F.row_number().over(Window.partitionBy("contact_id").orderBy("id"))
-    return t.messages(spark, d).withColumn("at", at).where("at <= 50").select("contact_id", "id")
+    at = F.row_number().over(Window.partitionBy("contact_id", F.to_date("created_at")).orderBy("id"))
+    return t.messages(spark, d).withColumn("at", at).where("at <= 100").select("contact_id", "id")
+
+
+_NORMAL = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))"
+_SOCIAL = ", ".join(f"'{w}'" for w in (*x.GREETINGS, *x.THANKS, *x.FAREWELL))
+_WANTS = rf"regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])({x.OPERATOR_WORDS})')"
 
 
-@query("r09_message_routes", with_tables("chat") + rf"""
-SELECT id, CASE WHEN role = 'system' THEN 'silent' WHEN regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}_])({x.OPERATOR_WORDS})') THEN 'operator' WHEN length(trim(text)) < 20 THEN 'smalltalk' WHEN role = 'user' THEN 'answer' ELSE 'no_answer' END AS route FROM chat""")
+@query("r09_message_routes", with_tables("messages", "threads", "escalations", "chunks") + rf"""
+, held AS (SELECT DISTINCT conversation_id FROM escalations WHERE resolved_at IS NULL AND taken_at IS NOT NULL),
+known AS (SELECT DISTINCT unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1)) AS term FROM chunks),
+asked AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, text, {_NORMAL} AS plain FROM conversations WHERE role = 'user'),
+terms AS (SELECT DISTINCT id, unnest(list_filter(string_split(plain, ' '), lambda w: length(w) > 1)) AS term FROM asked),
+found AS (SELECT id, count(*) AS n, count(known.term) AS hits FROM terms LEFT JOIN known USING (term) GROUP BY 1),
+before AS (SELECT id, lag(plain) OVER (PARTITION BY conv_id ORDER BY turn) AS last FROM asked)
+SELECT a.id, CASE WHEN EXISTS (SELECT 1 FROM held h WHERE h.conversation_id % 97 = a.conv_id % 97) THEN 'silent' WHEN {_WANTS} THEN 'operator' WHEN plain IN ({_SOCIAL}) THEN 'smalltalk'
+            WHEN coalesce(hits, 0) * 2 < coalesce(n, 1) THEN 'no_answer' WHEN last = plain THEN 'repeat' ELSE 'answer' END AS route
+FROM asked a LEFT JOIN found USING (id) LEFT JOIN before USING (id)""")
 def message_routes(spark: SparkSession, d: str) -> DataFrame:
-    """Also R16: the order of the rules decides."""
-    c, role = F.col("text"), F.col("role")
-    route = F.when(role == "system", "silent").when(x.wants_operator(c), "operator").when(F.length(F.trim(c)) < 20, "smalltalk").when(role == "user", "answer").otherwise("no_answer")
-    return t.chat(spark, d).select("id", route.alias("route"))
-
-
-@query("r11_overview", with_tables("messages", "threads", "escalations") + """
-SELECT (SELECT count(*) FROM threads) AS threads, (SELECT count(*) FROM escalations) AS escalations, (SELECT count(DISTINCT channel) FROM messages) AS channels, (SELECT count(*) FROM documents) AS documents,
-       (SELECT count(*) FROM documents) > 0 AND (SELECT count(*) FROM messages) > 0 AS ready""")
-def overview(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda df, c, name: df.agg(c.alias(name))
-    out = one(t.threads(spark, d), F.count("*"), "threads").join(one(t.escalations(spark, d), F.count("*"), "escalations"))
-    out = out.join(one(t.messages(spark, d), F.count_distinct("channel"), "channels")).join(one(t.table(spark, d, "documents"), F.count("*"), "documents"))
-    return out.withColumn("ready", (F.col("documents") > 0) & (F.col("threads") > 0))
+    """Also R16. The order of the rules decides: a conversation that an operator has taken is silent for the bot, then a
+    wish for an operator, small talk, a question that the knowledge base doesn't cover, a repeated question, an answer.
+    Held conversations are matched by their remainder modulo 97, as the two stand-in tables have no common ids; the
+    share of a question's terms that the chunks have stands in for the search's threshold."""
+    from pyspark.sql import Window
+
+    held = t.escalations(spark, d).where(F.col("resolved_at").isNull() & F.col("taken_at").isNotNull()).select((F.col("conversation_id") % 97).alias("slot")).distinct()
+    asked = t.chat(spark, d).where("role = 'user'").select("id", "conversation_id", "turn", "text", x.normalize(F.col("text")).alias("plain"))
+    asked = asked.withColumn("last", F.lag("plain").over(Window.partitionBy("conversation_id").orderBy("turn")))
+    known = t.chunks(spark, d).select(F.explode(x.terms(F.col("text"))).alias("term")).distinct().withColumn("hit", F.lit(1))
+    terms = asked.select("id", F.explode(F.array_distinct(x.terms(F.col("plain")))).alias("term")).join(known, "term", "left").groupBy("id").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    judged = asked.join(terms, "id", "left").withColumn("slot", F.col("conversation_id") % 97).join(held.withColumn("held", F.lit(True)), "slot", "left")
+    route = (
+        F.when(F.col("held"), "silent").when(x.wants_operator(F.col("text")), "operator").when(x.smalltalk(F.col("text")).isNotNull(), "smalltalk")
+        .when(F.coalesce("hits", F.lit(0)) * 2 < F.coalesce("n", F.lit(1)), "no_answer").when(F.col("last") == F.col("plain"), "repeat").otherwise("answer")
+    )
+    return judged.select("id", route.alias("route"))

@@ -132,13 +132,14 @@ def strip_citations(spark: SparkSession, d: str) -> DataFrame:
     return _answers(spark).select("id", x.strip_citations(F.col("text")).alias("bare"), x.is_empty_answer(F.col("text")).alias("empty"))
 
 
-@query("x18_fragments", "SELECT doc_id, '[' || row_number() OVER (PARTITION BY lang ORDER BY doc_id) || '] (' || source || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ', стр. ' || (doc_id % 7) END || '): ' || left(text, 40) AS fragment FROM documents")
+@query("x18_fragments", "SELECT doc_id, '[' || row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) || '] (' || source || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ', стр. ' || (doc_id % 7) END || '): ' || text AS fragment FROM documents")
 def fragments(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    docs = t.table(spark, d, "documents").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
+    answer = Window.partitionBy(F.floor(F.col("doc_id") / 3)).orderBy("doc_id")  # three fragments make an answer's context
+    docs = t.table(spark, d, "documents").withColumn("n", F.row_number().over(answer))
     page = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 7)
-    return docs.select("doc_id", x.fragment(F.col("n"), F.col("source"), page, F.left("text", F.lit(40))).alias("fragment"))
+    return docs.select("doc_id", x.fragment(F.col("n"), F.col("source"), page, F.col("text")).alias("fragment"))
 
 
 @query("x20_offered_topic", _ANSWERS + r"""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tessella", master: str | None = None, **settings: str) -> SparkSession:
@@ -20,3 +23,23 @@ def build_session(app: str = "tessella", master: str | None = None, **settings:
     for key, value in base.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new, unused path below the folder that ``spark.checkpoint.dir`` names; on one machine a folder of the driver's own where it is unset."""
+    key = "spark.checkpoint.dir"
+    base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"set {key} to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessella-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/tessella-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: what several later steps use is computed once."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -47,6 +47,7 @@ def parse_docx(content: bytes) -> list[Page]:
             lines.append(_clean(_runs(node)))
         elif node.tag == f"{_W}tbl":
             rows = [[_clean(" ".join(_runs(p) for p in cell.iter(f"{_W}p"))) for cell in row.findall(f"{_W}tc")] for row in node.findall(f"{_W}tr")]
+            rows = [row for row in rows if any(row)]
             if len(rows) == 1:
                 lines.append(" | ".join(c for c in rows[0] if c))
             lines += [_labelled(rows[0], row, " | ") for row in rows[1:]]

@@ -30,12 +30,14 @@ class _Page(HTMLParser):
         self.canonical: str | None = None
         self.noindex = self.nofollow = self.in_language = False
         self.complete: set[str] = set()
+        self.count: dict[str, int] = {}  # open elements by tag
+        self.dropped = 0
 
     def put(self, text: str) -> None:
-        if not _DROPPED.isdisjoint(self.stack):
+        if self.dropped:
             return
         for c in _CONTAINERS:
-            if c in self.stack and c not in self.complete or c == "body" and "head" not in self.stack and "title" not in self.stack:
+            if self.count.get(c) and c not in self.complete or c == "body" and not self.count.get("head") and not self.count.get("title"):
                 self.texts[c].append(text)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -62,12 +64,17 @@ class _Page(HTMLParser):
             self.put("\n")
         if tag not in _VOID:
             self.stack.append(tag)
+            self.count[tag] = self.count.get(tag, 0) + 1
+            self.dropped += tag in _DROPPED
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.stack:
-            while self.stack.pop() != tag:
-                pass
-        if tag in _CONTAINERS and tag not in self.stack:
+        while self.count.get(tag):
+            closed = self.stack.pop()
+            self.count[closed] -= 1
+            self.dropped -= closed in _DROPPED
+            if closed == tag:
+                break
+        if tag in _CONTAINERS and not self.count.get(tag):
             self.complete.add(tag)  # of several the first counts
         if tag == "select":
             self.in_language = False
@@ -76,10 +83,20 @@ class _Page(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         for tag in ("title", "h1"):
-            if tag in self.stack and f"{tag}done" not in self.titles:
+            if self.count.get(tag) and f"{tag}done" not in self.titles:
                 self.titles[tag] = self.titles.get(tag, "") + data
         self.put(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![`` sections are markup up to their end, whatever their keyword."""
+        end = "]]>" if self.rawdata.startswith("<![CDATA[", i) else ">"
+        j = self.rawdata.find(end, i)
+        return j + len(end) if j >= 0 else -1
+
+    def title(self) -> str:
+        """The ``title``, else the first ``h1``, else empty."""
+        return next((t for t in (" ".join(self.titles.get(k, "").split()) for k in ("title", "h1")) if t), "")
+
     def content(self) -> str:
         for c in _CONTAINERS:
             text = "\n".join(x for x in (" ".join(line.split()) for line in "".join(self.texts[c]).split("\n")) if x)
@@ -98,8 +115,7 @@ def read_page(html: str, url: str = "") -> _Page:
 def parse_html(html: str) -> tuple[str, str]:
     """Title (``title``, else the first ``h1``, else empty) and text of main, else article, else body, lines kept."""
     page = read_page(html)
-    title = next((t for t in (" ".join(page.titles.get(k, "").split()) for k in ("title", "h1")) if t), "")
-    return title, page.content()
+    return page.title(), page.content()
 
 
 _META = re.compile(rb"""<meta[^>]+charset=["']?\s*([\w-]+)""", re.I)
@@ -123,8 +139,7 @@ def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for page_id, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
             page = read_page(html or "", url or "")
-            title, text = parse_html(html or "")
-            rows.append((page_id, url, title, text, page.canonical, page.noindex, page.nofollow, page.links, list(dict.fromkeys(page.variants))))
+            rows.append((page_id, url, page.title(), page.content(), page.canonical, page.noindex, page.nofollow, page.links, list(dict.fromkeys(page.variants))))
         yield pd.DataFrame(rows, columns=["page_id", "url", "title", "text", "canonical", "noindex", "nofollow", "links", "variants"])
 
 
