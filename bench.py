@@ -13,7 +13,10 @@ ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
 
-QUERIES = ("a01_outcomes", "a02_median_latency", "a04_by_first_channel", "a09_daily_outcomes", "a10_daily_answers", "r05_search", "c01_chunks", "x01_mask", "u02_content_dedup", "s06_html_pages", "u23_escalation_states")
+QUERIES = (
+    "a01_outcomes", "a02_median_latency", "a03_p95_latency", "a04_by_first_channel", "a05_top_questions", "a06_language_classes", "a07_ratings", "a08_no_answer", "a09_daily_outcomes", "a10_daily_answers", "a11_cited_share",
+    "r05_search", "c01_chunks", "x01_mask", "u02_content_dedup", "s06_html_pages", "u23_escalation_states",
+)
 
 
 def main() -> None:

@@ -8,58 +8,70 @@ seen wins" doesn't depend on how rows lie in partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import urls as u
+from tessella.session import written
 from tessella.sources.web import read_web_pages
 
 MAX_PAGES, MAX_DEPTH, MAX_BYTES = 150, 3, 5 * 1024 * 1024
 
 
-def crawl_snapshot(
-    pages: DataFrame, start: str, max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH, sections: tuple[str, ...] = u.SKIPPED_SECTIONS, disallowed: tuple[str, ...] = (), languages: bool = True
+def crawl_sites(
+    pages: DataFrame, starts: DataFrame, max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH, sections: tuple[str, ...] = u.SKIPPED_SECTIONS, disallowed: tuple[str, ...] = (), languages: bool = True
 ) -> DataFrame:
-    """Pages reached from ``start`` in a snapshot ``page_id, url, html``: ``key, url, title, text, depth, path, state``.
+    """Pages reached from ``starts`` (``site``, ``url``; a row for each site) in a snapshot ``page_id, url, html``: ``site, key, url, title, text, depth, path, state``.
 
     ``state`` is ``indexed``, or why a page was fetched but not indexed: copy of
     another text, ``noindex``, empty, an excluded section, too large. ``disallowed`` are path
-    prefixes of robots.txt. Pages beyond ``max_pages`` fetched, in
+    prefixes of robots.txt. Pages of a site beyond ``max_pages`` fetched, in
     breadth-first order, are left out; at most ``max_depth`` levels are joined.
+    All sites go on together; parsed pages and levels are tables, so that no
+    level plans or runs the ones before again.
     """
-    spark = pages.sparkSession
     usable = pages.where(F.col("html").isNotNull() & (F.octet_length("html") <= MAX_BYTES))
-    parsed = read_web_pages(usable).withColumn("key", u.url_key(F.col("url"))).dropDuplicates(["key"]).cache()
-    root = F.lit(start)
-    starts = [start]
+    parsed = written(read_web_pages(usable).withColumn("key", u.url_key(F.col("url"))).where("key IS NOT NULL").dropDuplicates(["key"]))
+    roots = starts.select("site", F.col("url").alias("start")).withColumn("key", u.url_key(F.col("start")))
+    own = roots.select("site", F.col("start").alias("at"))
     if languages:
-        first = parsed.where(F.col("key") == u.url_key(root)).select("variants").head()
-        starts += first["variants"] if first else []
-    allowed = list(spark.range(1).select(*[u.authority(u.clean_url(F.lit(s))).alias(f"h{i}") for i, s in enumerate(starts)]).first())
-    frontier = spark.range(1).select(u.url_key(root).alias("key"), F.lit("").alias("path"), F.lit(0).alias("depth"))
-    seen, fetched = frontier.select("key"), None
+        own = own.unionByName(roots.join(parsed.select("key", "variants"), "key").select("site", F.explode("variants").alias("at")))
+    hosts = written(own.select("site", u.authority(u.clean_url(F.col("at"))).alias("host")).distinct())
+    frontier = roots.select("site", "key", F.lit("").alias("path"), F.lit(0).alias("depth"))
+    seen, levels = frontier.select("site", "key"), []
+    blocked = F.lit(False)
+    for prefix in disallowed:
+        blocked = blocked | u.path(F.col("url")).startswith(prefix)
     for depth in range(max_depth + 1):
-        blocked = F.lit(False)
-        for prefix in disallowed:
-            blocked = blocked | u.path(F.col("url")).startswith(prefix)
         level = frontier.join(parsed, "key").where(~blocked)
-        level = level.withColumn("skipped", u.is_skipped(F.col("url"), sections) if depth and sections else F.lit(False))
-        fetched = level if fetched is None else fetched.unionByName(level)
+        level = written(level.withColumn("skipped", u.is_skipped(F.col("url"), sections) if depth and sections else F.lit(False)))
+        levels.append(level)
         if depth == max_depth:
             break
-        links = level.where("NOT nofollow AND NOT skipped").select("path", F.posexplode("links").alias("at", "link"))
-        links = links.where(u.authority(u.clean_url(F.col("link"))).isin(*allowed) & ~u.is_asset(F.col("link")) & ~u.is_skipped(F.col("link"), sections))
-        found = links.select(u.url_key(F.col("link")).alias("key"), F.concat("path", F.lpad(F.col("at").cast("string"), 6, "0"), F.lit("/")).alias("path"))
-        frontier = found.groupBy("key").agg(F.min("path").alias("path")).join(seen, "key", "left_anti").withColumn("depth", F.lit(depth + 1)).cache()
-        seen = seen.unionByName(frontier.select("key"))
-    ordered = fetched.orderBy("depth", "path").limit(max_pages)
+        links = level.where("NOT nofollow AND NOT skipped").select("site", "path", F.posexplode("links").alias("at", "link"))
+        links = links.where(~u.is_asset(F.col("link")) & ~u.is_skipped(F.col("link"), sections)).withColumn("host", u.authority(u.clean_url(F.col("link"))))
+        links = links.join(hosts, ["site", "host"], "left_semi")
+        found = links.select("site", u.url_key(F.col("link")).alias("key"), F.concat("path", F.lpad(F.col("at").cast("string"), 6, "0"), F.lit("/")).alias("path"))
+        fresh = found.groupBy("site", "key").agg(F.min("path").alias("path")).join(seen, ["site", "key"], "left_anti")
+        frontier = written(fresh.withColumn("depth", F.lit(depth + 1)))
+        seen = seen.unionByName(frontier.select("site", "key"))
+    fetched = reduce(DataFrame.unionByName, levels)
+    order = Window.partitionBy("site").orderBy("depth", "path")
+    ordered = written(fetched.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_pages))
     state = F.when(F.col("skipped"), "section").when(F.col("noindex"), "noindex").when(F.col("text") == "", "empty").otherwise("indexed")
-    judged = ordered.withColumn("state", state)
-    firsts = judged.where("state = 'indexed'").groupBy(F.sha1("text").alias("digest")).agg(F.min(F.struct("depth", "path")).alias("first"))
-    judged = judged.withColumn("digest", F.sha1("text")).join(firsts, "digest", "left")
+    judged = ordered.withColumns({"state": state, "digest": F.sha1("text")})
+    firsts = judged.where("state = 'indexed'").groupBy("site", "digest").agg(F.min(F.struct("depth", "path")).alias("first"))
+    judged = judged.join(firsts, ["site", "digest"], "left")
     copy = (F.col("state") == "indexed") & ((F.col("first.path") != F.col("path")) | (F.col("first.depth") != F.col("depth")))
     title = F.when(F.col("title") == "", u.title_from_url(F.col("url"))).otherwise(F.col("title"))
-    return judged.select("key", "url", title.alias("title"), "text", "depth", "path", F.when(copy, "copy").otherwise(F.col("state")).alias("state"))
+    return judged.select("site", "key", "url", title.alias("title"), "text", "depth", "path", F.when(copy, "copy").otherwise(F.col("state")).alias("state"))
+
+
+def crawl_snapshot(pages: DataFrame, start: str, **rules) -> DataFrame:
+    """``crawl_sites`` from one start."""
+    return crawl_sites(pages, pages.sparkSession.range(1).select(F.lit(start).alias("site"), F.lit(start).alias("url")), **rules).drop("site")
 
 
 def crawl_stats(crawled: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as x
+from tessella.functions import urls as u
 from tessella.operators import chunking, crawl
 from tessella.plans.registry import query
 from tessella.sources import standin as t
@@ -37,15 +38,25 @@ def chunk_terms(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "ord", F.size("terms").alias("n_terms"), F.size(F.array_distinct("terms")).alias("distinct_terms"))
 
 
+def _crawled(spark: SparkSession, d: str) -> DataFrame:
+    """All hosts of the pages table, each from its page of least ID, and beside them a generated site of 300 pages whose links lead somewhere."""
+    pages = t.table(spark, d, "pages").select("page_id", "url", "html")
+    host = u.authority(u.clean_url(F.col("url")))
+    starts = pages.where(F.col("url").isNotNull()).groupBy(host.alias("site")).agg(F.min_by("url", "page_id").alias("url")).where("site IS NOT NULL")
+    site = "https://site.example/"
+    starts = starts.unionByName(spark.range(1).select(F.lit(site).alias("site"), F.lit(site).alias("url")))
+    return crawl.crawl_sites(pages.unionByName(crawl.synthetic_site(spark, 300)), starts)
+
+
 @query("s08_crawl")
 def crawled(spark: SparkSession, d: str) -> DataFrame:
-    """Also S09, S26, U04: a generated site of 300 pages in a snapshot."""
-    return crawl.crawl_snapshot(crawl.synthetic_site(spark, 300), "https://site.example/").select("key", "title", "depth", "state")
+    """Also S09, S26, U04."""
+    return _crawled(spark, d).select("site", "key", "title", "depth", "state")
 
 
 @query("a23_crawl_stats")
 def crawl_stats(spark: SparkSession, d: str) -> DataFrame:
-    return crawl.crawl_stats(crawl.crawl_snapshot(crawl.synthetic_site(spark, 300), "https://site.example/"))
+    return crawl.crawl_stats(_crawled(spark, d))
 
 
 @query("u31_replace_titles", "SELECT doc_id, replace(text, 'the', 'THE') AS text FROM documents WHERE contains(text, 'the')")

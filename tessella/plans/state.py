@@ -142,7 +142,15 @@ def create_documents(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "pages").where(F.col("url").rlike("^https?://")).select("page_id", F.lit("queued").alias("status"), F.lit("doc_add").alias("event"))
 
 
-@query("w05_trimmed_history")
+@query("w05_trimmed_history", with_tables("chat") + r"""
+, turns AS (SELECT conversation_id, turn, length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS size, row_number() OVER (PARTITION BY conversation_id ORDER BY turn DESC) AS n, count(*) OVER (PARTITION BY conversation_id) AS n_turns FROM chat)
+SELECT conversation_id, CAST(n_turns AS INT) AS n_turns, CAST(list(turn ORDER BY turn) FILTER (taken) AS VARCHAR) AS kept_turns FROM (
+  SELECT t.*, f.taken FROM turns t LEFT JOIN (
+    WITH RECURSIVE fold(conversation_id, n, remaining, taken) AS (
+      SELECT conversation_id, 0::BIGINT, 1500::BIGINT, false FROM turns WHERE n = 1 UNION ALL
+      SELECT f.conversation_id, t.n, CASE WHEN t.size BETWEEN 1 AND f.remaining THEN f.remaining - t.size ELSE f.remaining END, t.size BETWEEN 1 AND f.remaining
+      FROM fold f JOIN turns t ON t.conversation_id = f.conversation_id AND t.n = f.n + 1 WHERE t.n <= 10)
+    SELECT * FROM fold WHERE n > 0) f ON f.conversation_id = t.conversation_id AND f.n = t.n) GROUP BY conversation_id, n_turns""")
 def trimmed_history(spark: SparkSession, d: str) -> DataFrame:
     turns = t.chat(spark, d).groupBy("conversation_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     kept = turns.select("conversation_id", F.size("turns").alias("n_turns"), s.trim_history(F.col("turns")).alias("kept"))
@@ -152,7 +160,13 @@ def trimmed_history(spark: SparkSession, d: str) -> DataFrame:
 _RATE = """hits AS (SELECT 'u' || user_id AS key, event_id AS id, ts AS t FROM events)"""
 
 
-@query("e01_rate_limit")
+@query("e01_rate_limit", """
+WITH RECURSIVE hits AS (SELECT 'u' || user_id AS key, event_id AS id, ts AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+fold(key, n, id, start, used) AS (
+  SELECT key, n, id, t, 1 FROM hits WHERE n = 1 UNION ALL
+  SELECT h.key, h.n, h.id, CASE WHEN h.t - f.start >= INTERVAL 3600 SECOND THEN h.t ELSE f.start END, CASE WHEN h.t - f.start >= INTERVAL 3600 SECOND THEN 1 ELSE f.used + 1 END
+  FROM fold f JOIN hits h ON h.key = f.key AND h.n = f.n + 1)
+SELECT key, id, CAST(used AS INT) AS used, used <= 1 AS allowed FROM fold""")
 def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     """Batch twin of the stream: windows anchored at the first hit; an hour here, as the test events are sparse."""
     hits = t.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("id"), F.col("ts").alias("at"))

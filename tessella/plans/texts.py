@@ -336,7 +336,13 @@ def strip_greeting(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("kind", "id", rules.strip_greeting(F.col("text")).alias("question"))
 
 
-@query("x24_collapse_repeats")
+@query("x24_collapse_repeats", r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+keyed AS (SELECT *, lower(regexp_replace(line, '^\s+|\s+$', '', 'g')) AS key FROM lines),
+counted AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY i) AS times FROM keyed),
+stops AS (SELECT doc_id, min(i) FILTER (times > 2 AND key <> '') AS stop FROM counted GROUP BY 1),
+kept AS (SELECT doc_id, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stop IS NULL OR i < stop), ''), '\s+$', '') AS collapsed FROM counted JOIN stops USING (doc_id) GROUP BY 1)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN collapsed END AS collapsed FROM documents LEFT JOIN kept USING (doc_id)""")
 def collapse_repeats(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "documents").select("doc_id", rules.collapse_repeats_column(F.col("text")).alias("collapsed"))
 

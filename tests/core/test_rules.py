@@ -149,6 +149,9 @@ def test_crawl(spark):
     got = {r["key"]: (r["depth"], r["state"]) for r in crawl.crawl_snapshot(site, "https://site.example/", max_depth=2).collect()}
     assert len(got) == 43 and got["https://site.example/"] == (0, "indexed") and got["https://site.example/p/7"] == (2, "indexed") and got["https://site.example/p/10"] == (2, "copy")
     assert crawl.crawl_snapshot(site, "https://site.example/", max_pages=5).count() == 5
+    starts = spark.createDataFrame([("a", "https://site.example/"), ("b", "https://site.example/p/1"), ("c", "https://nowhere.example/")], "site string, url string")
+    both = crawl.crawl_sites(site, starts, max_depth=1).groupBy("site").count().collect()
+    assert {r["site"]: r["count"] for r in both} == {"a": 7, "b": 7}
     assert crawl.crawl_snapshot(site, "https://site.example/", disallowed=("/p/1",)).where("key LIKE '%/p/1%'").count() == 0
 
 
