@@ -40,6 +40,27 @@ SELECT p.doc_id, p.size, b.source_size, b.target,
 FROM placed p JOIN budgets b ON p.source IS NOT DISTINCT FROM b.source
 """
 
+#: All diagonals of equal words, without seeds; the best window of each ends at an equal word or begins where the texts do.
+OP8 = r"""
+WITH dw AS (
+  SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS p
+  FROM (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[0-9a-zA-Z\x{80}-\x{10FFFF}]+') AS w FROM documents)),
+iw AS (
+  SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS p
+  FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[0-9a-zA-Z\x{80}-\x{10FFFF}]+') AS w FROM benchmark)),
+pairs AS (
+  SELECT doc_id, item_id, d.p - i.p AS diagonal, d.p, least(12, i.n) AS need, greatest(1, 1 + d.p - i.p) AS lo, least(d.n, i.n + d.p - i.p) AS hi
+  FROM dw d JOIN iw i ON d.word = i.word),
+counted AS (
+  SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p RANGE BETWEEN need - 1 PRECEDING AND CURRENT ROW) AS ending,
+         count(*) FILTER (p <= lo + need - 1) OVER (PARTITION BY doc_id, item_id, diagonal) AS beginning
+  FROM pairs WHERE hi - lo + 1 >= need),
+diagonals AS (
+  SELECT doc_id, item_id, diagonal, max(greatest(ending, beginning)) AS matched FROM counted
+  GROUP BY doc_id, item_id, diagonal, need HAVING max(greatest(ending, beginning)) >= need - least(2, need // 4))
+SELECT doc_id, item_id, count(*) AS n_places, max(matched) AS matched FROM diagonals GROUP BY 1, 2
+"""
+
 OP10 = r"""
 WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (

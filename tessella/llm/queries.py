@@ -92,6 +92,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_jaccard_join": oracles.OP1,
         "op3_url_filter": oracles.op3(),
         "op5_source_mixing": oracles.OP5,
+        "op8_decontamination": oracles.OP8,
         "op9_license_scan": oracles.op9(),
         "op10_substring_dedup": oracles.OP10,
     }
