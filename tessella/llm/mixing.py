@@ -12,8 +12,6 @@ document, and the token, at which its budget is used up.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,15 +96,18 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: i
 def repeat_by_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, to the nearest whole copy; the columns stay, whatever their names.
 
-    Rows of one ``doc_id``, text and source are taken one by one by the mix:
-    they are numbered on both sides, so that each gets its own copies.
+    Rows of one ``doc_id``, text and source share what the mix takes of them,
+    the first ones one copy more where it doesn't divide.
     """
-    keys = ["doc_id", "text_hash", "source"]
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("copies"))
-    taken = mix_sources(docs, weights, max_epochs).select(*keys, "copies").withColumn("number", number).where("copies > 0")
-    taken = taken.select(*[F.col(k).alias(f"taken_{k}") for k in (*keys, "number")], "copies")
-    rows = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit("\0null"))).alias("text_hash"), F.struct(*docs.columns).alias("row"))
-    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row"))))
-    same = [F.col(k).eqNullSafe(F.col(f"taken_{k}")) for k in ("doc_id", "source")] + [F.col(k) == F.col(f"taken_{k}") for k in ("text_hash", "number")]
-    joined = rows.join(taken, reduce(and_, same))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
+
+    def keyed(rows: DataFrame, text_hash: Column, *columns: Column) -> DataFrame:
+        """Keys without nulls, by which the rows are shuffled once, for the join and for numbering."""
+        return rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("k1"), F.coalesce("source", F.lit("\0")).alias("k2"), text_hash.alias("k3"), *columns)
+
+    keys = ["k1", "k2", "k3"]
+    taken = keyed(mix_sources(docs, weights, max_epochs), F.col("text_hash"), F.col("copies"))
+    taken = taken.groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    rows = keyed(docs, F.xxhash64(F.coalesce("text", F.lit("\0null"))), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(taken.hint("merge"), keys).withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy("rows")))
+    own = F.floor(F.col("copies") / F.col("rows")) + (F.col("number") <= F.col("copies") % F.col("rows")).cast("int")
+    return joined.select("row", own.cast("int").alias("own")).where("own > 0").select("row", F.explode(F.sequence(F.lit(1), "own"))).select("row.*")

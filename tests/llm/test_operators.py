@@ -429,10 +429,10 @@ def test_overlaps(spark, odd, empty):
 
 def test_stages_keep_clashing_columns(spark, odd):
     """Filtering and repeating stages return the columns they got, whatever these are named; repeated rows get the mix's copies one by one."""
-    for name in ("_own_hash", "row", "copies", "number", "id", "hash", "_keep_id", "taken_doc_id", "label"):
-        docs = odd.withColumnRenamed("extra", name)
-        for got in (ngram_join.keep_one_of_each(docs), decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, "nothing of these")], "item_id long, text string")), mixing.repeat_by_mix(docs)):
-            assert got.columns == docs.columns and {r[name] for r in got.collect()} == {"x"}
+    names = ("_own_hash", "row", "rows", "copies", "number", "own", "id", "hash", "k1", "_keep_id", "label")
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit("x").alias(n) for n in names])
+    for got in (ngram_join.keep_one_of_each(docs), decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, "nothing of these")], "item_id long, text string")), mixing.repeat_by_mix(docs)):
+        assert got.columns == docs.columns and {r[n] for r in got.collect() for n in names} == {"x"}
     mixed = mixing.mix_sources(odd)
     assert mixing.repeat_by_mix(odd).count() == mixed.agg(F.sum("copies")).first()[0]
 
