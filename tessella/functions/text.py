@@ -125,6 +125,16 @@ def parse_answer(raw: Column) -> tuple[Column, Column]:
     return F.trim(F.regexp_replace(F.replace(raw, F.lit(MARKER), F.lit("")), " {2,}", " ")), raw.contains(MARKER)
 
 
+def split_visible(buffer: Column) -> tuple[Column, Column]:
+    """What of a growing answer may be shown, and what is held back as it may become the marker; after the marker nothing is shown."""
+    held = F.lit("")
+    for n in range(1, len(MARKER)):
+        held = F.when(buffer.endswith(MARKER[:n]), MARKER[:n]).otherwise(held)  # the longest is tried first
+    held = F.when(buffer.contains(MARKER), "").otherwise(held)
+    shown = F.when(buffer.contains(MARKER), F.substring_index(buffer, MARKER, 1)).otherwise(F.substring(buffer, F.lit(1), F.length(buffer) - F.length(held)))
+    return shown, held
+
+
 _CITE = r"\[([0-9][0-9., ]*)\]"
 
 

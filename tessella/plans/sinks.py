@@ -91,3 +91,19 @@ def lookback(spark: SparkSession, d: str) -> DataFrame:
     days = (F.col("id") % 7 + 1).cast("int")
     recent = t.messages(spark, d).where(F.col("created_at") > a.moment(NOW) - F.make_interval(days=days))
     return recent.groupBy((F.col("id") % 7 + 1).alias("days")).agg(F.count("*").alias("n"))
+
+
+# What may be uploaded.
+SUFFIXES = ("pdf", "docx", "xlsx", "html", "htm")
+MOST_BYTES = 25 * 1024 * 1024
+
+
+@query("s12_uploads", f"""
+WITH named AS (SELECT page_id, regexp_extract(lower(regexp_replace(url, '[?#].*$', '')), '[.]([a-z0-9]+)$', 1) AS suffix, octet_length(encode(html)) AS size FROM pages)
+SELECT page_id, CASE WHEN suffix NOT IN ('{"', '".join(SUFFIXES)}') THEN 415 WHEN coalesce(size, 0) = 0 THEN 400 WHEN size > {MOST_BYTES} THEN 413 ELSE 201 END AS status FROM named WHERE suffix IS NOT NULL""")
+def uploads(spark: SparkSession, d: str) -> DataFrame:
+    """Verdict on each upload: suffix, emptiness, size, in this order; pages play the files, their path the name."""
+    suffix = F.regexp_extract(F.lower(F.regexp_replace("url", "[?#].*$", "")), r"[.]([a-z0-9]+)$", 1)
+    named = t.table(spark, d, "pages").select("page_id", suffix.alias("suffix"), F.octet_length("html").alias("size")).where("suffix IS NOT NULL")
+    status = F.when(~F.col("suffix").isin(*SUFFIXES), 415).when(F.coalesce("size", F.lit(0)) == 0, 400).when(F.col("size") > MOST_BYTES, 413).otherwise(201)
+    return named.select("page_id", status.alias("status"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import period, rules
@@ -134,8 +134,6 @@ def strip_citations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x18_fragments", "SELECT doc_id, '[' || row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) || '] (' || source || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ', стр. ' || (doc_id % 7) END || '): ' || text AS fragment FROM documents")
 def fragments(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     answer = Window.partitionBy(F.floor(F.col("doc_id") / 3)).orderBy("doc_id")  # three fragments make an answer's context
     docs = t.table(spark, d, "documents").withColumn("n", F.row_number().over(answer))
     page = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 7)
@@ -319,8 +317,6 @@ def turn_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m04_sparkline", "SELECT day, round(26 - (n - min(n) OVER ()) * 22.0::DOUBLE / greatest(max(n) OVER () - min(n) OVER (), 1), 6) AS y FROM (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1)")
 def sparkline(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     daily = t.table(spark, d, "events").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"))
     low, high = F.min("n").over(Window.partitionBy()), F.max("n").over(Window.partitionBy())  # one row a day
     return daily.select("day", F.round(26 - (F.col("n") - low) * 22.0 / F.greatest(high - low, F.lit(1)), 6).alias("y"))
@@ -347,6 +343,30 @@ def collapse_repeats(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "documents").select("doc_id", rules.collapse_repeats_column(F.col("text")).alias("collapsed"))
 
 
+_BUFFER = f"SELECT id, coalesce(text, '') || left('{x.MARKER}', CAST(id % {len(x.MARKER) + 1} AS INT)) AS b FROM chat"
+_HELD = " ".join(f"WHEN ends_with(b, '{x.MARKER[:n]}') THEN {n}" for n in range(len(x.MARKER) - 1, 0, -1))
+
+
+@query("x16_hold_back", with_tables("chat") + f"""
+, buffers AS ({_BUFFER}), cut AS (SELECT *, CASE WHEN contains(b, '{x.MARKER}') THEN 0 {_HELD} ELSE 0 END AS n FROM buffers)
+SELECT id, CASE WHEN contains(b, '{x.MARKER}') THEN split_part(b, '{x.MARKER}', 1) ELSE left(b, length(b) - n) END AS shown, right(b, n) AS held FROM cut""")
+def hold_back(spark: SparkSession, d: str) -> DataFrame:
+    """Also E08: each turn as a buffer that ends in some of the marker's letters."""
+    i = F.col("id")
+    buffer = F.concat(F.coalesce("text", F.lit("")), F.substring(F.lit(x.MARKER), F.lit(1), (i % (len(x.MARKER) + 1)).cast("int")))
+    buffers = t.chat(spark, d).select("id", buffer.alias("b"))
+    shown, held = x.split_visible(F.col("b"))
+    return buffers.select("id", shown.alias("shown"), held.alias("held"))
+
+
+@query("x21_repeats")
+def repeats(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that repeat one of the five answers before them, in conversations; the ratio of matching blocks has no SQL."""
+    before = Window.partitionBy("conversation_id").orderBy("turn").rowsBetween(-5, -1)
+    answers = t.chat(spark, d).where("role = 'assistant'").withColumn("earlier", F.collect_list("text").over(before))
+    return answers.select("id", rules.is_repeat_column(F.col("text"), F.col("earlier")).alias("repeated"))
+
+
 PERIODS = (
     "за сегодня", "имрӯз чӣ хел?", "вчера", "дирӯз", "прошлая неделя", "за неделю прошлую", "ҳафта гузашта", "эта неделя", "на текущей неделе", "за прошлый месяц", "мохи гузашта", "этот месяц", "за июнь", "в декабре", "июнь 2023",
     "мая 2022 года", "маркетинг", "за 3 дня", "за две недели", "три месяца", "за 5000 дней", "за 99999999999 дней", "за полгода", "за год", "солона", "за неделю", "месяц", "как дела", "", "30 рӯз", "отчёт за янв", "за ноя", "0 дней",

@@ -79,6 +79,16 @@ def test_repeats_and_markers():
     assert rules.split_visible("ответ [ESC") == ("ответ ", "[ESC") and rules.split_visible("x [ESCALATE] y") == ("x ", "") and rules.split_visible("a[b") == ("a[b", "")
 
 
+def test_repeats_and_markers_on_columns(spark):
+    answer = "Ставка по вкладу составляет пятнадцать процентов годовых при сроке от двенадцати месяцев и более."
+    df = spark.createDataFrame([(1, answer, ["другое", answer + " Да."]), (2, answer, []), (3, None, [None])], "i int, a string, e array<string>")
+    assert {r[0]: r[1] for r in df.select("i", rules.is_repeat_column(F.col("a"), F.col("e"))).collect()} == {1: True, 2: False, 3: False}
+    buffers = ["ответ [ESC", "x [ESCALATE] y", "a[b", "", "[", "[[", "[ESCALATE", None]
+    shown, held = x.split_visible(F.col("b"))
+    for r in spark.createDataFrame([(b,) for b in buffers], "b string").select("b", shown.alias("s"), held.alias("h")).collect():
+        assert (r["s"], r["h"] if r["b"] is not None else None) == (rules.split_visible(r["b"]) if r["b"] is not None else (None, None)), r
+
+
 def _zip(files):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
