@@ -107,3 +107,30 @@ def uploads(spark: SparkSession, d: str) -> DataFrame:
     named = t.table(spark, d, "pages").select("page_id", suffix.alias("suffix"), F.octet_length("html").alias("size")).where("suffix IS NOT NULL")
     status = F.when(~F.col("suffix").isin(*SUFFIXES), 415).when(F.coalesce("size", F.lit(0)) == 0, 400).when(F.col("size") > MOST_BYTES, 413).otherwise(201)
     return named.select("page_id", status.alias("status"))
+
+
+@query("e10_index_queue", """
+WITH steps AS (SELECT user_id AS document_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'indexing' WHEN 'click' THEN 'ready' WHEN 'error' THEN 'failed' END AS status FROM events WHERE event_type <> 'purchase'),
+queued AS (SELECT document_id, max((ts, event_id)) AS q FROM steps WHERE status = 'queued' GROUP BY 1)
+SELECT document_id, arg_max(status, (ts, event_id)) AS status, count(*) AS steps FROM steps LEFT JOIN queued USING (document_id) WHERE q IS NULL OR (ts, event_id) >= q GROUP BY 1""")
+def index_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Also E13. Where each document stands since it was queued last, and in how many steps; what came before is void. Events play the steps."""
+    status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "view", "indexing").when(F.col("event_type") == "click", "ready").otherwise("failed")
+    steps = t.table(spark, d, "events").where("event_type <> 'purchase'").select(F.col("user_id").alias("document_id"), status.alias("status"), F.struct("ts", "event_id").alias("at"))
+    queued = F.max(F.when(F.col("status") == "queued", F.col("at"))).over(Window.partitionBy("document_id"))
+    live = steps.withColumn("q", queued).where("q IS NULL OR at >= q")
+    return live.groupBy("document_id").agg(F.max_by("status", "at").alias("status"), F.count("*").alias("steps"))
+
+
+@query("e09_escalation_changes", with_tables("messages", "escalations") + """
+, changes AS (
+  SELECT id, conversation_id, 'new_escalation' AS event, created_at AS t FROM escalations UNION ALL
+  SELECT id, conversation_id, 'taken', taken_at FROM escalations WHERE taken_at IS NOT NULL UNION ALL
+  SELECT id, conversation_id, 'resolved', resolved_at FROM escalations WHERE resolved_at IS NOT NULL)
+SELECT id, event, CAST(epoch_us(t) AS BIGINT) AS at_us, row_number() OVER (PARTITION BY conversation_id ORDER BY t, id, event) AS seq FROM changes""")
+def escalation_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The change stream of escalations, in order within each conversation."""
+    change = lambda name, at: F.struct(F.lit(name).alias("event"), F.col(at).alias("at"))
+    changes = t.escalations(spark, d).select("id", "conversation_id", F.inline(F.array(change("new_escalation", "created_at"), change("taken", "taken_at"), change("resolved", "resolved_at")))).where("at IS NOT NULL")
+    seq = F.row_number().over(Window.partitionBy("conversation_id").orderBy("at", "id", "event"))
+    return changes.select("id", "event", F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"), seq.cast("long").alias("seq"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessella.functions import period, rules
 from tessella.functions import text as x
 from tessella.operators import chunking, crawl, state
-from tessella.sources import office, web
+from tessella.sources import embedding, office, web
 
 
 @pytest.mark.parametrize(
@@ -125,6 +125,25 @@ def test_office_files(spark, tmp_path):
     assert got == {"a.docx": (None, None), "b.xlsx": (1, None), "c.docx": (None, "not a docx file"), "/d.pdf": (None, "PDF needs a backend")}
 
 
+def test_embedding(spark):
+    def make():
+        def encode(texts):
+            assert 0 < len(texts) <= 32
+            return [[len(t), 1.0] for t in texts]
+
+        return encode
+
+    df = spark.createDataFrame([(i, "x" * i) for i in range(1, 100)] + [(100, None), (101, " ")], "id long, text string").repartition(2)
+    got = {r["id"]: r["embedding"] for r in embedding.embed(df, make, 2).collect()}
+    assert len(got) == 101 and got[7] == [7.0, 1.0] and got[100] is got[101] is None
+    with pytest.raises(Exception, match="dimensions"):
+        embedding.embed(df, make, 3).collect()
+
+
+def test_web_page_in_any_state():
+    assert web.parse_html("<p>a</p><![foo bar]><p>b</p>")[1] == "a\nb" and web.parse_html("<b>" * 20_000 + "</i>" * 20_000 + "t")[1] == "t"
+
+
 def test_web_pages():
     html = """<html><head><title> T  1 </title><base href="/b/"><link rel="canonical" href="c"><meta name="robots" content="noindex, nofollow"><link rel="alternate" hreflang="tg" href="https://tj.x.y/"></head>
     <body><nav>menu</nav><main><h1>H</h1><p>One <b>two</b></p><script>no()</script></main><a href="p?a=1">x</a><a rel="nofollow" href="q">y</a><a href="#z">z</a><select name="language"><option value="https://en.x.y/">E</option></select></body></html>"""
