@@ -9,8 +9,8 @@ per character wins.
 NumPy steps all blocks of a slice of texts, and all languages, at once. Blocks
 are first parsed as if a phrase ended before each; where it doesn't, a block is
 parsed again from the state that the block before it ends in, up to where both
-parses are in the same state, so that phrases and counts are those of one
-greedy parse of the whole text. Transitions are a hash table in flat arrays,
+parses are in the same state, be it blocks later, so that phrases and counts
+are those of one greedy parse of the whole text. Transitions are a hash table in flat arrays,
 whose size follows the sample and not the alphabet. Only the sample texts
 travel to the executors; each Python worker builds the tables once.
 """
@@ -158,6 +158,19 @@ class Tables(NamedTuple):
         return out
 
 
+    def one(self, state: int, symbol: int, language: int) -> int:
+        """``step`` for a single state."""
+        key, size = state * self.width + symbol, len(self.entries)
+        slot = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 65 - size.bit_length()
+        while True:
+            entry = self.entries.item(slot)
+            if entry < 0:
+                return self.fresh.item(language * self.width + symbol)
+            if entry >> 32 == key:
+                return (entry & 0xFFFFFFFF) << 1
+            slot = slot + 1 & size - 1
+
+
 _LOW = np.int64(0xFFFFFFFF)
 
 
@@ -254,18 +267,35 @@ def phrase_rates(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray
         trail[:, at] = now.reshape(n_languages, alive)
         state = now >> 1
     # blocks that don't begin between phrases are parsed again from the state before them, until that parse meets the
-    # former one. A parse that goes on into the next block comes there after the next block's own, which set out earlier.
+    # former one or the block ends
     inner = begins[in_doc[begins] > 0]
     language, at = np.repeat(np.arange(n_languages), len(inner)), np.tile(inner, n_languages)
     state = (trail[language, at - 1] >> 1).astype(np.int64)
     last = np.append(doc[1:] != doc[:-1], True)
-    going = state != 0
-    while going.any():
+    going, unmet = state != 0, []
+    for step in range(BLOCK):
         language, at, state = language[going], at[going], state[going]
+        if not len(at):
+            break
         now = t.step(state, codes[at], language * t.width)
         going = (now >> 1 != trail[language, at] >> 1) & ~last[at]
         trail[language, at] = now
         at, state = at + 1, now >> 1
+        if step == BLOCK - 1:
+            unmet = sorted(zip(language[going].tolist(), at[going].tolist(), state[going].tolist()))
+    # the few that go on into the next blocks, from the first on, so that each place is parsed once more at most
+    reached = (-1, -1)
+    for k, place, now in unmet:
+        if (k, place) < reached:
+            continue  # one from further ahead came past here
+        while True:
+            entry = t.one(now, int(codes[place]), k)
+            met = entry >> 1 == int(trail[k, place]) >> 1
+            trail[k, place] = entry
+            now, place = entry >> 1, place + 1
+            if met or last[place - 1]:
+                break
+        reached = (k, place)
     for k in range(n_languages):
         rates[:, k] = np.bincount(doc, trail[k] & 1, minlength=len(texts))
     return rates / np.maximum(n, 1)[:, None], n
