@@ -37,6 +37,14 @@ def _labelled(header: list[str], row: list[str], mark: str) -> str:
     return mark.join(f"{h}: {v}" if h else v for h, v in zip(header + [""] * (len(row) - len(header)), row) if v)
 
 
+#: Characters below which a page of a PDF is taken for a scan.
+LEAST_TEXT = 40
+
+
+def _clean_lines(text: str) -> str:
+    return "\n".join(x for x in map(_clean, text.split("\n")) if x)
+
+
 def parse_docx(content: bytes) -> list[Page]:
     """One page without number: paragraphs and tables in body order, rows as ``H: v | H: v``, a single row as it is."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -103,7 +111,23 @@ def parse_xlsx(content: bytes) -> list[Page]:
     return pages
 
 
-def parse_file(path: str, content: bytes, pdf: Callable[[bytes], list[Page]] | None = None) -> tuple[list[Page], str | None]:
+Pdf = Callable[[bytes], list[str]]
+Ocr = Callable[[bytes, int], str]
+
+
+def parse_pdf(content: bytes, pdf: Pdf, ocr: Ocr | None = None) -> list[Page]:
+    """Pages numbered from 1 with the backend's text; those with hardly any are scans, which ``ocr`` (content, page) reads."""
+    pages: list[Page] = []
+    for number, raw in enumerate(pdf(content), 1):
+        text, scanned = _clean_lines(raw), False
+        if len(text) < LEAST_TEXT and ocr is not None:
+            text, scanned = _clean_lines(ocr(content, number)), True
+        if text:
+            pages.append((number, text, scanned))
+    return pages
+
+
+def parse_file(path: str, content: bytes, pdf: Pdf | None = None, ocr: Ocr | None = None) -> tuple[list[Page], str | None]:
     """Pages by suffix, and an error for what can't be read: nothing else stops a batch."""
     suffix = path.rsplit(".", 1)[-1].lower()
     try:
@@ -115,20 +139,20 @@ def parse_file(path: str, content: bytes, pdf: Callable[[bytes], list[Page]] | N
             title, text = parse_html(content.decode("utf-8", "replace"))
             return [(None, f"{title}\n{text}".strip(), False)] if text else [], None
         if suffix == "pdf":
-            return ([], "PDF needs a backend") if pdf is None else (pdf(content), None)
+            return ([], "PDF needs a backend") if pdf is None else (parse_pdf(content, pdf, ocr), None)
         return [], f"unsupported: {suffix}"
     except Exception as e:  # a damaged file is a row with an error, not a failed job
         return [], f"{type(e).__name__}: {e}"[:500]
 
 
-def read_pages(files: DataFrame, pdf: Callable[[bytes], list[Page]] | None = None) -> DataFrame:
+def read_pages(files: DataFrame, pdf: Pdf | None = None, ocr: Ocr | None = None) -> DataFrame:
     """``binaryFile`` rows (``path``, ``content``) as ``path, page, text, ocr, error``; a file without pages has one row with its error."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[tuple] = []
             for path, content in zip(batch["path"], batch["content"]):
-                pages, error = parse_file(path, bytes(content), pdf)
+                pages, error = parse_file(path, bytes(content), pdf, ocr)
                 rows += [(path, page, text, ocr, None) for page, text, ocr in pages] or [(path, None, None, False, error or "no text")]
             frame = pd.DataFrame(rows, columns=["path", "page", "text", "ocr", "error"])
             frame["page"] = frame["page"].astype("Int32")

@@ -125,6 +125,14 @@ def test_office_files(spark, tmp_path):
     assert got == {"a.docx": (None, None), "b.xlsx": (1, None), "c.docx": (None, "not a docx file"), "/d.pdf": (None, "PDF needs a backend")}
 
 
+def test_pdf_pages_and_scans():
+    text = "A page with a good deal of text, as pages of documents have."
+    pdf, ocr = (lambda content: [text, " ", "3"]), lambda content, page: f"read from page {page}"
+    assert office.parse_file("a.pdf", b"", pdf, ocr) == ([(1, text, False), (2, "read from page 2", True), (3, "read from page 3", True)], None)
+    assert office.parse_file("a.pdf", b"", pdf)[0] == [(1, text, False), (3, "3", False)]
+    assert office.parse_file("a.pdf", b"", lambda content: 1 / 0)[1].startswith("ZeroDivisionError")
+
+
 def test_embedding(spark):
     def make():
         def encode(texts):
