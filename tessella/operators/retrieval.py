@@ -97,9 +97,12 @@ def text_top(questions: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFra
 
 
 def fuse(vector: DataFrame, text: DataFrame) -> DataFrame:
-    """Reciprocal rank fusion: a chunk in one list only has its one term. A union and a sum are the full outer join in one shuffle."""
-    part = lambda df: df.select("query_id", "chunk_id", (1.0 / (RRF_K + F.col("rank"))).alias("r"))
-    return part(vector).unionByName(part(text)).groupBy("query_id", "chunk_id").agg(F.round(F.sum("r"), 9).alias("rrf"))
+    """Reciprocal rank fusion: a full outer join of the two lists, of which a chunk may miss one. (A union and a sum would
+    do, but Spark 4.1 takes a union of two lists by question for one that is dealt by question, and adaptive execution may
+    then coalesce its sides differently.)"""
+    part = lambda df, name: df.select("query_id", "chunk_id", (1.0 / (RRF_K + F.col("rank"))).alias(name))
+    both = part(vector, "v").join(part(text, "t"), ["query_id", "chunk_id"], "full_outer")
+    return both.select("query_id", "chunk_id", F.round(F.coalesce("v", F.lit(0.0)) + F.coalesce("t", F.lit(0.0)), 9).alias("rrf"))
 
 
 def _without(hits: DataFrame, exclude: DataFrame, score: str, k: int) -> DataFrame:
