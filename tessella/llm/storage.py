@@ -71,8 +71,18 @@ def _libc() -> ctypes.CDLL | None:
         return None
 
 
-def release_memory() -> None:
+_kept: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    """A table that outlives a task in its Python worker, until a task of another operator ends there."""
+    return _kept.setdefault(name, {})
+
+
+def release_memory(keep: str | None = None) -> None:
     """Give free memory of this process back: Python workers live on after a task, and several wait beside those that work."""
+    for name in [n for n in _kept if n != keep]:
+        del _kept[name]
     pa.default_memory_pool().release_unused()
     if _libc() and hasattr(_libc(), "malloc_trim"):
         _libc().malloc_trim(0)
@@ -81,14 +91,14 @@ def release_memory() -> None:
 Batches = Iterator[pa.RecordBatch]
 
 
-def lean(function: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
-    """``function`` over the batches of a task, after which the worker is left without its free memory."""
+def lean(function: Callable[[Batches], Batches], keep: str | None = None) -> Callable[[Batches], Batches]:
+    """``function`` over the batches of a task, after which the worker is left without its free memory and without tables but ``keep``."""
 
     @functools.wraps(function)
     def run(batches: Batches) -> Batches:
         try:
             yield from function(batches)
         finally:
-            release_memory()
+            release_memory(keep)
 
     return run

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.storage import lean, materialize, open_fs, shared_dir, small_batches
+from tessella.llm.storage import kept, lean, materialize, open_fs, shared_dir, small_batches
 
 MAGIC = b"TSLREC01"
 #: Header (format, bytes of an id), length and checksum, as ``struct`` formats.
@@ -82,15 +82,17 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 65536 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
         self.known: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = kept(path)  # for the next task of the worker too
+        self.cores[""] = b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian ``dtype``."""
         pieces = [_lowered(t).replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known = {"": b""}
-        if len(self.cores) > CACHED_WORDS * 5 // 2:
-            self.cores = {"": b""}
+        if len(self.cores) > CACHED_WORDS * 3 // 2:
+            self.cores.clear()
+            self.cores[""] = b""
         new = set().union(*pieces) - self.known.keys()
         self._learn(new)
         ids, end = self.known.__getitem__, self.end
@@ -188,7 +190,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     with small_batches(docs.sparkSession):
-        return materialize(ordered.mapInArrow(lean(_writer(folder, tokenizer_path, end_id)), _INDEX_SQL)), folder
+        return materialize(ordered.mapInArrow(lean(_writer(folder, tokenizer_path, end_id), tokenizer_path), _INDEX_SQL)), folder
 
 
 def with_starts(index: DataFrame) -> DataFrame:
