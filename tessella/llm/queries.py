@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import (
+    byte_bpe,
     decontaminate,
+    hard_negatives,
     html_extract,
     language_id,
     licenses,
@@ -18,6 +20,7 @@ from tessella.llm import (
     ngram_join,
     oracles,
     substring_dedup,
+    token_alignment,
     token_records,
     url_filter,
 )
@@ -79,10 +82,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the ranks of a vocabulary and decoded again."""
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each positive of the anchors."""
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's alignment between two tokenizers, and how its links stand in the corpus."""
+    return token_alignment.alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_ngram_jaccard_join, op2_html_extraction, op3_url_filter, op4_language_id, op5_source_mixing,
         op6_media_columns, op7_token_records, op8_decontamination, op9_license_scan, op10_substring_dedup,
+        op11_byte_bpe, op12_hard_negatives, op13_token_alignment,
     )
     return {f.__name__: f for f in found}
 
@@ -95,4 +114,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_decontamination": oracles.OP8,
         "op9_license_scan": oracles.op9(),
         "op10_substring_dedup": oracles.OP10,
+        "op12_hard_negatives": oracles.OP12,
     }

@@ -53,14 +53,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``max_bytes`` of text, or of one longer text."""
+def slices(column: pa.Array, max_bytes: int = 1 << 20, max_rows: int = 1 << 62) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``max_bytes`` of text, or of one longer text, and of at most ``max_rows``."""
     _, offsets = utf8(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + max_bytes, side="right")) - 1)
-        yield lo, min(hi, n)
-        lo = min(hi, n)
+        hi = min(hi, n, lo + max_rows)
+        yield lo, hi
+        lo = hi
 
 
 @dataclass
