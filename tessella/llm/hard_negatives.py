@@ -120,56 +120,88 @@ def _stages(n: int) -> list[int]:
 def side(ids: np.ndarray, labels: np.ndarray, q: np.ndarray, rotation: np.ndarray | None) -> Side:
     y = q.astype(float) if rotation is None else q.astype(float) @ rotation
     tail = np.concatenate([np.cumsum((y * y)[:, ::-1], axis=1)[:, ::-1], np.zeros((len(y), 1))], axis=1)
-    return Side(ids, labels, q, y, np.sqrt(tail[:, _stages(q.shape[1])]))
+    return Side(ids, labels, q, y.astype(np.float32), np.sqrt(tail[:, _stages(q.shape[1])]).astype(np.float32))
 
 
-def best(anchors: Side, rows: Side, same_label: bool, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The first ``k`` rows of each anchor and range: anchor, range, row and score, as arrays.
+def _slack(n: int) -> np.float32:
+    """Of the product of two norms, what rounding can take from or add to a partial product, its margin and their sum: the rotation and its error in
+    double, components, products and sums in single precision."""
+    return np.float32(16 * (n + 1) ** 1.5 * np.finfo(float).eps + 4 * (n + 8) * np.finfo(np.float32).eps)
 
-    ``low`` and ``high`` have a row for each anchor and a column for each range;
-    an empty range is one whose ends are crossed. Rows of the anchor's own ID don't count.
-    """
+
+def survivors(anchors: Side, rows: Side, same_label: bool, bottom: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs, as positions of anchor and row, whose score may lie between ``bottom`` and ``top`` of the anchor, both included. Rows of the anchor's own ID don't count."""
     n = rows.q.shape[1]
     stages = _stages(n)
-    slack = 16 * (n + 1) ** 1.5 * np.finfo(float).eps
     allowed = (anchors.label[:, None] == rows.label) == same_label
     allowed &= anchors.id[:, None] != rows.id
     at = np.flatnonzero(allowed.any(axis=0))
-    allowed = allowed[:, at]
-    partial = np.zeros(allowed.shape)
-    size = anchors.rest[:, :1] * rows.rest[:, 0]
-    for k_stage, (lo, hi) in enumerate(itertools.pairwise(stages), 1):
-        partial += anchors.y[:, lo:hi] @ rows.y[at, lo:hi].T
-        margin = anchors.rest[:, k_stage : k_stage + 1] * rows.rest[at, k_stage] + slack * size[:, at] + 1e-6
-        upper, lower = partial + margin, partial - margin
-        alive = np.zeros_like(allowed)
-        for j in range(low.shape[1]):
-            bottom, top = low[:, j : j + 1], high[:, j : j + 1]
-            fits = allowed & (upper >= bottom) & (lower <= top)
-            if fits.shape[1] > k:
-                sure = np.where(fits & (lower >= bottom) & (upper <= top), lower, -np.inf)
-                fits &= upper >= np.partition(sure, -k, axis=1)[:, -k, None]
-            alive |= fits
-        keep = np.flatnonzero(alive.any(axis=0))
-        at, partial, allowed = at[keep], partial[:, keep], alive[:, keep]
+    if len(at) < allowed.shape[1]:
+        rows, allowed = rows.take(at), allowed[:, at]
+    partial = np.zeros(allowed.shape, np.float32)
+    slack, low, high = _slack(n), bottom.astype(np.float32)[:, None], top.astype(np.float32)[:, None]
+    for stage, (lo, hi) in enumerate(itertools.pairwise(stages), 1):
+        partial += anchors.y[:, lo:hi] @ rows.y[:, lo:hi].T
+        margin = anchors.rest[:, stage : stage + 1] * rows.rest[:, stage]
+        margin += (slack * anchors.rest[:, :1]) * rows.rest[:, 0]
+        margin += 1
+        allowed &= partial >= low - margin
+        allowed &= partial <= high + margin
+        keep = np.flatnonzero(allowed.any(axis=0))
+        if 2 * len(keep) < len(at):
+            at, partial, allowed, rows = at[keep], partial[:, keep], allowed[:, keep], rows.take(keep)
     a, r = np.nonzero(allowed)
-    r = at[r]
+    return a, at[r]
+
+
+def _scores(anchors: Side, rows: Side, a: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Integer inner products of pairs."""
     score = np.zeros(len(a), np.int64)
     for lo in range(0, len(a), VERIFIED):
         part = slice(lo, lo + VERIFIED)
         score[part] = np.einsum("ij,ij->i", anchors.q[a[part]].astype(np.int64), rows.q[r[part]].astype(np.int64))
-    found = []
-    for j in range(low.shape[1]):
-        inside = np.flatnonzero((score >= low[a, j]) & (score <= high[a, j]))
-        inside = inside[np.lexsort((rows.id[r[inside]], -score[inside], a[inside]))]
-        rank = np.arange(len(inside)) - np.searchsorted(a[inside], a[inside], side="left")
-        inside = inside[rank < k]
-        found.append((a[inside], np.full(len(inside), j), r[inside], score[inside]))
-    return tuple(np.concatenate(x) for x in zip(*found))
+    return score
+
+
+def best(anchors: Side, rows: Side, same_label: bool, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``k`` rows of each anchor and range: anchor, range, row and score, as arrays.
+
+    ``low`` and ``high`` have a row for each anchor and a column for each range;
+    an empty range is one whose ends are crossed. Tiles of rows follow each
+    other, the first ones small; in each only pairs count that may reach what
+    ``k`` rows of the tiles before have.
+    """
+    reached = low.astype(float)
+    top = np.where(low <= high, high, -np.inf).max(axis=1)
+    empty = np.zeros(0, np.int64)
+    found: list[tuple[np.ndarray, ...]] = [(empty, empty, empty, empty)] * low.shape[1]
+    lo, size = 0, TILE_ROWS // 16
+    while lo < len(rows.id):
+        tile = rows.take(slice(lo, lo + size))
+        a, r = survivors(anchors, tile, same_label, np.where(low <= high, reached, np.inf).min(axis=1), top)
+        score = _scores(anchors, tile, a, r)
+        for j in range(low.shape[1]):
+            inside = (score >= reached[a, j]) & (score >= low[a, j]) & (score <= high[a, j])
+            if not inside.any():
+                continue
+            old_a, old_r, old_id, old_score = found[j]
+            all_a, all_r, all_score = np.append(old_a, a[inside]), np.append(old_r, r[inside] + lo), np.append(old_score, score[inside])
+            all_id = np.append(old_id, tile.id[r[inside]])
+            order = np.lexsort((all_id, -all_score, all_a))
+            all_a = all_a[order]
+            rank = np.arange(len(order)) - np.searchsorted(all_a, all_a, side="left")
+            order, all_a = order[rank < k], all_a[rank < k]
+            found[j] = (all_a, all_r[order], all_id[order], all_score[order])
+            kth = rank[rank < k] == k - 1
+            reached[all_a[kth], j] = found[j][3][kth]
+        lo, size = lo + size, min(2 * size, TILE_ROWS)
+    slots = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+    a, r, _, score = (np.concatenate(x) for x in zip(*found))
+    return a, slots, r, score
 
 
 def distinct_enough(rows: Side, k: int) -> Side:
-    """Without copies that can't be among the first ``k``: of rows of equal label and vector the ``2 k`` least IDs, of those of equal ID too, ``k``."""
+    """Without copies that can't be among the first ``k``: of rows of equal label and vector the ``2 k`` least IDs, of those of equal ID too, ``k``. In the order of labels."""
     code = np.zeros(len(rows.id), np.uint64)
     with np.errstate(over="ignore"):
         for column in rows.q.T:
@@ -184,7 +216,7 @@ def distinct_enough(rows: Side, k: int) -> Side:
         group = np.cumsum(begins)[kept]
         rank = np.arange(len(kept)) - np.searchsorted(group, group, side="left")
         keep[kept[rank >= most]] = False
-    return rows.take(np.sort(order[keep]))
+    return rows.take(order[keep])
 
 
 def _packs(folder: str) -> Iterator[pa.RecordBatch]:
@@ -206,6 +238,15 @@ _FOUND = "anchor_id long, anchor_key long, slot int, row_id long, score long"
 def _search(folder: str, shared: Broadcast, same_label: bool, k: int):
     """Batches of rows against the anchors in ``folder``: with their columns ``low`` and ``high``, or any score where they have none."""
 
+    def parts(anchors: Side, rows: Side) -> Iterator[tuple[np.ndarray, Side]]:
+        """Anchors with the rows that they may be paired with: of their label, which rows are in the order of, or all."""
+        if not same_label:
+            yield np.arange(len(anchors.id)), rows
+            return
+        for label in np.unique(anchors.label):
+            lo, hi = np.searchsorted(rows.label, [label, label + 1])
+            yield np.flatnonzero(anchors.label == label), rows.take(slice(lo, hi))
+
     def against(blocks: dict[int, Side]) -> Iterator[pa.RecordBatch]:
         blocks = {n: distinct_enough(x, k) for n, x in blocks.items()}
         for pack in _packs(folder):
@@ -218,12 +259,10 @@ def _search(folder: str, shared: Broadcast, same_label: bool, k: int):
                 if "low" in pack.schema.names:
                     low = np.array([(x + [1] * POSITIVES)[:POSITIVES] for x in pack.column("low").to_pylist()], np.int64)[at]
                     high = np.array([(x + [0] * POSITIVES)[:POSITIVES] for x in pack.column("high").to_pylist()], np.int64)[at]
-                rows = blocks[n]
-                for lo in range(0, len(rows.id), TILE_ROWS):
-                    tile = rows.take(slice(lo, lo + TILE_ROWS))
-                    a, slot, r, score = best(anchors, tile, same_label, low, high, k)
+                for some, rows in parts(anchors, blocks[n]):
+                    a, slot, r, score = best(anchors.take(some), rows, same_label, low[some], high[some], k)
                     if len(a):
-                        ids = tile.id[r]
+                        a, ids = some[a], rows.id[r]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(anchors.id[a]), pa.array(keys[a]), pa.array(slot.astype(np.int32)), pa.array(ids, mask=ids == _NO_ID), pa.array(score)],
                             ["anchor_id", "anchor_key", "slot", "row_id", "score"],
