@@ -7,22 +7,24 @@ leaves, those of the merged token, of the token it swallowed and of its live
 neighbour to the left, in logarithmic time, so that a pre-token of n bytes takes
 n log n steps however long it is.
 
-A text is cut where a blank follows something that isn't white space: no match
-of the pattern goes over such a place, so that what lies between is encoded once
-by each Python worker and remembered (a bounded table).
+New pre-tokens of many texts are merged together, a tree each, in arrays, and
+remembered by the Python worker (a bounded table). A very long text is cut where
+a blank follows something that isn't white space: no match of the pattern
+goes over such a place.
 """
 
 from __future__ import annotations
 
 import base64
 import gc
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
@@ -31,12 +33,14 @@ from pyspark.sql import functions as F
 from tessella.llm.storage import lean
 from tessella.llm.words import slices
 
-#: Stretches of text remembered with their ids in each Python worker, each of so many characters at most; the table starts anew beyond.
+#: Pre-tokens remembered with their ids in each Python worker, each of so many characters at most; the table starts anew beyond.
 REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
 #: Pre-tokens of up to so many bytes are merged together, so many at once.
 MANY_BYTES, MANY = 64, 8192
 #: A longer text is encoded in blocks of about so many characters.
 BLOCK_CHARS = 1 << 20
+#: Characters below this one are compared between the two libraries of patterns; blocks with others are left to the exact one.
+_LOOKED_AT = 0x3000
 _NO_PAIR = 1 << 62
 _POSITION = (1 << 32) - 1
 
@@ -168,32 +172,34 @@ def merge_many(pieces: list[bytes], leaves: int, byte_ids: np.ndarray, pairs: Pa
     return [raw[lo:hi] for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
-_CUT, _UNEVEN = re.compile(r"(?<=\S)(?= (?!\n)|\n)"), re.compile(r"\s[ \n]")
-_BLOCK_CUT = re.compile(r"(?<=\S)(?= )")
-#: Marks that the pattern of the public tokenizers puts together in one pre-token after a word.
-_MARKS = ".,;:!?&#$%*)-\""
+_CUT = re.compile(r"(?<=\S)(?= )")
 
 
 def blocks(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
     """The text in parts of ``size`` characters or more, cut before a blank that follows something else than white space."""
     at = 0
-    while len(text) - at > size and (cut := _BLOCK_CUT.search(text, at + size)):
+    while len(text) - at > size and (cut := _CUT.search(text, at + size)):
         yield text[at : cut.start()]
         at = cut.start()
     if at < len(text):
         yield text[at:]
 
 
-def stretches(block: str) -> tuple[str, list[str]]:
-    """The block, cut before each blank (not one before a line feed) or line feed that follows something else than white space: its head as it is, and the rest.
+class Splitter:
+    """Matches of a pattern. That of the public tokenizers is written for ``re`` where a block has no character whose class differs there."""
 
-    The blank before each of the rest is left out; where it begins with a line feed there was none.
-    """
-    if not _UNEVEN.search(block):
-        head, *rest = block.replace("\n", " \n").split(" ")
-        return head, rest
-    head, *rest = _CUT.split(block)
-    return head, [x.removeprefix(" ") for x in rest]
+    def __init__(self, pattern: str):
+        self.match = regex.compile(pattern).findall
+        self.quick = pattern == public_tokenizers.PATTERN
+        if self.quick:
+            letter, number, space = (re.compile(x).match for x in (r"[^\W\d_]", r"\d", r"\s"))
+            known = [regex.compile(x).match for x in (r"\p{L}", r"\p{N}", r"\s")]
+            odd = [c for c in map(chr, range(_LOOKED_AT)) if any(bool(x(c)) != bool(y(c)) for x, y in zip((letter, number, space), known))]
+            self.odd = re.compile(f"[{re.escape(''.join(odd))}{chr(_LOOKED_AT)}-\U0010ffff]").search
+            self.plain = re.compile(pattern.replace(r"[^\s\p{L}\p{N}]+", r"(?:[^\s\w]|_)+").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")).findall
+
+    def __call__(self, block: str) -> list[str]:
+        return self.plain(block) if self.quick and not self.odd(block) else self.match(block)
 
 
 class Codec:
@@ -204,77 +210,46 @@ class Codec:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pairs = PairRanks(self.ranks)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.match = regex.compile(pattern).findall
-        self.plain = pattern == public_tokenizers.PATTERN
-        #: Ids, as bytes, of pre-tokens, and of stretches with a blank before them.
-        self.pieces: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.long: list[str] = []
+        self.split = Splitter(pattern)
+        self.known: dict[str, bytes] = {}
 
-    def _learn_pieces(self, new: set[str]) -> None:
+    def _learn(self, used: set[str]) -> None:
+        """Ids, as bytes, of pre-tokens that aren't remembered."""
+        if len(self.known) + len(used) > REMEMBERED:
+            self.known = {x: self.known[x] for x in used if x in self.known}
         short: dict[int, list[tuple[str, bytes]]] = {}
-        for piece in new:
+        for piece in used - self.known.keys():
             raw = piece.encode()
             whole = self.ranks.get(raw)
             if whole is not None:
-                self.pieces[piece] = whole.to_bytes(4, "little")
+                self.known[piece] = whole.to_bytes(4, "little")
             elif len(raw) <= MANY_BYTES:
                 short.setdefault(max(8, 1 << (len(raw) - 1).bit_length()), []).append((piece, raw))
             else:
-                self.pieces[piece] = np.array(merge(raw, self.ranks), "<i4").tobytes()
+                self.known[piece] = np.array(merge(raw, self.ranks), "<i4").tobytes()
         for leaves, group in short.items():
             for lo in range(0, len(group), MANY):
                 part = group[lo : lo + MANY]
-                self.pieces.update(zip([x for x, _ in part], merge_many([x for _, x in part], leaves, self.byte_ids, self.pairs)))
-
-    def _cut(self, spaced: str) -> list[str]:
-        """Pre-tokens of a stretch and the blank before it. A word and a tail of marks needs no search for the pattern."""
-        if self.plain:
-            if spaced.isalpha():
-                return [" " + spaced]
-            word = spaced.rstrip(_MARKS)
-            if word.isalpha():
-                return [" " + word, spaced[len(word) :]]
-        return self.match(spaced if spaced[:1] == "\n" else " " + spaced)
-
-    def _learn(self, spaced: set[str]) -> None:
-        """Ids of stretches that aren't remembered."""
-        if len(self.spaced) + len(spaced) > REMEMBERED:
-            self.spaced.clear()
-        new = list(spaced - self.spaced.keys())
-        cut = list(map(self._cut, new))
-        used = set(chain.from_iterable(cut))
-        if len(self.pieces) + len(used) > REMEMBERED:
-            self.pieces = {x: self.pieces[x] for x in used if x in self.pieces}
-        self._learn_pieces(used - self.pieces.keys())
-        of = self.pieces.__getitem__
-        self.spaced.update(zip(new, [b"".join(map(of, x)) for x in cut]))
-        self.long = [x for x in chain(new, used) if len(x) > LONGEST_REMEMBERED]
-
-    def _forget_long(self) -> None:
-        for x in self.long:
-            self.spaced.pop(x, None)
-            self.pieces.pop(x, None)
-        self.long = []
+                self.known.update(zip([x for x, _ in part], merge_many([x for _, x in part], leaves, self.byte_ids, self.pairs)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of ``int32``; many short texts, or a block of a long one, at a time."""
         out: list[list[bytes]] = [[] for _ in texts]
-        waiting: list[tuple[int, str, list[str]]] = []
+        waiting: list[tuple[int, list[str]]] = []
         size = 0
 
         def flush() -> None:
-            self._learn(set().union(*(x for _, _, x in waiting)))
-            self._learn_pieces(set(chain.from_iterable(self.match(x) for _, x, _ in waiting)) - self.pieces.keys())
-            for k, head, others in waiting:
-                out[k] += [*map(self.pieces.__getitem__, self.match(head)), *map(self.spaced.__getitem__, others)]
-            self.long += [x for _, head, _ in waiting for x in self.match(head) if len(x) > LONGEST_REMEMBERED]
-            self._forget_long()
+            used = set().union(*(x for _, x in waiting))
+            self._learn(used)
+            for k, pieces in waiting:
+                out[k].append(b"".join(map(self.known.__getitem__, pieces)))
+            for long in [x for x in used if len(x) > LONGEST_REMEMBERED]:
+                del self.known[long]
             waiting.clear()
 
         for k, text in enumerate(texts):
             for block in blocks(text):
-                waiting.append((k, *stretches(block)))
+                waiting.append((k, self.split(block)))
                 size += len(block)
                 if size >= BLOCK_CHARS:
                     flush()
@@ -299,7 +274,8 @@ def _encoded(codec: Codec, texts: pa.Array) -> pa.ListArray:
 
 
 def _decoded(codec: Codec, ids: pa.ListArray) -> pa.Array:
-    return pa.array([codec.decode(x or ()) for x in ids.to_pylist()], pa.binary())
+    values, cuts = ids.flatten().to_pylist(), np.cumsum([0, *(pc.fill_null(pc.list_value_length(ids), 0).to_pylist())]).tolist()
+    return pa.array([codec.decode(values[lo:hi]) for lo, hi in itertools.pairwise(cuts)], pa.binary())
 
 
 def _over(column: str, path: str, pattern: str, *steps):
