@@ -172,7 +172,12 @@ class Aligner:
 
     def units(self, text: str) -> list[str]:
         """The text with a blank before it; a long one in blocks that are cut where tokens of both end."""
-        return [] if not text else list(blocks(" " + text, SLICE_CHARS)) if self.second.cuts else [" " + text]
+        if not text or not self.second.cuts:
+            return [" " + text] if text else []
+        units = list(blocks(" " + text, SLICE_CHARS))
+        if units[-1] == " " and len(units) > 1:  # by itself a blank would be no text for the second tokenizer
+            units[-2:] = [units[-2] + " "]
+        return units
 
     def align(self, texts: list[str]) -> Aligned:
         cut = [self.units(x) for x in texts]
