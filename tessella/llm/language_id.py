@@ -49,9 +49,9 @@ def train(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, chars: int = CHARS_P
     Learned from are rows with text and ``lang`` whose CRC-32 of ``doc_id`` (as
     text) modulo 4 isn't 2. Of the ``languages`` with most such rows, different
     texts are taken whole, by order of their hash, those left out that would
-    make a sample of more than ``chars`` characters (but a language has its
-    shortest text at least). So the model is bounded whatever the corpus, and
-    copies of a text count once.
+    make a sample of more than ``chars`` characters; a language all of whose
+    texts are longer has its shortest, up to CHARS_PER_LANGUAGE characters (or
+    ``chars`` if that is more). So the model is bounded whatever the corpus, and copies of a text count once.
     """
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select("doc_id", "lang", "text")
     most = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
@@ -72,8 +72,9 @@ def train(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE, chars: int = CHARS_P
     for name, digest, doc_id, _ in shortest.collect():
         if left[name] == chars:
             chosen[name, doc_id] = digest
-    found = usable.where(F.col("doc_id").isin(sorted({i for _, i in chosen}))).withColumn("hash", F.xxhash64("text")).distinct().collect()
-    rows = sorted((r["lang"], r["hash"], r["text"]) for r in found if chosen.get((r["lang"], r["doc_id"])) == r["hash"])
+    wanted = usable.where(F.col("doc_id").isin(sorted({i for _, i in chosen}))).withColumn("hash", F.xxhash64("text")).where(F.col("hash").isin(sorted(set(chosen.values()))))
+    found = wanted.groupBy("lang", "doc_id", "hash").agg(F.min(F.substring("text", 1, max(chars, CHARS_PER_LANGUAGE))).alias("text"))  # a row for each of the texts chosen, however often it repeats
+    rows = sorted((r["lang"], r["hash"], r["text"]) for r in found.collect() if chosen.get((r["lang"], r["doc_id"])) == r["hash"])
     return tuple((name, "\n".join(text for lang, _, text in rows if lang == name)) for name in names)
 
 
@@ -120,7 +121,7 @@ def _automaton(symbols: list[int]) -> list[dict[int, int]]:
 class Tables(NamedTuple):
     """All automata in one hash table of ``state * width + symbol`` (state 0 has no transitions and is between phrases).
 
-    An entry is the key in the upper half and the next state in the lower. ``fresh`` is
+    An entry is the key and, in its ``bits`` lowest bits, the next state. ``fresh`` is
     where a symbol leads that starts a phrase, at ``language * width + symbol``: it
     does where nothing longer matches, and after state 0, where texts begin and
     where a symbol that the sample lacks leads, being a phrase of its own.
@@ -131,14 +132,16 @@ class Tables(NamedTuple):
     entries: np.ndarray
     fresh: np.ndarray
     width: int
+    bits: int
 
     def step(self, state: np.ndarray, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Twice the state that a symbol leads to, and one more if it starts a phrase; ``row`` is where the language's part of ``fresh`` begins."""
         key = state * self.width + symbol
         slot = _slots(key, len(self.entries))
         entry = self.entries.take(slot, mode="clip")
-        out = (entry & _LOW) << 1
-        other = np.flatnonzero(entry >> 32 != key)
+        low = np.int64((1 << self.bits) - 1)
+        out = (entry & low) << 1
+        other = np.flatnonzero(entry >> self.bits != key)
         if len(other):
             start = other
             again = other[entry[other] >= 0]  # taken by another key: look on
@@ -148,16 +151,15 @@ class Tables(NamedTuple):
                 at = slot[again] + 1 & len(self.entries) - 1
                 slot[again] = at
                 entry = self.entries[at]
-                hit = entry >> 32 == key[again]
+                hit = entry >> self.bits == key[again]
                 found = again[hit]
-                out[found] = (entry[hit] & _LOW) << 1
+                out[found] = (entry[hit] & low) << 1
                 gone[found] = False
                 again = again[~hit & (entry >= 0)]
             start = other[gone[other]]
             out[start] = self.fresh[row[start] + symbol[start]]
         return out
 
-
     def one(self, state: int, symbol: int, language: int) -> int:
         """``step`` for a single state."""
         key, size = state * self.width + symbol, len(self.entries)
@@ -166,14 +168,11 @@ class Tables(NamedTuple):
             entry = self.entries.item(slot)
             if entry < 0:
                 return self.fresh.item(language * self.width + symbol)
-            if entry >> 32 == key:
-                return (entry & 0xFFFFFFFF) << 1
+            if entry >> self.bits == key:
+                return (entry & (1 << self.bits) - 1) << 1
             slot = slot + 1 & size - 1
 
 
-_LOW = np.int64(0xFFFFFFFF)
-
-
 def _slots(key: np.ndarray, size: int) -> np.ndarray:
     return (key.view(U64) * U64(0x9E3779B97F4A7C15) >> U64(65 - size.bit_length())).view(np.int64)
 
@@ -197,8 +196,9 @@ def tables(model: Model) -> Tables:
         fresh[k, list(step[0])] = np.array(list(step[0].values()), np.int64) + base
         base += len(step)
         del step
-    if base * width >= 2**31:
-        raise ValueError("the samples have too many characters for their number of different letters")
+    bits = base.bit_length()
+    if (base * width).bit_length() + bits > 63:  # not within the limits of ``train`` and Unicode's letters: 23 + 18 bits of a key, 23 of a state
+        raise ValueError("larger samples than the table of transitions has room for")
     key, value = np.concatenate(keys), np.concatenate(values)
     size = 1 << max(4, int(len(key) * 2).bit_length())
     table, slot, left = np.full(size, -1, np.int64), _slots(key, size), np.arange(len(key))
@@ -207,10 +207,10 @@ def tables(model: Model) -> Tables:
         free = np.flatnonzero(table[at] < 0)
         _, first = np.unique(at[free], return_index=True)
         placed = free[first]
-        table[at[placed]] = key[left[placed]] << 32 | value[left[placed]]
+        table[at[placed]] = key[left[placed]] << bits | value[left[placed]]
         left = np.delete(left, placed)
         slot[left] = (slot[left] + 1) & (size - 1)
-    return Tables([ord(c) for c in letters], table, fresh.reshape(-1) * 2 + 1, width)
+    return Tables([ord(c) for c in letters], table, fresh.reshape(-1) * 2 + 1, width, bits)
 
 
 def _symbols(texts: list[str], t: Tables) -> tuple[np.ndarray, np.ndarray]:
