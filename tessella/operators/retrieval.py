@@ -7,7 +7,7 @@ the best of each meeting are shuffled. Text goes through a join of terms. Wide t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), DIGITS)
 
 
-def _ranked(hits: DataFrame, score: str, k: int) -> DataFrame:
+def ranked(hits: DataFrame, score: str, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -47,11 +47,11 @@ def _packs(rows: DataFrame, id_column: str, name: str, per_pack: int) -> tuple[D
 
 def _unit(vectors: pa.Array) -> np.ndarray:
     """Vectors of a list array as rows of length one."""
-    x = np.array(vectors.to_pylist(), np.float64)
+    x = np.asarray(vectors.flatten(), np.float64).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
-def _nearest(k: int):
+def nearest(k: int):
     """The ``k`` best chunks of a pack for each question of a block, ties by chunk, a question's own left out."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +82,8 @@ def vector_top(questions: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataF
     blocks, n_blocks = _packs(questions, "query_id", "block", BLOCK)
     packs, _ = _packs(chunks, "chunk_id", "pack", PACK)
     meetings = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
-    found = meetings.select("block_ids", "block_vectors", "pack_ids", "pack_vectors").mapInArrow(_nearest(k), "query_id long, chunk_id long, score double")
-    return _ranked(found, "score", k)
+    found = meetings.select("block_ids", "block_vectors", "pack_ids", "pack_vectors").mapInArrow(nearest(k), "query_id long, chunk_id long, score double")
+    return ranked(found, "score", k)
 
 
 def text_top(questions: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -91,9 +91,13 @@ def text_top(questions: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFra
     asked = questions.select("query_id", F.array_distinct(terms(F.col("question"))).alias("t")).where("size(t) > 0")
     asked = asked.select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
     postings = chunks.select("chunk_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    return ranked(text_scores(postings.join(asked, "term")), "text_score", k)
+
+
+def text_scores(matched: DataFrame) -> DataFrame:
+    """``query_id, chunk_id, text_score`` over rows of a term that a question (of ``n_terms``) and a chunk (``tf`` times) share."""
     weight = F.aggregate(F.sequence(F.lit(1), F.col("tf").cast("int")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j)) * 0.1
-    found = postings.join(asked, "term").where("chunk_id <> query_id").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight / F.col("n_terms")) / 1.64493406685, DIGITS).alias("text_score"))
-    return _ranked(found, "text_score", k)
+    return matched.where("chunk_id <> query_id").groupBy("query_id", "chunk_id").agg(F.round(F.sum(weight / F.col("n_terms")) / 1.64493406685, DIGITS).alias("text_score"))
 
 
 def fuse(vector: DataFrame, text: DataFrame) -> DataFrame:
@@ -106,21 +110,30 @@ def fuse(vector: DataFrame, text: DataFrame) -> DataFrame:
 
 
 def _without(hits: DataFrame, exclude: DataFrame, score: str, k: int) -> DataFrame:
-    return _ranked(hits.drop("rank").join(exclude, ["query_id", "chunk_id"], "left_anti"), score, k)
+    return ranked(hits.drop("rank").join(exclude, ["query_id", "chunk_id"], "left_anti"), score, k)
+
+
+Finder = Callable[[DataFrame, int], DataFrame]
 
 
-def search(questions: DataFrame, chunks: DataFrame, return_k: int = RETURN_K, min_score: float = COSINE_THRESHOLD, top_k: int = TOP_K, exclude: DataFrame | None = None) -> DataFrame:
+def search(
+    questions: DataFrame, chunks: DataFrame, return_k: int = RETURN_K, min_score: float = COSINE_THRESHOLD, top_k: int = TOP_K,
+    exclude: DataFrame | None = None, by_vector: Finder | None = None, by_text: Finder | None = None,
+) -> DataFrame:
     """Hits of each question: ``query_id, chunk_id, document_id, title, score, rrf, place, has_answer``.
 
     Ordered by fused rank, then cosine, then chunk. The decision compares the
     best cosine of the returned hits with the threshold, never the fused rank.
     ``exclude`` (``query_id, chunk_id``, a few of each question) are no hits.
+    ``by_vector`` and ``by_text`` find the nearest of questions in an index (see ``search_index``) instead of in ``chunks``.
     """
+    by_vector = by_vector or (lambda q, k: vector_top(q, chunks, k))
+    by_text = by_text or (lambda q, k: text_top(q, chunks, k))
     more = 0 if exclude is None else exclude.groupBy("query_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    by_vector, by_text = vector_top(questions, chunks, top_k + more), text_top(questions, chunks, top_k + more)
+    vector_hits, text_hits = by_vector(questions, top_k + more), by_text(questions, top_k + more)
     if more:
-        by_vector, by_text = _without(by_vector, exclude, "score", top_k), _without(by_text, exclude, "text_score", top_k)
-    merged = fuse(by_vector, by_text)
+        vector_hits, text_hits = _without(vector_hits, exclude, "score", top_k), _without(text_hits, exclude, "text_score", top_k)
+    merged = fuse(vector_hits, text_hits)
     wide = merged.join(chunks.select("chunk_id", "document_id", "title", F.col("embedding").alias("c")), "chunk_id").join(questions.select("query_id", F.col("embedding").alias("q")), "query_id")
     scored = wide.select("query_id", "chunk_id", "document_id", "title", cosine(F.col("c"), F.col("q")).alias("score"), "rrf")
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), F.desc("score"), "chunk_id")
@@ -133,7 +146,7 @@ def more_from_documents(seen: DataFrame, chunks: DataFrame, questions: DataFrame
     cited = seen.join(chunks.select("chunk_id", "document_id"), "chunk_id").select("query_id", "document_id").distinct()
     others = chunks.select("chunk_id", "document_id", F.col("embedding").alias("c")).join(cited, "document_id").join(seen.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     scored = others.join(questions.select("query_id", F.col("embedding").alias("q")), "query_id").select("query_id", "chunk_id", "document_id", cosine(F.col("c"), F.col("q")).alias("score"))
-    return _ranked(scored, "score", limit)
+    return ranked(scored, "score", limit)
 
 
 def search_in_context(asked: DataFrame, chunks: DataFrame, seen: DataFrame, return_k: int = RETURN_K, min_score: float = COSINE_THRESHOLD) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tessella.functions import text as x
 from tessella.functions import urls as u
 from tessella.operators import chunking, crawl
+from tessella.operators import reindex as ri
 from tessella.plans.registry import query
+from tessella.session import shared_folder
 from tessella.sources import standin as t
 from tessella.sources.web import read_web_pages
 
@@ -66,6 +68,24 @@ def replace_titles(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.replace("text", F.lit("the"), F.lit("THE")).alias("text"))
 
 
+@query("r15_reindex", """
+WITH first AS (SELECT doc_id, 'https://kb.test/' || doc_id AS url, sha1(coalesce(source, '') || chr(10) || coalesce(text, '')) AS hash FROM documents WHERE doc_id % 11 <> 0),
+second AS (SELECT doc_id, 'https://kb.test/' || doc_id AS url, sha1(coalesce(source, '') || chr(10) || coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN ' v2' ELSE '' END) AS hash FROM documents WHERE doc_id % 7 <> 0)
+SELECT coalesce(s.url, f.url) AS url, coalesce(s.doc_id, f.doc_id) AS document_id, coalesce(s.hash, f.hash) AS hash, CASE WHEN s.hash = f.hash THEN 1 ELSE 2 END AS version, s.hash IS NOT NULL AS live
+FROM first f FULL OUTER JOIN second s USING (url)""")
+def reindexed(spark: SparkSession, d: str) -> DataFrame:
+    """Also S22: a site in three snapshots, of which the second has documents changed, new and gone, and the third is the second; what the index says of each document."""
+    docs = t.table(spark, d, "documents").select(
+        F.concat(F.lit("https://kb.test/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").alias("document_id")
+    )
+    i = F.col("document_id")
+    second = docs.where(i % 7 != 0).withColumn("text", F.concat("text", F.when(i % 5 == 0, " v2").otherwise("")))
+    index = ri.document_index(spark, shared_folder(spark), buckets=8)
+    for version, snapshot in ((1, docs.where(i % 11 != 0)), (2, second), (3, second)):
+        ri.reindex(index, snapshot, version)
+    return index.read().select("url", "document_id", "hash", "version", "live")
+
+
 @query("s07_dispatch", "SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.html?($|[?#])') THEN 'html' WHEN regexp_matches(lower(url), '\\.(docx|xlsx|pdf)($|[?#])') THEN 'file' ELSE 'web' END AS kind FROM pages")
 def dispatch(spark: SparkSession, d: str) -> DataFrame:
     c = F.lower("url")

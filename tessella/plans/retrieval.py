@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import retrieval as r
+from tessella.operators import search_index as ix
 from tessella.plans.registry import query
 from tessella.sources import standin as t
+from tessella.session import shared_folder
 from tessella.sources.standin import with_tables
 
 _TERMS = r"list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) > 1)"
@@ -62,6 +64,39 @@ def search(spark: SparkSession, d: str) -> DataFrame:
     return r.search(t.questions(spark, d), t.chunks(spark, d))
 
 
+@query("o01_vector_index")
+def vector_index(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest chunks from the index of cells; tests hold their recall against the exact way."""
+    return ix.build_vector_index(t.chunks(spark, d), shared_folder(spark)).top(t.questions(spark, d))
+
+
+@query("o01_index_recall")
+def index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of the exact nearest chunks of all questions those that the index finds, cells looked into and cells there are."""
+    q, c = t.questions(spark, d), t.chunks(spark, d)
+    index = ix.build_vector_index(c, shared_folder(spark))
+    both = r.vector_top(q, c).select("query_id", "chunk_id").join(index.top(q).select("query_id", "chunk_id", F.lit(1).alias("found")), ["query_id", "chunk_id"], "left")
+    return both.agg(F.count("*").alias("wanted"), F.count("found").alias("found")).withColumns({"recall": F.col("found") / F.col("wanted"), "probes": F.lit(index.probes), "cells": F.lit(len(index.centres))})
+
+
+@query("f05_indexed_text", _BASE + "SELECT query_id, chunk_id, text_score, rank FROM txt")
+def indexed_text(spark: SparkSession, d: str) -> DataFrame:
+    """From postings written in two batches."""
+    c, path = t.chunks(spark, d), shared_folder(spark)
+    ix.append_postings(c.where("chunk_id % 2 = 0"), path, 0)
+    ix.append_postings(c.where("chunk_id % 2 <> 0"), path, 1)
+    return ix.indexed_text_top(t.questions(spark, d), path)
+
+
+@query("r05_indexed_search", _BASE + "SELECT query_id, chunk_id, document_id, title, score, rrf, place, max(score) OVER (PARTITION BY query_id) >= 0.6 AS has_answer FROM hits")
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search on both indexes; as exact as its SQL, as it looks into every cell."""
+    q, c, path = t.questions(spark, d), t.chunks(spark, d), shared_folder(spark)
+    vectors = ix.build_vector_index(c, f"{path}/vectors")
+    ix.append_postings(c, f"{path}/postings")
+    return r.search(q, c, by_vector=lambda asked, k: vectors.top(asked, k, probes=len(vectors.centres)), by_text=lambda asked, k: ix.indexed_text_top(asked, f"{path}/postings", k))
+
+
 @query("a26_best_score", _BASE + "SELECT query_id, coalesce(max(score), 0) AS best_score FROM questions LEFT JOIN hits USING (query_id) GROUP BY 1")
 def best_score(spark: SparkSession, d: str) -> DataFrame:
     q = t.questions(spark, d)

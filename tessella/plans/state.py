@@ -11,6 +11,7 @@ from tessella.plans.registry import query
 from tessella.session import shared_folder
 from tessella.sources import standin as t
 from tessella.sources.standin import with_tables
+from tessella.streaming.tables import KeyedTable
 
 
 @query("u20_new_identities", with_tables("messages") + """
@@ -73,6 +74,26 @@ def latest_ratings(spark: SparkSession, d: str) -> DataFrame:
     return s.latest_ratings(rows)
 
 
+@query("u24_rating_sink", "SELECT user_id AS message_id, arg_max(event_id % 7, (ts, event_id)) AS score FROM events WHERE event_id % 7 BETWEEN 1 AND 5 GROUP BY 1")
+def rating_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Ratings that arrive in batches, of which one runs again after the last and one stops before its commit and then runs again."""
+    schema = "message_id long, score long, at timestamp_ntz, id long"
+    e = t.table(spark, d, "events").where("event_id % 7 BETWEEN 1 AND 5")
+    rows = e.select(F.col("user_id").alias("message_id"), (F.col("event_id") % 7).alias("score"), F.col("ts").cast("timestamp_ntz").alias("at"), F.col("event_id").alias("id"))
+    kept = KeyedTable(spark, shared_folder(spark), schema, ["message_id"], ["at", "id"], buckets=8)
+
+    def stop() -> None:
+        raise InterruptedError
+
+    for batch in (0, 1, 2, 1):
+        some = rows.where(F.col("id") % 3 == batch)
+        try:
+            kept.apply(some, batch, stop if batch == 2 else None)
+        except InterruptedError:
+            kept.apply(some, batch)
+    return kept.read().select("message_id", "score")
+
+
 @query("u25_delete_site", "SELECT workspace, count(*) AS n FROM (SELECT lang AS workspace, doc_id FROM documents WHERE NOT (source = 'src1' AND lang = 'en')) GROUP BY 1")
 def delete_site(spark: SparkSession, d: str) -> DataFrame:
     """Also U29: an anti join on tenant and document."""
