@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import urls as u
+from tessella.functions.robots import allowed
 from tessella.session import written
 from tessella.sources.web import read_web_pages
 
@@ -21,14 +22,17 @@ MAX_PAGES, MAX_DEPTH, MAX_BYTES = 150, 3, 5 * 1024 * 1024
 
 
 def crawl_sites(
-    pages: DataFrame, starts: DataFrame, max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH, sections: tuple[str, ...] = u.SKIPPED_SECTIONS, disallowed: tuple[str, ...] = (), languages: bool = True
-) -> DataFrame:
+    pages: DataFrame, starts: DataFrame, max_pages: int = MAX_PAGES, max_depth: int = MAX_DEPTH,
+    sections: tuple[str, ...] = u.SKIPPED_SECTIONS, disallowed: tuple[str, ...] = (), languages: bool = True,
+    robots: DataFrame | None = None,
+) -> DataFrame:
     """Pages reached from ``starts`` (``site``, ``url``; a row for each site) in a snapshot ``page_id, url, html``: ``site, key, url, title, text, depth, path, state``.
 
     ``state`` is ``indexed``, or why a page was fetched but not indexed: copy of
     another text, ``noindex``, empty, an excluded section, too large. ``disallowed`` are path
-    prefixes of robots.txt. Pages of a site beyond ``max_pages`` fetched, in
-    breadth-first order, are left out; at most ``max_depth`` levels are joined.
+    prefixes for all hosts, ``robots`` rules of each (``functions.robots.rules_for``, ``site`` being the host). Pages of a site beyond ``max_pages`` fetched, in
+    breadth-first order, are left out after each level, so that no level is followed further than
+    its site has room; at most ``max_depth`` levels are joined.
     All sites go on together; parsed pages and levels are tables, so that no
     level plans or runs the ones before again.
     """
@@ -41,11 +45,20 @@ def crawl_sites(
     hosts = written(own.select("site", u.authority(u.clean_url(F.col("at"))).alias("host")).distinct())
     frontier = roots.select("site", "key", F.lit("").alias("path"), F.lit(0).alias("depth"))
     seen, levels = frontier.select("site", "key"), []
+    by_path = Window.partitionBy("site").orderBy("path")
     blocked = F.lit(False)
     for prefix in disallowed:
         blocked = blocked | u.path(F.col("url")).startswith(prefix)
     for depth in range(max_depth + 1):
         level = frontier.join(parsed, "key").where(~blocked)
+        if robots is not None:
+            level = _permitted(level, robots)
+        if levels:
+            before = reduce(DataFrame.unionByName, (x.groupBy("site").agg(F.count("*").alias("fetched")) for x in levels)).groupBy("site").agg(F.sum("fetched").alias("fetched"))
+            level = level.join(before, "site", "left")
+        else:
+            level = level.withColumn("fetched", F.lit(0))
+        level = level.withColumn("place", F.row_number().over(by_path)).where(F.col("place") <= max_pages - F.coalesce("fetched", F.lit(0))).drop("place", "fetched")
         level = written(level.withColumn("skipped", u.is_skipped(F.col("url"), sections) if depth and sections else F.lit(False)))
         levels.append(level)
         if depth == max_depth:
@@ -58,10 +71,8 @@ def crawl_sites(
         frontier = written(fresh.withColumn("depth", F.lit(depth + 1)))
         seen = seen.unionByName(frontier.select("site", "key"))
     fetched = reduce(DataFrame.unionByName, levels)
-    order = Window.partitionBy("site").orderBy("depth", "path")
-    ordered = written(fetched.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_pages))
     state = F.when(F.col("skipped"), "section").when(F.col("noindex"), "noindex").when(F.col("text") == "", "empty").otherwise("indexed")
-    judged = ordered.withColumns({"state": state, "digest": F.sha1("text")})
+    judged = fetched.withColumns({"state": state, "digest": F.sha1("text")})
     firsts = judged.where("state = 'indexed'").groupBy("site", "digest").agg(F.min(F.struct("depth", "path")).alias("first"))
     judged = judged.join(firsts, ["site", "digest"], "left")
     copy = (F.col("state") == "indexed") & ((F.col("first.path") != F.col("path")) | (F.col("first.depth") != F.col("depth")))
@@ -69,6 +80,15 @@ def crawl_sites(
     return judged.select("site", "key", "url", title.alias("title"), "text", "depth", "path", F.when(copy, "copy").otherwise(F.col("state")).alias("state"))
 
 
+def _permitted(level: DataFrame, robots: DataFrame) -> DataFrame:
+    """Pages of a level that the rules of their host allow."""
+    url = u.clean_url(F.col("url"))
+    path = F.regexp_replace(F.regexp_extract(url, r"^[^:]*://[^/?#]*([^#]*)", 1), r"^(?!/)", "/")
+    asked = level.select("site", "key", u.authority(url).alias("host"), path.alias("at")).distinct()
+    judged = allowed(asked.select(F.col("site").alias("of"), "key", F.col("host").alias("site"), F.col("at").alias("path")), robots)
+    return level.join(judged.where("allowed").select(F.col("of").alias("site"), "key"), ["site", "key"], "left_semi")
+
+
 def crawl_snapshot(pages: DataFrame, start: str, **rules) -> DataFrame:
     """``crawl_sites`` from one start."""
     return crawl_sites(pages, pages.sparkSession.range(1).select(F.lit(start).alias("site"), F.lit(start).alias("url")), **rules).drop("site")

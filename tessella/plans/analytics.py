@@ -192,11 +192,16 @@ def channel_cards(spark: SparkSession, d: str) -> DataFrame:
     return a.channel_cards(t.messages(spark, d), settings, SINCE)
 
 
-@query("a31_health", """WITH checks(name, critical, ok) AS (VALUES ('database', true, true), ('cache', true, true), ('embeddings', true, true), ('model', false, false), ('telegram', false, false))
-SELECT CASE WHEN bool_or(NOT ok AND critical) THEN 'fail' WHEN bool_or(NOT ok) THEN 'degraded' ELSE 'ok' END AS status, string_agg(name, ',' ORDER BY name) FILTER (WHERE NOT ok) AS broken FROM checks""")
+@query("a31_health", with_tables("messages") + """
+, checks AS (SELECT channel AS name, channel = 'telegram' AS critical, arg_max(role, (created_at, id)) <> 'system' AS ok FROM messages WHERE workspace_id = 1 GROUP BY 1
+  UNION ALL SELECT 'channel ' || channel || ' of 2', false, arg_max(role, (created_at, id)) <> 'system' FROM messages WHERE workspace_id = 2 GROUP BY channel)
+SELECT CASE WHEN bool_or(NOT ok AND critical) THEN 'fail' WHEN bool_or(NOT ok) THEN 'degraded' ELSE 'ok' END AS status, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE NOT ok), '') AS broken FROM checks""")
 def health(spark: SparkSession, d: str) -> DataFrame:
-    rows = [("database", True, True), ("cache", True, True), ("embeddings", True, True), ("model", False, False), ("telegram", False, False)]
-    return a.health(spark.createDataFrame(rows, "name string, critical boolean, ok boolean"))
+    """A channel is well if the last that was said on it isn't an error; the first workspace's telegram is critical."""
+    last = t.messages(spark, d).groupBy("workspace_id", "channel").agg(F.max_by("role", F.struct("created_at", "id")).alias("role"))
+    first = F.col("workspace_id") == 1
+    name = F.when(first, F.col("channel")).otherwise(F.concat(F.lit("channel "), "channel", F.lit(" of 2")))
+    return a.health(last.select(name.alias("name"), (first & (F.col("channel") == "telegram")).alias("critical"), (F.col("role") != "system").alias("ok")))
 
 
 @query("a32_load_rounds", with_tables("messages") + f"""
@@ -361,9 +366,12 @@ def omni_latest(spark: SparkSession, d: str) -> DataFrame:
     return m.join(F.broadcast(best), "conversation_id").where("role <> 'system'").select("id", "channel", "role").orderBy(F.desc("id")).limit(40)  # best is one row
 
 
-@query("t05_calendar", "SELECT CAST(CAST(unnest(generate_series(DATE '2024-01-25', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS VARCHAR) AS day")
+@query("t05_calendar", """WITH days AS (SELECT CAST(unnest(generate_series(DATE '2024-01-25', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day)
+SELECT CAST(day AS VARCHAR) AS day, count(event_id) AS n FROM days LEFT JOIN events ON CAST(ts AS DATE) = day GROUP BY 1""")
 def calendar(spark: SparkSession, d: str) -> DataFrame:
-    return a.calendar(NOW, 7).select(F.col("day").cast("string").alias("day"))
+    """Events of each of the last seven days, zero where there are none."""
+    found = t.table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("event_id").alias("n"))
+    return a.calendar(NOW, 7).select(F.col("day").cast("date").alias("day")).join(found, "day", "left").select(F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 @query("t04_local_days", "SELECT CAST(CAST(ts + INTERVAL 5 HOUR AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import robots as rb
 from tessella.functions import text as x
 from tessella.functions import urls as u
 from tessella.operators import chunking, crawl
@@ -56,6 +57,23 @@ def crawled(spark: SparkSession, d: str) -> DataFrame:
     return _crawled(spark, d).select("site", "key", "title", "depth", "state")
 
 
+#: robots.txt of a host, by the length of its name.
+ROBOTS = (None, "User-agent: *\nDisallow: /\nAllow: /en/\nDisallow: /en/*?\nCrawl-delay: 2", "User-agent: nobody\nDisallow: /\n\nUser-agent: *\nDisallow: /*.html$\nDisallow: /fr")
+
+
+@query("s09_robots", r"""
+WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) AS site, regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^#]*)', 1) AS path FROM pages WHERE url IS NOT NULL)
+SELECT page_id, CASE length(site) % 3 WHEN 0 THEN true WHEN 1 THEN starts_with(path, '/en/') AND NOT contains(path, '?') ELSE NOT ends_with(path, '.html') AND NOT starts_with(path, '/fr') END AS allowed,
+  (row_number() OVER (PARTITION BY site ORDER BY page_id) - 1) * CASE length(site) % 3 WHEN 1 THEN 2 ELSE 0.5::DOUBLE END AS starts_at FROM p""")
+def robots_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Which pages robots.txt of their hosts allows, and when each could be fetched: groups, wildcards, ends, the longest match, delays."""
+    url = F.col("url")
+    urls = t.table(spark, d, "pages").where(url.isNotNull()).select("page_id", F.lower(F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]+)", 1)).alias("site"), F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+([^#]*)", 1).alias("path"))
+    files = urls.select("site").distinct().withColumn("robots", F.element_at(F.array(*map(F.lit, ROBOTS)), (F.length("site") % 3 + 1).cast("int")))
+    rules = rb.rules_for(files, "reader")
+    return rb.fetch_times(rb.allowed(urls, rules), rules, "page_id", pause=0.5).select("page_id", "allowed", "starts_at")
+
+
 @query("a23_crawl_stats")
 def crawl_stats(spark: SparkSession, d: str) -> DataFrame:
     return crawl.crawl_stats(_crawled(spark, d))

@@ -109,12 +109,17 @@ def scale_migration(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "events").select("event_id", s.migrate_scale(thumb).alias("stars"), s.migrate_scale(stars, back=True).alias("thumb"))
 
 
-@query("u27_security_flags", """WITH settings(workspace_id, flag, enabled) AS (VALUES (1, 'mask', true), (1, 'audit', true), (1, 'kb_only', true), (2, 'mask', false)), changes(workspace_id, flag, changed) AS (VALUES (1, 'mask', false), (1, 'kb_only', false), (2, 'audit', true))
+@query("u27_security_flags", """WITH settings AS (SELECT n_nationkey AS workspace_id, unnest(['mask', 'audit', 'kb_only']) AS flag, n_regionkey % 2 = 0 OR n_nationkey % 3 = 0 AS enabled FROM nation),
+changes AS (SELECT c_nationkey AS workspace_id, CASE c_custkey % 3 WHEN 0 THEN 'mask' WHEN 1 THEN 'audit' ELSE 'kb_only' END AS flag, arg_max(c_acctbal > 0, c_custkey) AS changed FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2)
 SELECT workspace_id, flag, CASE WHEN flag = 'kb_only' THEN true ELSE coalesce(changed, enabled) END AS enabled FROM settings FULL OUTER JOIN changes USING (workspace_id, flag)""")
 def security_flags(spark: SparkSession, d: str) -> DataFrame:
-    schema = "workspace_id int, flag string, enabled boolean"
-    before = spark.createDataFrame([(1, "mask", True), (1, "audit", True), (1, "kb_only", True), (2, "mask", False)], schema)
-    return s.merge_flags(before, spark.createDataFrame([(1, "mask", False), (1, "kb_only", False), (2, "audit", True)], schema))
+    """Nations are workspaces; the last customer of each flag changes it."""
+    flags = ("mask", "audit", "kb_only")
+    before = t.table(spark, d, "nation").select(F.col("n_nationkey").alias("workspace_id"), F.explode(F.array(*map(F.lit, flags))).alias("flag"), ((F.col("n_regionkey") % 2 == 0) | (F.col("n_nationkey") % 3 == 0)).alias("enabled"))
+    asked = t.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
+    flag = F.element_at(F.array(*map(F.lit, flags)), (F.col("c_custkey") % 3 + 1).cast("int"))
+    changes = asked.groupBy(F.col("c_nationkey").alias("workspace_id"), flag.alias("flag")).agg(F.max_by(F.col("c_acctbal") > 0, "c_custkey").alias("enabled"))
+    return s.merge_flags(before, changes)
 
 
 @query("u28_new_workspaces", """WITH asked AS (SELECT n_nationkey AS id, lower(n_name) AS slug, n_name AS name FROM nation)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import period, rules
@@ -31,7 +31,14 @@ def _values(rows: tuple[str, ...], column: str = "text") -> str:
 
 
 _TEXTS = with_tables("chat") + ", " + _values(PHRASES) + ", texts AS (SELECT 'chat' AS kind, id, text FROM chat UNION ALL SELECT 'fixed', id, text FROM fixed)\n"
-_ANSWERS = "WITH " + _values(ANSWERS) + "\n"
+
+
+def _dealt(phrases: tuple[str, ...], joined: str = "coalesce(text, '') || ' ' || phrase") -> str:
+    """``fixed``: the chat's messages, each with a phrase dealt to it."""
+    return with_tables("chat") + ", " + _values(phrases, "phrase").replace("fixed(id, ", "phrases(k, ") + f", fixed AS (SELECT id, {joined} AS text FROM chat JOIN phrases ON k = id % {len(phrases)})\n"
+
+
+_ANSWERS = _dealt(ANSWERS)
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -39,8 +46,14 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return t.chat(spark, d).select(F.lit("chat").alias("kind"), "id", "text").union(fixed)
 
 
-def _answers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(ANSWERS)), "id int, text string")
+def _phrase(phrases: tuple[str, ...]) -> Column:
+    """The phrase dealt to a message."""
+    return F.element_at(F.array(*map(F.lit, phrases)), (F.col("id") % len(phrases) + 1).cast("int"))
+
+
+def _answers(spark: SparkSession, d: str, phrases: tuple[str, ...] = ANSWERS) -> DataFrame:
+    """The chat's messages, each with a phrase dealt to it."""
+    return t.chat(spark, d).select("id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), _phrase(phrases)).alias("text"))
 
 
 def _list(words: tuple[str, ...]) -> str:
@@ -108,7 +121,7 @@ def routing(spark: SparkSession, d: str) -> DataFrame:
 @query("x13_parse_answer", _ANSWERS + "SELECT id, trim(regexp_replace(replace(text, '[ESCALATE]', ''), ' {2,}', ' ', 'g')) AS visible, contains(text, '[ESCALATE]') AS escalate FROM fixed")
 def parse_answer(spark: SparkSession, d: str) -> DataFrame:
     visible, escalate = x.parse_answer(F.col("text"))
-    return _answers(spark).select("id", visible.alias("visible"), escalate.alias("escalate"))
+    return _answers(spark, d).select("id", visible.alias("visible"), escalate.alias("escalate"))
 
 
 _PIECES = r"list_filter(flatten(list_transform(regexp_extract_all(text, '\[([0-9][0-9., ]*)\]', 1), lambda g: string_split_regex(g, '[, ]+'))), lambda p: regexp_matches(p, '^[0-9]'))"
@@ -120,7 +133,7 @@ SELECT id, n, min(i) AS first_at FROM numbered WHERE n BETWEEN 1 AND 3 GROUP BY
 def citations(spark: SparkSession, d: str) -> DataFrame:
     """Also U05 and J11: cited positions, unique, in the order of the answer, against three fragments."""
     cited = x.cited_ids(F.col("text"), F.array(F.lit(1), F.lit(2), F.lit(3)))
-    return _answers(spark).select("id", F.posexplode(cited).alias("at", "n")).select("id", "n", (F.col("at") + 1).alias("place"))
+    return _answers(spark, d).select("id", F.posexplode(cited).alias("at", "n")).select("id", "n", (F.col("at") + 1).alias("place"))
 
 
 _BARE = r"trim(regexp_replace(regexp_replace(text, '\s*\[([0-9][0-9., ]*)\]', '', 'g'), '\s+([.,;:!?])', '\1', 'g'))"
@@ -129,7 +142,7 @@ _BARE = r"trim(regexp_replace(regexp_replace(text, '\s*\[([0-9][0-9., ]*)\]', ''
 @query("x15_strip_citations", _ANSWERS + rf"SELECT id, {_BARE} AS bare, NOT regexp_matches({_BARE}, '[\p{{L}}\p{{N}}]') AS empty FROM fixed")
 def strip_citations(spark: SparkSession, d: str) -> DataFrame:
     """Also X17."""
-    return _answers(spark).select("id", x.strip_citations(F.col("text")).alias("bare"), x.is_empty_answer(F.col("text")).alias("empty"))
+    return _answers(spark, d).select("id", x.strip_citations(F.col("text")).alias("bare"), x.is_empty_answer(F.col("text")).alias("empty"))
 
 
 @query("x18_fragments", "SELECT doc_id, '[' || row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) || '] (' || source || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ', стр. ' || (doc_id % 7) END || '): ' || text AS fragment FROM documents")
@@ -143,7 +156,7 @@ def fragments(spark: SparkSession, d: str) -> DataFrame:
 @query("x20_offered_topic", _ANSWERS + r"""
 SELECT id, CASE WHEN contains(text, '?') THEN trim(regexp_replace(regexp_extract(regexp_replace(text, '\[([0-9][0-9., ]*)\]', ' ', 'g'), '(?s)^(?:.*[.!?\n])?([^.!?\n]*)\?[^?]*$', 1), '\s+', ' ', 'g')) ELSE '' END AS topic FROM fixed""")
 def offered_topic(spark: SparkSession, d: str) -> DataFrame:
-    return _answers(spark).select("id", x.offered_topic(F.col("text")).alias("topic"))
+    return _answers(spark, d).select("id", x.offered_topic(F.col("text")).alias("topic"))
 
 
 _WORDS = lambda c: rf"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}]+')"
@@ -163,23 +176,23 @@ def looks_rewritten(spark: SparkSession, d: str) -> DataFrame:
 CONDENSED = ("«Ставка по вкладу»", "Ответ: ставка по вкладу", "\n\n  \"Срок: год\" \nпояснение", "", "Длинное начало строки: остальное", "'просто'")
 
 
-@query("x23_clean_condensed", "WITH " + _values(CONDENSED) + r"""
+@query("x23_clean_condensed", _dealt(CONDENSED, "phrase || ' ' || coalesce(text, '')") + r"""
 , lines AS (SELECT id, coalesce(list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda l: trim(l)), lambda l: l <> '')[1], '') AS l FROM fixed),
 bare AS (SELECT id, trim(trim(l, '"''«»')) AS b FROM lines)
 SELECT id, CASE WHEN strpos(b, ':') BETWEEN 1 AND 12 THEN trim(regexp_replace(b, '^[^:]*:', '')) ELSE b END AS question FROM bare""")
 def clean_condensed(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(CONDENSED)), "id int, text string")
+    rows = t.chat(spark, d).select("id", F.concat(_phrase(CONDENSED), F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
     return rows.select("id", x.clean_condensed(F.col("text")).alias("question"))
 
 
 AMOUNTS = ("Сумма 35 000 сомони", "15.5 % годовых", "35 000 и 12.75", "до  10 000  000.50", "v1.2.3 beta")
 
 
-@query("x27_eval_normal", "WITH " + _values(AMOUNTS) + r"""
+@query("x27_eval_normal", _dealt(AMOUNTS) + r"""
 SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(lower(text), chr(160), ' '), '([0-9]) ([0-9])', '\1\2', 'g'), '([0-9]) ([0-9])', '\1\2', 'g'),
   '([0-9])\.([0-9])', '\1,\2', 'g'), '([0-9])\.([0-9])', '\1,\2', 'g'), '\s+', ' ', 'g')) AS plain FROM fixed""")
 def eval_normal(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(AMOUNTS)), "id int, text string").select("id", x.eval_normal(F.col("text")).alias("plain"))
+    return _answers(spark, d, AMOUNTS).select("id", x.eval_normal(F.col("text")).alias("plain"))
 
 
 @query("x28_message_limits", with_tables("chat") + "SELECT id, left(text, 1000) AS cut, greatest(1, CAST(trunc(length(text) / 3.5::DOUBLE) AS INT)) AS tokens FROM chat")
@@ -285,11 +298,14 @@ def reply_choice(spark: SparkSession, d: str) -> DataFrame:
 FRAMES = ("event: delta\ndata: {\"t\": 1}\n\n: keep-alive\n\nevent: final\ndata: done\n\n", "data: x\n\n", ": ping\n\n")
 
 
-@query("x46_sse_frames", r"""WITH fixed(id, text) AS (VALUES (0, e'event: delta\ndata: {"t": 1}\n\n: keep-alive\n\nevent: final\ndata: done\n\n'), (1, e'data: x\n\n'), (2, e': ping\n\n')),
+@query("x46_sse_frames", with_tables("chat") + r""", fixed AS (SELECT id, e'event: delta\ndata: ' || replace(coalesce(text, ''), chr(10), ' ') || e'\n\n'
+  || CASE id % 3 WHEN 0 THEN e'event: delta\ndata: {"t": 1}\n\n: keep-alive\n\nevent: final\ndata: done\n\n' WHEN 1 THEN e'data: x\n\n' ELSE e': ping\n\n' END AS text FROM chat),
 frames AS (SELECT id, unnest(list_filter(string_split(text, chr(10) || chr(10)), lambda f: f <> '' AND NOT starts_with(f, ':'))) AS f FROM fixed)
 SELECT id, regexp_extract(f, '(?m)^event: (.*)$', 1) AS event, regexp_extract(f, '(?m)^data: (.*)$', 1) AS data FROM frames""")
 def sse_frames(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(FRAMES)), "id int, text string")
+    """The chat's messages as the first frame of a stream that goes on in three ways."""
+    first = F.concat(F.lit("event: delta\ndata: "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\n\n"))
+    rows = t.chat(spark, d).select("id", F.concat(first, _phrase(FRAMES)).alias("text"))
     return rows.select("id", F.explode(x.sse_frames(F.col("text"))).alias("f")).select("id", "f.event", "f.data")
 
 

@@ -234,3 +234,56 @@ def test_period_titles(spark):
 
 def test_names_stay_out_of_patterns():
     assert not re.search(r"\\b", "".join((x.PII_PERSONAL, x.OPERATOR_WORDS)))
+
+
+ROBOTS = """# for all
+User-agent: *
+Disallow: /private
+Allow: /private/open$
+Disallow: /*.pdf$
+Disallow: /q?a=*b
+Crawl-delay: 2.5
+
+User-agent: other
+User-agent: Own
+Allow: /
+Disallow: /own/*/deep
+Disallow:
+Sitemap: https://x/s
+Crawl-delay: soon
+"""
+
+
+def test_robots(spark):
+    """Groups shared by agents, the longest match, wildcards and ends, ties, no file, odd files."""
+    from tessella.functions import robots
+
+    files = [("a", ROBOTS), ("b", None), ("c", "Disallow: /x\nnonsense\n: \nUser-agent:\nDisallow: /"), ("d", "user-agent : *\r\nDISALLOW: /A # note\rAllow: /a\nDisallow: /a"), ("e", "﻿User-agent: *\nDisallow: /(\nCrawl-delay: 99999")]
+    table = spark.createDataFrame(files, "site string, robots string")
+    tried = [("a", p) for p in ("/", "/private", "/private/open", "/private/open/x", "/x.pdf", "/x.pdf?y", "/q?a=1b", "/q?a=1c", None)] + [("b", "/x"), ("c", "/x"), ("d", "/A"), ("d", "/ab"), ("e", "/("), ("e", "/x"), ("z", "/x"), ("a", "/")]
+    urls = spark.createDataFrame([(i, *x) for i, x in enumerate(tried)], "i int, site string, path string")
+    got = {r["i"]: r["allowed"] for r in robots.allowed(urls, robots.rules_for(table, "reader")).collect()}
+    assert [got[i] for i in range(len(tried))] == [True, False, True, False, False, True, False, True, True, True, True, False, True, False, True, True, True]
+    own = robots.rules_for(table, "OwnReader/2.0")
+    deep = spark.createDataFrame([("a", p) for p in ("/private", "/own/x/deep/er", "/own/deep")], "site string, path string")
+    assert {r["path"]: r["allowed"] for r in robots.allowed(deep, own).collect()} == {"/private": True, "/own/x/deep/er": False, "/own/deep": True}
+    times = robots.fetch_times(urls, robots.rules_for(table, "reader"), "i", pause=0.5)
+    at = {}
+    for r in sorted(times.collect(), key=lambda r: r["i"]):
+        at.setdefault(r["site"], []).append(r["starts_at"])
+    assert at["a"] == [2.5 * k for k in range(10)] and at["b"] == [0.0] and at["d"] == [0.0, 0.5] and at["e"] == [0.0, 3600.0]
+    assert robots.allowed(urls.limit(0), own).count() == 0 and robots.allowed(urls, own.limit(0)).where("NOT allowed").count() == 0
+
+
+def test_crawl_keeps_to_robots_and_to_its_budget(spark):
+    """Rules of the host; a budget that ends inside a level gives the first pages in breadth-first order of the crawl without one."""
+    from tessella.functions import robots
+
+    site, start = crawl.synthetic_site(spark, 200), "https://site.example/"
+    rules = robots.rules_for(spark.createDataFrame([("site.example", "User-agent: *\nDisallow: /p/1\nAllow: /p/1$")], "site string, robots string"), "reader")
+    got = {r["key"] for r in crawl.crawl_snapshot(site, start, robots=rules).collect()}
+    assert any(k.endswith("/p/1") for k in got) and not any(re.search(r"/p/1\d", k) for k in got) and any(k.endswith("/p/2") for k in got)
+    every = sorted(crawl.crawl_snapshot(site, start, max_pages=10_000).collect(), key=lambda r: (r["depth"], r["path"]))
+    for budget in (4, 20):
+        cut = sorted(crawl.crawl_snapshot(site, start, max_pages=budget).collect(), key=lambda r: (r["depth"], r["path"]))
+        assert [r["key"] for r in cut] == [r["key"] for r in every[:budget]]
