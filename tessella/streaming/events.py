@@ -7,6 +7,8 @@ zone for watermarks (``with_event_time``).
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Iterator
 from typing import Any
 
@@ -105,25 +107,57 @@ def token_takes(events: DataFrame, ttl_seconds: int = 900) -> DataFrame:
     )
 
 
-def visible_deltas(deltas: DataFrame) -> DataFrame:
-    """``message_id, seq, shown`` for growing answers ``message_id, seq, text``: the start of a marker is held back until it is none."""
+def in_sequence(waiting: dict[int, str], expected: int, rows: Any, give_up: bool = False) -> tuple[list[tuple[int, str]], dict[int, str], int]:
+    """Frames of one message whose turn has come, those that wait for a gap before them, and the number expected next.
+
+    ``rows`` are new frames (``seq``, ``text``) in any order; numbers that were shown or wait already are repeats. Where
+    ``give_up``, gaps are skipped and nothing waits.
+    """
+    waiting = dict(waiting)
+    for seq, text in rows:
+        if seq >= expected:
+            waiting.setdefault(seq, text)
+    out = []
+    for seq in sorted(waiting):
+        if seq != expected and not give_up:
+            break
+        out.append((seq, waiting.pop(seq)))
+        expected = seq + 1
+    return out, waiting, expected
+
+
+def visible_deltas(deltas: DataFrame, patience_ms: int = 60_000, first: int = 1) -> DataFrame:
+    """``message_id, seq, shown`` for growing answers ``message_id, seq, text``, numbered from ``first``: the start of a marker is held back until it is none.
+
+    Frames that come before their turn wait in the message's state, over batches, until the gap closes; repeated ones are
+    left out. After ``patience_ms`` without a frame what waits is shown in its order, what is held back too as no more can
+    come, and the state goes; a later frame of that message starts anew.
+    """
 
     def fold(key: Any, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else ""
-        done = state.get[1] if state.exists else False
+        held, done, expected, waiting = state.get if state.exists else ("", False, first, "{}")
+        late = state.hasTimedOut
+        rows = [] if late else [(r.seq, r.text) for pdf in pdfs for r in pdf.itertuples()]
+        turn, left, expected = in_sequence({int(k): v for k, v in json.loads(waiting).items()}, expected, rows, late)
         out = []
-        for row in _rows(pdfs, ["seq"]).itertuples():
+        for seq, text in turn:
             shown = ""
             if not done:
-                buffer = held + row.text
+                buffer = held + (text or "")
                 shown, held = split_visible(buffer)
                 done = len(shown) + len(held) < len(buffer)  # the marker came: nothing after it is shown
-            out.append((row.message_id, row.seq, shown))
-        state.update((held, done))
+            out.append((key[0], seq, shown))
+        if late:
+            if held and not done:
+                out.append((key[0], expected, held))
+            state.remove()
+        else:
+            state.update((held, done, expected, json.dumps(left)))
+            state.setTimeoutDuration(patience_ms)
         yield pd.DataFrame(out, columns=["message_id", "seq", "shown"])
 
     return deltas.select("message_id", "seq", "text").groupBy("message_id").applyInPandasWithState(
-        fold, "message_id long, seq long, shown string", "held string, done boolean", "append", GroupStateTimeout.NoTimeout
+        fold, "message_id long, seq long, shown string", "held string, done boolean, expected long, waiting string", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
@@ -134,7 +168,16 @@ def last_final(frames: DataFrame) -> DataFrame:
     return frames.groupBy("message_id").agg(F.coalesce(final, deltas).alias("text"))
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All available input through the stream into a table in memory (tests and small results)."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination(60)
+def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append", seconds: float = 60) -> DataFrame:
+    """All available input through the stream into a table in memory (tests and small results).
+
+    State that waits for the clock keeps a query alive with empty batches; after two of them it is stopped.
+    """
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    until = time.monotonic() + seconds
+    while not q.awaitTermination(0.2) and time.monotonic() < until:
+        last = q.recentProgress[-2:]
+        if len(last) == 2 and not any(p["numInputRows"] for p in last):
+            q.stop()
+            break
     return stream.sparkSession.table(name)

@@ -1,5 +1,6 @@
 """Streams against their batch twins."""
 
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -54,3 +55,29 @@ def test_last_final(spark):
     rows = [(1, 1, "delta", "a"), (1, 2, "delta", "b"), (1, 3, "final", "AB"), (2, 2, "delta", "d"), (2, 1, "delta", "c")]
     got = s.last_final(spark.createDataFrame(rows, "message_id int, seq int, event string, text string"))
     assert {r["message_id"]: r["text"] for r in got.collect()} == {1: "AB", 2: "cd"}
+
+
+def test_frames_over_several_batches_come_in_order(spark, tmp_path):
+    """Frames shuffled over batches, repeated ones, a marker cut by the shuffle: the text of the frames in order."""
+    frames = {1: ["Сал", "ом", " ба", " шумо", " [E", "SC]", "!"], 2: ["да ", "[ESC", "ALATE]", " нет"], 3: ["x"]}
+    rows = [(m, k + 1, text) for m, texts in frames.items() for k, text in enumerate(texts)]
+    rows = rows[::-1] + rows[:3]
+    got = s.run_once(s.visible_deltas(_stream(spark, tmp_path, rows, "message_id long, seq long, text string", [2, 5, 9])), "shuffled", str(tmp_path / "c"))
+    found = sorted(map(tuple, got.collect()))
+    assert [x[:2] for x in found] == sorted((m, k + 1) for m, texts in frames.items() for k in range(len(texts)))
+    assert {m: "".join(x[2] for x in found if x[0] == m) for m in frames} == {1: "Салом ба шумо [ESC]!", 2: "да ", 3: "x"}
+
+
+def test_a_gap_that_stays_open(spark, tmp_path):
+    """After the time without frames what waited is shown in its order, and what was held back too."""
+    rows = [(1, 1, "a"), (1, 4, "d"), (1, 3, "c [ES"), (2, 1, "x [E")]
+    deltas = _stream(spark, tmp_path, rows, "message_id long, seq long, text string", [])
+    q = s.visible_deltas(deltas, patience_ms=10).writeStream.format("memory").queryName("gap").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="100 milliseconds").start()
+    try:
+        for _ in range(100):
+            if spark.table("gap").count() == 5:
+                break
+            time.sleep(0.3)
+    finally:
+        q.stop()
+    assert sorted(map(tuple, spark.table("gap").collect())) == [(1, 1, "a"), (1, 3, "c "), (1, 4, "[ESd"), (2, 1, "x "), (2, 2, "[E")]
