@@ -119,6 +119,18 @@ def resolve_workspace(argument: Column, header: Column, default: Column) -> Colu
     return F.coalesce(F.nullif(argument, F.lit("")), F.nullif(header, F.lit("")), default)
 
 
+def cache_outcomes(asked: DataFrame, seconds: int = 86_400) -> DataFrame:
+    """``key, id, outcome`` of each question of ``asked`` (``key, id, at``) to a cache whose entries live ``seconds`` from when they were stored.
+
+    ``miss`` stores the first entry of a key, ``expired`` a new one after it has
+    gone, ``hit`` finds one and doesn't lengthen its life. A null key is never stored and has no row.
+    """
+    first = asked.groupBy("key").agg(F.min(F.struct(F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "id"))["id"].alias("first_id"))
+    within = anchored_window_hits(asked, 0, seconds).join(first, "key")
+    outcome = F.when(F.col("used") > 1, "hit").when(F.col("id") == F.col("first_id"), "miss").otherwise("expired")
+    return within.select("key", "id", outcome.alias("outcome"))
+
+
 def anchored_window_hits(hits: DataFrame, limit: int = 20, seconds: int = 60) -> DataFrame:
     """Rate limit with windows that start at a key's first hit: ``key, id, used, allowed``.
 

@@ -199,6 +199,19 @@ def rate_limit(spark: SparkSession, d: str) -> DataFrame:
     return s.anchored_window_hits(hits, limit=1, seconds=3600)
 
 
+@query("e03_cache_outcomes", """
+WITH RECURSIVE asked AS (SELECT 'u' || user_id AS key, event_id AS id, ts AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+fold(key, n, id, stored, outcome) AS (
+  SELECT key, n, id, t, 'miss' FROM asked WHERE n = 1 UNION ALL
+  SELECT a.key, a.n, a.id, CASE WHEN a.t - f.stored >= INTERVAL 86400 SECOND THEN a.t ELSE f.stored END, CASE WHEN a.t - f.stored >= INTERVAL 86400 SECOND THEN 'expired' ELSE 'hit' END
+  FROM fold f JOIN asked a ON a.key = f.key AND a.n = f.n + 1)
+SELECT key, id, outcome FROM fold""")
+def cache_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events as one question asked again and again: found in the cache, new, or gone after 24 hours."""
+    asked = t.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("id"), F.col("ts").alias("at"))
+    return s.cache_outcomes(asked)
+
+
 @query("e04_idle_threads", """
 WITH gaps AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
 numbered AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS thread FROM gaps)
