@@ -4,7 +4,7 @@ Texts are ranged by ``doc_id``; each range is written by one task as a shard:
 a header, then for each document its length, the masked checksum of the length,
 the ids, and the masked checksum of the ids. The index, a Parquet table that
 Spark commits, says in which shard and at which byte each record starts, so
-that readers can fetch records in any order. A shard that a failed or repeated
+that readers can fetch records in any order (``shuffled_records``). A shard that a failed or repeated
 attempt left behind isn't in the index and is never read.
 """
 
@@ -15,13 +15,14 @@ import struct
 import unicodedata
 import uuid
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.storage import kept, lean, materialize, open_fs, shared_dir, small_batches
@@ -31,7 +32,11 @@ MAGIC = b"TSLREC01"
 _HEADER, _LENGTH, _CHECK = "<8sI", "<Q", "<I"
 #: Words kept with their ids in each Python worker; the table starts anew beyond.
 CACHED_WORDS = 200_000
+#: Bytes of text, or of records, that one task writes or reads; less where there are too few tasks for the executors.
+TASK_BYTES = 256 << 20
 _LONGEST_CACHED = 64
+#: Shards that a task of shuffled reads holds open.
+OPEN_SHARDS = 64
 #: Punctuation that is a pre-token of its own after letters.
 _TAIL = ".,!?;:&$#%*"
 #: Letters whose lower case depends on others or is longer, and how special tokens begin.
@@ -109,14 +114,16 @@ class Encoder:
         others: list[str] = []
         for piece in new:
             core = piece.rstrip(_TAIL)
-            if core and not (core.isalpha() and core.lower() == core and (core.isascii() or unicodedata.is_normalized("NFC", core))):
-                others.append(piece)
-                continue
             tail = piece[len(core) :]
-            if core in cores and tail in cores:
-                known[piece] = cores[core] + cores[tail]
-            else:
+            if core in cores:  # so it is a pre-token by itself
+                if tail in cores:
+                    known[piece] = cores[core] + cores[tail]
+                else:
+                    parts.append((piece, core, tail))
+            elif core.isalpha() and core.lower() == core and (core.isascii() or unicodedata.is_normalized("NFC", core)):
                 parts.append((piece, core, tail))
+            else:
+                others.append(piece)
         fresh = [x for x in {x for _, core, tail in parts for x in (core, tail)} if x not in cores]
         for lo in range(0, len(fresh), 1000):
             group = fresh[lo : lo + 1000]
@@ -157,7 +164,7 @@ def _writer(folder: str, path: str, end_id: int):
                         continue
                     for raw in encoder.encode([t or "" for t in texts[lo:hi]]):
                         if stream is None:
-                            shard = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.rec"
+                            shard = f"shard-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.rec"
                             fs, base = open_fs(folder)
                             fs.create_dir(base, recursive=True)
                             stream = fs.open_output_stream(f"{base}/{shard}")
@@ -178,29 +185,61 @@ def _writer(folder: str, path: str, end_id: int):
     return write
 
 
+def _tasks(df: DataFrame, size: Column) -> int:
+    """How many ranges rows of ``size`` bytes make."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+
+
 def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None) -> tuple[DataFrame, str]:
     """Encode ``docs`` (``doc_id``, ``text``), write the shards to ``folder``, and return the committed index and the folder.
 
     Records are in ascending ``doc_id`` (null first; ties by text hash) within
-    a shard and from shard to shard. A null text is an empty one, and has the
-    end id alone; every row makes a record, repeated rows too. An empty table
-    writes no shard.
+    a shard and from shard to shard, so that rows of one ``doc_id``, or of none,
+    may fill many shards. A null text is an empty one, and has the end id alone;
+    every row makes a record, repeated rows too. An empty table writes no shard.
+    Two passes over the texts' lengths and a sample of ``doc_id`` set the ranges.
     """
     folder = folder or shared_dir(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    place = "doc_id", F.xxhash64("text")
+    ordered = rows.repartitionByRange(_tasks(rows, F.octet_length("text")), *place).sortWithinPartitions(*place)
     with small_batches(docs.sparkSession):
         return materialize(ordered.mapInArrow(lean(_writer(folder, tokenizer_path, end_id), tokenizer_path), _INDEX_SQL)), folder
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """``index`` with ``start``, the ids of all records before: prefix sums of the shards, a row each, plus those inside."""
-    shards = index.groupBy("shard").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum("n_tokens").alias("total"))
-    ahead = Window.orderBy(F.col("low").asc_nulls_first(), F.col("high").asc_nulls_first(), "shard").rowsBetween(Window.unboundedPreceding, -1)
+    """``index`` with ``start``, the ids of all records before: prefix sums of the shards, a row each, plus those inside.
+
+    Names of shards are in the order of their ranges.
+    """
+    shards = index.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
+    ahead = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("ahead"))
     return index.join(shards, "shard").withColumn("start", F.col("ahead") + F.col("before")).drop("ahead")
 
 
+def _width(header: bytes) -> int:
+    """Bytes of an id in a shard that begins so."""
+    magic, width = struct.unpack(_HEADER, header)
+    if magic != MAGIC:
+        raise ValueError("not a shard of records")
+    return width
+
+
+def _frame_bytes(length: int) -> int:
+    return struct.calcsize(_LENGTH) + length + 2 * struct.calcsize(_CHECK)
+
+
+def _unframed(frame: bytes, length: int, offset: int) -> bytes:
+    """The ids of a record, checked against its checksums and the length that the index has."""
+    n, c = struct.calcsize(_LENGTH), struct.calcsize(_CHECK)
+    raw = frame[n + c : n + c + length]
+    if len(frame) != _frame_bytes(length) or frame[: n + c] != struct.pack(_LENGTH, length) + struct.pack(_CHECK, masked_crc(frame[:n])) or frame[n + c + length :] != struct.pack(_CHECK, masked_crc(raw)):
+        raise ValueError(f"damaged record at byte {offset}")
+    return raw
+
+
 def _reader(folder: str):
     def read(group: pa.Table) -> pa.Table:
         group = group.sort_by("offset")
@@ -208,19 +247,13 @@ def _reader(folder: str):
         crcs = []
         counts = []
         with fs.open_input_stream(f"{base}/{group.column('shard')[0].as_py()}", buffer_size=1 << 20) as stream:
-            magic, width = struct.unpack(_HEADER, stream.read(struct.calcsize(_HEADER)))
             at = struct.calcsize(_HEADER)
-            if magic != MAGIC:
-                raise ValueError("not a shard of records")
+            width = _width(stream.read(at))
             for offset, length in zip(group.column("offset").to_pylist(), group.column("length").to_pylist()):
                 if offset > at:
                     stream.read(offset - at)
-                framed = stream.read(struct.calcsize(_LENGTH) + struct.calcsize(_CHECK))
-                raw = stream.read(length)
-                check = stream.read(struct.calcsize(_CHECK))
-                at = offset + len(framed) + length + len(check)
-                if struct.unpack_from(_LENGTH, framed)[0] != length or struct.unpack_from(_CHECK, framed, struct.calcsize(_LENGTH))[0] != masked_crc(framed[: struct.calcsize(_LENGTH)]) or struct.unpack(_CHECK, check)[0] != masked_crc(raw):
-                    raise ValueError(f"damaged record at byte {offset}")
+                raw = _unframed(stream.read(_frame_bytes(length)), length, offset)
+                at = offset + _frame_bytes(length)
                 ids = np.frombuffer(raw, np.dtype(f"<u{width}"))
                 counts.append(len(ids))
                 crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
@@ -234,6 +267,58 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     return with_starts(index).groupBy("shard").applyInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _random_reader(folder: str):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_fs(folder)
+        files: OrderedDict[str, tuple[pa.NativeFile, int]] = OrderedDict()
+
+        def ids(shard: str, offset: int, length: int) -> np.ndarray:
+            if shard not in files:
+                if len(files) == OPEN_SHARDS:
+                    files.popitem(last=False)[1][0].close()
+                file = fs.open_input_file(f"{base}/{shard}")
+                files[shard] = file, _width(file.read_at(struct.calcsize(_HEADER), 0))
+            files.move_to_end(shard)
+            file, width = files[shard]
+            return np.frombuffer(_unframed(file.read_at(_frame_bytes(length), offset), length, offset), np.dtype(f"<u{width}")).astype("<i4")
+
+        def out(rows: list) -> pa.RecordBatch:
+            doc_ids, starts, arrays = zip(*rows)
+            ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))], names=["doc_id", "start", "ids"])
+
+        try:
+            for batch in batches:
+                rows, size = [], 0
+                for doc_id, start, shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "shard", "offset", "length"))):
+                    rows.append((doc_id, start, ids(shard, offset, length)))
+                    size += length
+                    if size >= 1 << 22:
+                        yield out(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield out(rows)
+        finally:
+            for file, _ in files.values():
+                file.close()
+
+    return read
+
+
+def shuffled_records(index: DataFrame, folder: str, seed: int = 0) -> DataFrame:
+    """``doc_id, start, ids`` of the records of an index that has ``start`` (``with_starts``), in the random order of ``seed``.
+
+    Only index rows are shuffled, to ranges of a hash of ``start``; each task
+    fetches its records from where they lie, in that order, whichever rows of the
+    index are given: a sample or one epoch's share will do. The same seed gives
+    the same order again. Checksums are verified; an empty index gives no rows.
+    """
+    rows = index.select("doc_id", "start", "shard", "offset", "length")
+    key = F.xxhash64("start", F.lit(seed))
+    ordered = rows.repartitionByRange(_tasks(rows, F.col("length")), key).sortWithinPartitions(key)
+    return ordered.mapInArrow(lean(_random_reader(folder)), "doc_id long, start long, ids array<int>")
+
+
 def token_records(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Write ``docs`` as records and return what is read back of them."""
     return read_records(*write_records(docs, tokenizer_path, end_id))

@@ -381,6 +381,31 @@ def test_records(spark, odd, empty):
     assert token_records.token_records(empty, TOKENIZER).count() == 0
 
 
+def test_shuffled_records(spark, odd, empty, monkeypatch):
+    """Every record once, from any shard, in an order that the seed decides; any part of the index will do."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_records, "OPEN_SHARDS", 2)
+    t = Tokenizer.from_file(TOKENIZER)
+    docs = spark.createDataFrame([(i if i % 3 else None, f"text {i} " * (i % 9)) for i in range(200)], "doc_id long, text string").union(odd.select("doc_id", "text"))
+    index, folder = token_records.write_records(docs, TOKENIZER)
+    assert index.where("doc_id IS NULL").select("shard").distinct().count() > 1  # rows without an id don't fill one shard
+    index = token_records.with_starts(index)
+    got = token_records.shuffled_records(index, folder, 7).collect()
+    want = sorted((-1 if r["doc_id"] is None else r["doc_id"], [*t.encode(r["text"] or "", add_special_tokens=False).ids, 1]) for r in docs.collect())
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["ids"]) for r in got) == want
+    starts = [r["start"] for r in got]
+    by_start = sorted(got, key=lambda r: r["start"])
+    assert [r["start"] for r in by_start] == np.cumsum([0, *(len(r["ids"]) for r in by_start)])[:-1].tolist()
+    assert [r["doc_id"] or -1 for r in by_start] == sorted(r["doc_id"] or -1 for r in by_start)
+    assert starts != sorted(starts) and starts == [r["start"] for r in token_records.shuffled_records(index, folder, 7).collect()]
+    assert starts != [r["start"] for r in token_records.shuffled_records(index, folder, 8).collect()]
+    some = token_records.shuffled_records(index.where("start % 2 = 0"), folder, 7).collect()
+    assert sorted(r["start"] for r in some) == sorted(s for s in starts if s % 2 == 0)
+    index, folder = token_records.write_records(empty, TOKENIZER)
+    assert token_records.shuffled_records(token_records.with_starts(index), folder).count() == 0
+
+
 @given(st.text(alphabet="aZé'sİΣ.,! 9<|endoftext>\n日́", max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_encoder(text):
@@ -413,6 +438,8 @@ def test_damaged_record(spark, tmp_path):
     shard.write_bytes(raw)
     with pytest.raises(Exception, match="damaged"):
         token_records.read_records(index, folder).collect()
+    with pytest.raises(Exception, match="damaged"):
+        token_records.shuffled_records(token_records.with_starts(index), folder).collect()
 
 
 def test_overlaps(spark, odd, empty):
