@@ -6,7 +6,7 @@ import importlib
 
 from tessella.plans.registry import ORACLES, QUERIES, Query
 
-_PACKS = ("analytics", "texts", "retrieval", "ingest", "state", "reports", "sinks")
+_PACKS = ("analytics", "texts", "retrieval", "ingest", "state", "paths", "reports", "sinks")
 
 
 def all_queries() -> dict[str, Query]:
