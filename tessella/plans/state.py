@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as x
 from tessella.operators import state as s
+from tessella.operators import work_queue
 from tessella.plans.registry import query
 from tessella.session import shared_folder
 from tessella.sources import standin as t
@@ -212,6 +213,41 @@ def cache_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return s.cache_outcomes(asked)
 
 
+_QUEUE = """
+WITH RECURSIVE ev AS (SELECT 'u' || user_id % 50 AS task, event_id AS id, ts AS t, concat('w', event_id % 2) AS worker, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'done' WHEN 'error' THEN 'fail' ELSE 'claim' END AS action FROM events),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY t, id) AS n FROM ev),
+fold(task, n, id, accepted, status, attempts, until, worker) AS (
+  SELECT DISTINCT task, 0::BIGINT, NULL::BIGINT, false, 'unknown', 0, NULL::TIMESTAMP, '' FROM ev UNION ALL
+  SELECT task, n, id, ok, CASE WHEN NOT ok THEN now WHEN action = 'enqueue' THEN 'queued' WHEN action = 'claim' THEN 'leased' WHEN action = 'done' THEN 'done' WHEN attempts >= 3 THEN 'failed' ELSE 'queued' END,
+    CASE WHEN ok AND action = 'enqueue' THEN 0 WHEN ok AND action = 'claim' THEN attempts + 1 ELSE attempts END, CASE WHEN ok AND action = 'claim' THEN t + INTERVAL 6 HOUR ELSE until END, CASE WHEN ok AND action = 'claim' THEN reporter ELSE worker END
+  FROM (SELECT *, CASE action WHEN 'enqueue' THEN now IN ('unknown', 'done', 'failed') WHEN 'claim' THEN now = 'queued' ELSE now = 'leased' AND worker = reporter END AS ok FROM (
+    SELECT e.task, e.n, e.id, e.t, e.action, e.worker AS reporter, f.attempts, f.until, f.worker, CASE WHEN f.status = 'leased' AND e.t >= f.until THEN CASE WHEN f.attempts >= 3 THEN 'failed' ELSE 'queued' END ELSE f.status END AS now
+    FROM fold f JOIN numbered e ON e.task = f.task AND e.n = f.n + 1)))
+"""
+
+
+def _queue_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events as those of a queue, fifty tasks with two workers; leases last six hours, as the test events are sparse."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    action = F.when(kind == "signup", "enqueue").when(kind == "click", "done").when(kind == "error", "fail").otherwise("claim")
+    task = F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string"))
+    return t.table(spark, d, "events").select(task.alias("task"), action.alias("action"), F.concat(F.lit("w"), (i % 2).cast("string")).alias("worker"), F.col("ts").alias("at"), i.alias("id"))
+
+
+@query("e11_leased_tasks", _QUEUE + "SELECT task, id, accepted, status, attempts FROM fold WHERE n > 0")
+def leased_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """Also E10 and E12. Each event of a queue with leases and attempts: whether it counts, and how the task stands then."""
+    return work_queue.follow_tasks(_queue_events(spark, d), 6 * 3600)
+
+
+@query("e12_standing_tasks", _QUEUE + """
+SELECT task, CASE WHEN status = 'leased' AND TIMESTAMP '2024-02-15' >= until THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'queued' END ELSE status END AS status, attempts
+FROM (SELECT * FROM fold f LEFT JOIN ev e USING (task, id) WHERE n = 0 OR e.t < TIMESTAMP '2024-02-15' QUALIFY row_number() OVER (PARTITION BY task ORDER BY n DESC) = 1)""")
+def standing_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """How each task stands at one moment, with leases that have run out by then given back."""
+    return work_queue.standing(_queue_events(spark, d), "2024-02-15", 6 * 3600)
+
+
 @query("e04_idle_threads", """
 WITH gaps AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
 numbered AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS thread FROM gaps)

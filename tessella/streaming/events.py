@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessella.functions.rules import split_visible
+from tessella.operators.work_queue import ATTEMPTS, LEASE_SECONDS, Task, given_back, step
 
 
 def read_events(spark: SparkSession, path: str, schema: str, per_batch: int = 1) -> DataFrame:
@@ -107,6 +108,40 @@ def token_takes(events: DataFrame, ttl_seconds: int = 900) -> DataFrame:
     )
 
 
+def leased_tasks(events: DataFrame, lease_seconds: int = LEASE_SECONDS, attempts: int = ATTEMPTS, late: str = "10 minutes") -> DataFrame:
+    """``task, id, accepted, status, attempts`` for events ``task, action, worker, at, id`` of a work queue.
+
+    A timer gives a lease back when the watermark has passed its end, as a row without ``id``, so that a worker that died
+    holds its task no longer than that. State is one task, and goes with it when it is done or has failed: a later
+    enqueue starts anew. Events that come after the watermark are refused with their time's rule, by the state there is.
+    """
+    names = ["task", "id", "accepted", "status", "attempts"]
+
+    def fold(key: Any, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        task, out = Task(*state.get) if state.exists else Task(), []
+        if state.hasTimedOut:
+            task = given_back(task, task.until, attempts)
+            out.append((key[0], None, True, task.status, task.attempts))
+        else:
+            for row in _rows(pdfs, ["at", "id"]).itertuples():
+                task, ok = step(task, row.action, row.worker, pd.Timestamp(row.at).value // 1000, lease_seconds * 1_000_000, attempts)
+                out.append((key[0], row.id, ok, task.status, task.attempts))
+        if task.status in ("unknown", "done", "failed"):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((task.status, task.attempts, task.until, task.worker))
+            if task.status == "leased":
+                state.setTimeoutTimestamp(max(task.until // 1000, state.getCurrentWatermarkMs() + 1))
+        found = pd.DataFrame(out, columns=names)
+        yield found.astype({"id": "Int64"})
+
+    timed = with_event_time(events.select("task", "action", "worker", "at", "id").where("task IS NOT NULL AND at IS NOT NULL"), "at", late)
+    return timed.groupBy("task").applyInPandasWithState(
+        fold, "task string, id long, accepted boolean, status string, attempts int", "status string, attempts int, until long, worker string", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def in_sequence(waiting: dict[int, str], expected: int, rows: Any, give_up: bool = False) -> tuple[list[tuple[int, str]], dict[int, str], int]:
     """Frames of one message whose turn has come, those that wait for a gap before them, and the number expected next.
 

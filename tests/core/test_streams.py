@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tessella.operators import state
+from tessella.operators import state, work_queue
 from tessella.streaming import events as s
 
 T0 = datetime(2024, 1, 1)
@@ -81,3 +81,42 @@ def test_a_gap_that_stays_open(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(map(tuple, spark.table("gap").collect())) == [(1, 1, "a"), (1, 3, "c "), (1, 4, "[ESd"), (2, 1, "x "), (2, 2, "[E")]
+
+
+_QUEUE = "task string, action string, worker string, at timestamp, id long"
+
+
+def _queue_rows():
+    """w1 dies with task a; b fails three times; c is done; d is claimed before it exists."""
+    at = lambda s: T0 + timedelta(seconds=s)
+    rows = [("a", "enqueue", None, at(0), 1), ("a", "claim", "w1", at(1), 2), ("a", "claim", "w2", at(5), 3), ("b", "enqueue", None, at(0), 4), ("c", "enqueue", None, at(0), 5), ("c", "claim", "w2", at(2), 6), ("c", "done", "w1", at(3), 7), ("c", "done", "w2", at(4), 8), ("d", "claim", "w1", at(6), 9)]
+    for k in range(4):
+        rows += [("b", "claim", "w1", at(10 + 2 * k), 20 + 2 * k), ("b", "fail", "w1", at(11 + 2 * k), 21 + 2 * k)]
+    return rows + [("a", "claim", "w2", at(70), 40), ("a", "done", "w1", at(71), 41), ("a", "done", "w2", at(72), 42), ("c", "enqueue", None, at(80), 43)]
+
+
+def test_leases_in_batch(spark):
+    got = {r["id"]: tuple(r)[2:] for r in work_queue.follow_tasks(spark.createDataFrame(_queue_rows(), _QUEUE), 60).collect()}
+    assert got[2] == (True, "leased", 1) and got[3] == (False, "leased", 1)
+    assert got[40] == (True, "leased", 2) and got[41] == (False, "leased", 2) and got[42] == (True, "done", 2)
+    assert got[7] == (False, "leased", 1) and got[8] == (True, "done", 1) and got[43] == (True, "queued", 0) and got[9] == (False, "unknown", 0)
+    assert [got[21 + 2 * k] for k in range(4)] == [(True, "queued", 1), (True, "queued", 2), (True, "failed", 3), (False, "failed", 3)]
+    odd = spark.createDataFrame([(None, "claim", "w", T0, 1), ("x", None, None, T0, 2), ("y", "enqueue", None, None, 3)], _QUEUE)
+    assert [tuple(r) for r in work_queue.follow_tasks(odd).collect()] == [("x", 2, False, "unknown", 0)]
+    assert work_queue.follow_tasks(odd.limit(0)).count() == 0
+
+
+def test_leases_in_a_stream(spark, tmp_path):
+    """Batches in order give the batch's rows; the timer gives back the lease of a worker that died, and the next gets the task."""
+    rows = sorted(_queue_rows(), key=lambda r: (r[3], r[4]))
+    late = [("z", "enqueue", None, T0 + timedelta(hours=1), 90), ("z", "claim", "w1", T0 + timedelta(hours=1, seconds=1), 91)]
+    end = [("y", "enqueue", None, T0 + timedelta(hours=9), 92)]
+    events = _stream(spark, tmp_path, rows + late + end, _QUEUE, [7, len(rows), len(rows) + 2])
+    got = s.run_once(s.leased_tasks(events, 60, late="1 minute"), "leases", str(tmp_path / "c")).collect()
+    twin = work_queue.follow_tasks(spark.createDataFrame(rows + late + end, _QUEUE), 60).collect()
+    known = {r["id"]: tuple(r) for r in twin}
+    for r in got:
+        if r["id"] is not None:
+            assert tuple(r) == known[r["id"]]
+    assert {r["id"] for r in got} - {None} == set(known)
+    assert [tuple(r) for r in got if r["id"] is None] == [("z", None, True, "queued", 1)]
