@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.rules import mask
 from tessella.operators import analytics as a
+from tessella.operators import snapshots
 from tessella.plans.registry import query
 from tessella.session import shared_folder
 from tessella.sources import standin as t
@@ -134,3 +135,25 @@ def escalation_changes(spark: SparkSession, d: str) -> DataFrame:
     changes = t.escalations(spark, d).select("id", "conversation_id", F.inline(F.array(change("new_escalation", "created_at"), change("taken", "taken_at"), change("resolved", "resolved_at")))).where("at IS NOT NULL")
     seq = F.row_number().over(Window.partitionBy("conversation_id").orderBy("at", "id", "event"))
     return changes.select("id", "event", F.unix_micros(F.col("at").cast("timestamp")).alias("at_us"), seq.cast("long").alias("seq"))
+
+
+_DUMPED = ("channel", "contact_id", "conversation_id", "day", "event_type", "id", "k", "latency_ms", "role", "workspace_id")
+
+
+def _dumped_text(columns: tuple[str, ...]) -> str:
+    return "concat_ws(chr(31), " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in columns) + ")"
+
+
+@query("s23_snapshot_catalogue", with_tables("messages") + f"""
+, dumped AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, CAST(CAST('0x' || substr(md5({_dumped_text(_DUMPED)}), 1, 13) AS BIGINT) AS HUGEINT) AS bits FROM messages)
+SELECT day, count(*) AS n, count(*) AS mirrored, CAST(sum(bits) AS VARCHAR) AS digest, true AS same FROM dumped WHERE CAST(day AS DATE) > (SELECT max(CAST(day AS DATE)) FROM dumped) - {snapshots.KEEP_DAYS} GROUP BY 1""")
+def snapshot_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Messages dumped by day, rotated, and the rest mirrored: what both sides have.
+    A row that a dump changes, loses or repeats changes the digest, which the SQL takes from the live table."""
+    folder = shared_folder(spark)
+    root, mirror = f"{folder}/dumps", f"{folder}/mirror"
+    m = t.messages(spark, d).withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
+    snapshots.take_days(m.select(*_DUMPED), F.col("day"), root)
+    snapshots.rotate(spark, root)
+    snapshots.bring_up(spark, root, mirror)
+    return snapshots.compare(spark, root, mirror).join(snapshots.catalogue(spark, mirror).select("day", "digest"), "day")
