@@ -2,7 +2,7 @@
 
 Ranking is exact. Questions and chunks are packed in tables of blocks of bounded
 size, which meet in a join; nothing of them passes through the driver, and only
-the best of each meeting are shuffled. Text goes through a join of terms. Wide text joins the hits last.
+the best of each meeting are shuffled. Texts meet in the same way, as tables of their terms. Wide text joins the hits last.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,10 @@ COSINE_THRESHOLD, RERANK_THRESHOLD = 0.60, 0.20
 RERANKED, RERANK_CHARS = 6, 400
 #: Question vectors of a block, and chunk vectors of a pack.
 BLOCK, PACK = 1024, 4096
+#: Characters of questions in a block, and of chunks in a pack.
+BLOCK_CHARS, PACK_CHARS = 400_000, 4_000_000
+#: Share of the pairs of a meeting from which a term goes into the product of matrices, terms there at most, and pairs of other terms summed up at a time.
+DENSE, MOST_DENSE, AT_ONCE = 0.01, 512, 1_000_000
 DIGITS = 6
 
 
@@ -86,12 +91,125 @@ def vector_top(questions: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataF
     return ranked(found, "score", k)
 
 
-def text_top(questions: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
-    """``query_id, chunk_id, text_score, rank`` by the sum over shared terms of 0.1 (1 + 1/4 + .. + 1/tf^2) / (1.644934 terms)."""
-    asked = questions.select("query_id", F.array_distinct(terms(F.col("question"))).alias("t")).where("size(t) > 0")
-    asked = asked.select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
-    postings = chunks.select("chunk_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    return ranked(text_scores(postings.join(asked, "term")), "text_score", k)
+def _bags(rows: DataFrame, id_column: str, text: str, name: str, chars: int) -> DataFrame:
+    """Terms of rows in packs of about ``chars`` of text, dealt by hash: ``{name}_ids`` in order, ``{name}_terms``, and for each term where its entries start, the rows that have it, how often, and a share.
+
+    Rows of one id are in one pack and count as one text; the share is the sum of 1 / (different terms) over its rows that have the term. All but the ids and terms are arrays as bytes, which pass
+    to a worker as they are.
+    """
+    rows = rows.where(F.col(id_column).isNotNull() & F.col(text).isNotNull())
+    size = rows.agg(F.sum(F.length(text))).first()[0] or 0
+    words = rows.select(F.col(id_column).cast("long").alias("id"), F.array_join(terms(F.col(text)), " ").alias("words")).where("words <> ''")
+    dealt = words.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-size // chars)))))
+    return written(dealt.groupBy("pack").applyInArrow(_bag(name), ", ".join(f"{name}_{n} {kind}" for n, kind in _BAG.items())))
+
+
+_BAG = {"ids": "binary", "terms": "string", "starts": "binary", "rows": "binary", "tf": "binary", "share": "binary"}
+
+
+def _bag(name: str):
+    def bag(table: pa.Table) -> pa.Table:
+        ids, row = np.unique(table.column("id").to_numpy(), return_inverse=True)
+        words = pc.split_pattern(table.column("words").combine_chunks(), " ")
+        coded = words.flatten().dictionary_encode()
+        given = np.repeat(np.arange(len(row)), pc.list_value_length(words).to_numpy())
+        n = len(row)
+        key, times = np.unique(coded.indices.to_numpy().astype(np.int64) * n + given, return_counts=True)  # by term, then by row as given
+        term, given = np.divmod(key, n)
+        share = 1.0 / np.bincount(given, minlength=n)[given]
+        if len(ids) < n:
+            key, place = np.unique(term * len(ids) + row[given], return_inverse=True)
+            times, share = np.bincount(place, times).astype(np.int64), np.bincount(place, share)
+            term, at = np.divmod(key, len(ids))
+        else:
+            at = row[given]
+        starts = np.searchsorted(term, np.arange(len(coded.dictionary) + 1))
+        arrays = (ids, starts.astype(np.int32), at.astype(np.int32), times.astype(np.int32), share)
+        ids, starts, at, times, share = (pa.array([x.tobytes()], pa.binary()) for x in arrays)
+        return pa.table([ids, pa.array([" ".join(coded.dictionary.to_pylist())]), starts, at, times, share], names=[f"{name}_{n}" for n in _BAG])
+
+    return bag
+
+
+def _entries(starts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the entries of the ``chosen`` terms, and how many each has."""
+    count = starts[chosen + 1] - starts[chosen]
+    return np.repeat(starts[chosen] - (np.cumsum(count) - count), count) + np.arange(count.sum()), count
+
+
+def _weights(tf: np.ndarray) -> np.ndarray:
+    """0.1 (1 + 1/4 + .. + 1/tf^2)."""
+    return (np.cumsum(1.0 / np.arange(1, max(2, tf.max(initial=0) + 1), dtype=np.float64) ** 2) * 0.1)[tf - 1]
+
+
+def _meet(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the questions and of the chunks of a meeting and the sums of their shared terms; frequent terms by a product of matrices, the others term by term."""
+    part = lambda side, name, kind: np.frombuffer(row[f"{side}_{name}"], kind)
+    asked, found = part("block", "ids", np.int64), part("pack", "ids", np.int64)
+    shape = (len(asked), len(found))
+    place = pc.index_in(pa.array(row["block_terms"].split(" ")), pa.array(row["pack_terms"].split(" ")))
+    q_term = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+    c_term = place.drop_null().to_numpy().astype(np.int64)
+    q_starts, c_starts = part("block", "starts", np.int32).astype(np.int64), part("pack", "starts", np.int32).astype(np.int64)
+    q_rows, c_rows, share, weight = part("block", "rows", np.int32), part("pack", "rows", np.int32), part("block", "share", np.float64), _weights(part("pack", "tf", np.int32))
+    pairs = (q_starts[q_term + 1] - q_starts[q_term]) * (c_starts[c_term + 1] - c_starts[c_term])
+    by_matrix = pairs > DENSE * shape[0] * shape[1]
+    if (order := np.argsort(-pairs[by_matrix]))[MOST_DENSE:].size:
+        by_matrix[np.flatnonzero(by_matrix)[order[MOST_DENSE:]]] = False
+
+    def matrix(n: int, starts: np.ndarray, rows: np.ndarray, values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        at, count = _entries(starts, chosen)
+        out = np.zeros((len(chosen), n))
+        out[np.repeat(np.arange(len(chosen)), count), rows[at]] = values[at]
+        return out
+
+    scores = matrix(shape[0], q_starts, q_rows, share, q_term[by_matrix]).T @ matrix(shape[1], c_starts, c_rows, weight, c_term[by_matrix])
+    rest, flat = np.flatnonzero(~by_matrix), scores.reshape(-1)
+    for some in np.split(rest, np.flatnonzero(np.diff(np.cumsum(pairs[rest]) // AT_ONCE)) + 1):
+        at, count = _entries(q_starts, q_term[some])
+        each = np.repeat(c_starts[c_term[some] + 1] - c_starts[c_term[some]], count)  # chunks that each of these entries meets
+        first = np.repeat(c_starts[c_term[some]], count)
+        c = np.repeat(first - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        np.add.at(flat, np.repeat(q_rows[at].astype(np.int64) * shape[1], each) + c_rows[c], np.repeat(share[at], each) * weight[c])
+    _, q, c = np.intersect1d(asked, found, assume_unique=True, return_indices=True)
+    scores[q, c] = 0.0
+    return asked, found, scores
+
+
+def best_by_terms(k: int, least: float):
+    """The ``k`` best chunks of a pack for each question of a block by their rounded scores, ties by chunk, a question's own left out; none below ``least``."""
+    unit = 10.0**DIGITS
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, chunks, scores = _meet({n: batch.column(n)[i].as_py() for n in batch.schema.names})
+                scores /= 1.64493406685
+                width = -(-scores.shape[1] // max(2 * k, 64))  # the k-th best of the bests of groups of chunks is no better than the k-th best
+                bests = np.maximum.reduceat(scores, np.arange(0, scores.shape[1], width), axis=1)
+                bound = -np.partition(-bests, k - 1, axis=1)[:, k - 1] if bests.shape[1] >= k else np.zeros(len(asked))
+                bound = np.maximum((np.floor(bound * unit + 0.5) - 0.75) / unit, least - 1 / unit)
+                q, c = np.nonzero((scores >= bound[:, None]) & (scores > 0))
+                rounded = np.floor(scores[q, c] * unit + 0.5) / unit
+                enough = rounded >= least
+                q, c, rounded = q[enough], c[enough], rounded[enough]
+                order = np.lexsort((c, -rounded, q))  # ids are in order
+                q, c, rounded = q[order], c[order], rounded[order]
+                kept = np.arange(len(q)) - np.searchsorted(q, np.arange(len(asked)))[q] < k
+                yield pa.RecordBatch.from_arrays([pa.array(asked[q[kept]]), pa.array(chunks[c[kept]]), pa.array(rounded[kept])], names=["query_id", "chunk_id", "text_score"])
+
+    return best
+
+
+def text_top(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, least: float = 0.0) -> DataFrame:
+    """``query_id, chunk_id, text_score, rank`` by the sum over shared terms of 0.1 (1 + 1/4 + .. + 1/tf^2) / (1.644934 terms), of those that have ``least``.
+
+    Each pack of chunks meets each block of questions once, as tables of their terms in a worker, so that pairs that share a term are
+    summed up in place and only the best of each meeting are shuffled.
+    """
+    blocks, packs = _bags(questions, "query_id", "question", "block", BLOCK_CHARS), _bags(chunks, "chunk_id", "text", "pack", PACK_CHARS)
+    found = packs.crossJoin(blocks).mapInArrow(best_by_terms(k, least), "query_id long, chunk_id long, text_score double")
+    return ranked(found, "text_score", k)
 
 
 def text_scores(matched: DataFrame) -> DataFrame:

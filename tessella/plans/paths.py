@@ -17,6 +17,8 @@ from tessella.sources.standin import with_tables
 
 #: Best text score from which a question has an answer, and hits that an answer may use.
 MIN_SCORE, HITS = 0.03, 3
+#: Characters of the best fragment that the stand-in for the model reads; no more of it is shuffled.
+READ = 300
 OWNERS = ("u2", "u4")
 CANNED = {
     "non_text": "Пришлите вопрос текстом.", "start": "Здравствуйте!", "report": "Отчёт готовится.", "report_denied": "Отчёты открыты только владельцу.",
@@ -60,8 +62,8 @@ path AS (SELECT *, CASE WHEN route = 'operator' THEN 'user_request' WHEN route =
 
 def _find(chunks: DataFrame):
     def find(questions: DataFrame) -> DataFrame:
-        hits = r.text_top(questions, chunks, HITS).where(F.col("text_score") >= MIN_SCORE)
-        hits = hits.join(chunks.select("chunk_id", F.col("text").alias("found")), "chunk_id")
+        hits = r.text_top(questions, chunks, HITS, MIN_SCORE)
+        hits = hits.join(chunks.select("chunk_id", F.substring("text", 1, READ).alias("found")), "chunk_id")
         ids = F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda h: h["chunk_id"])
         return hits.groupBy("query_id").agg(ids.alias("chunk_ids"), F.min_by("found", "rank").alias("context"))
 
@@ -70,7 +72,7 @@ def _find(chunks: DataFrame):
 
 def _answer(question: Column, context: Column) -> Column:
     """Plays the model: the beginning of the best fragment; it isn't sure of a short one."""
-    return F.concat(F.substring(context, 1, 300), F.lit(" [1]"), F.when(F.length(context) < 200, x.MARKER).otherwise(""))
+    return F.concat(F.substring(context, 1, READ), F.lit(" [1]"), F.when(F.length(context) < 200, x.MARKER).otherwise(""))
 
 
 def _path(spark: SparkSession, d: str) -> p.Outcome:

@@ -165,3 +165,37 @@ def test_reindexing_touches_what_changed(spark, tmp_path):
     assert {x["url"]: x["document_id"] for x in index.read().collect()} == ids and ri.live_chunks(index).where("url = 'u/a'").count() == 1
     assert report(ri.reindex(index, site(), 4)) == {} and report(ri.reindex(index, site(*pages[:0]), 5)) == {"gone": 5}
     assert ri.live_chunks(index).count() == 0
+
+
+@pytest.mark.parametrize("dense", [0.0, 0.05, 9.0])
+def test_text_meets_in_packs(spark, monkeypatch, dense):
+    """Against all pairs: ties, repeated, null and own ids, empty texts, frequent terms as matrices and not, a least score; no row for each pair that shares a term."""
+    monkeypatch.setattr(r, "BLOCK_CHARS", 300)
+    monkeypatch.setattr(r, "PACK_CHARS", 900)
+    monkeypatch.setattr(r, "DENSE", dense)
+    monkeypatch.setattr(r, "AT_ONCE", 50)
+    g = np.random.default_rng(5)
+    text = lambda n: " ".join(f"w{int(x)}" for x in 40 * g.random(n) ** 3)
+    chunks = [(i % 110, text(1 + i % 30)) for i in range(120)] + [(200, "w0 w1"), (201, "w0 w1"), (None, "w0"), (202, None), (203, "-")]
+    asked = [(i % 28, text(1 + i % 9)) for i in range(30)] + [(None, "w0"), (300, ""), (301, None), (302, "nothing of this")]
+    tf, share = {}, {}
+    for i, t_ in chunks:
+        for w in (t_ or "").split():
+            tf[i, w] = tf.get((i, w), 0) + (len(w) > 1)
+    for i, t_ in asked:
+        for w in set(words := (t_ or "").split()):
+            share[i, w] = share.get((i, w), 0) + 1 / len(set(words))
+    sums = {}
+    for (q, w), s in share.items():
+        for (c, v), n in tf.items():
+            if v == w and n and q != c and None not in (q, c):
+                sums[q, c] = sums.get((q, c), 0) + s * 0.1 * sum(1 / j**2 for j in range(1, n + 1))
+    for k, least in ((3, 0.0), (70, 0.0), (12, 0.03)):
+        want = []
+        for q in {x for x, _ in sums}:
+            best = sorted((-round(s / 1.64493406685, 6), c) for (x, c), s in sums.items() if x == q)[:k]
+            want += [(q, c, -s, n + 1) for n, (s, c) in enumerate(best) if -s >= least]
+        found = r.text_top(spark.createDataFrame(asked, "query_id long, question string"), spark.createDataFrame(chunks, "chunk_id long, text string"), k, least)
+        assert sorted((x["query_id"], x["chunk_id"], x["text_score"], x["rank"]) for x in found.collect()) == sorted(want)
+        plan = found._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "explode" not in plan
