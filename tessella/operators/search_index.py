@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import terms
 from tessella.operators.retrieval import BLOCK, PACK, TOP_K, nearest, ranked, text_scores
+from tessella.session import written
 
 #: Rows that centres are fitted on, by order of the hash of their ID, and rows of these that measure how many cells a question needs.
 SAMPLE, MEASURED = 16_384, 256
@@ -28,6 +29,8 @@ MOST_CELLS = 4096
 TARGET = 0.95
 #: Postings of a term in a row, and folders that terms are dealt to by hash.
 POSTINGS, BUCKETS = 4096, 64
+#: Characters of texts, and pairs of a term or a question with a chunk, that a task takes; there are more tasks where there is more.
+TASK_CHARS, TASK_PAIRS = 4_000_000, 500_000
 
 
 def _usable(rows: DataFrame, id_column: str) -> DataFrame:
@@ -131,6 +134,10 @@ def open_vector_index(spark: SparkSession, path: str) -> VectorIndex:
     return VectorIndex(path, np.array([r["centre"] for r in rows]), rows[0]["probes"])
 
 
+def _parts(size: int, of_a_task: int) -> int:
+    return max(1, -(-size // of_a_task))
+
+
 def _bucket(term: str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
@@ -144,12 +151,16 @@ def append_postings(chunks: DataFrame, path: str, batch: int = 0) -> None:
     A row has up to about POSTINGS chunks of one term; a term that more chunks have is dealt to
     several rows by hash, so that no term is collected as a whole.
     """
-    counts = chunks.where("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), F.explode(terms(F.col("text"))).alias("term"))
-    counts = counts.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    texts = chunks.where("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), "text")
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    counts = texts.repartition(_parts(size, TASK_CHARS), "chunk_id").select("chunk_id", F.explode(terms(F.col("text"))).alias("term"))
+    counts = written(counts.groupBy("chunk_id", "term").agg(F.count("*").alias("tf")))
+    parts = _parts(counts.count(), TASK_PAIRS)
     often = counts.groupBy("term").agg(F.ceil(F.count("*") / POSTINGS).cast("int").alias("parts")).where("parts > 1")
     dealt = counts.join(often, "term", "left").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.coalesce("parts", F.lit(1))))
-    rows = dealt.groupBy("term", "part").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "tf"))).alias("postings"))
-    rows.select("term", "postings", _bucket("term").alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("term", "part"), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
+    rows = dealt.repartition(parts, "term", "part").groupBy("term", "part").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "tf"))).alias("postings"))
+    rows = rows.select("term", "postings", _bucket("term").alias("bucket")).repartition(min(parts, BUCKETS * 8), "bucket", F.pmod(F.xxhash64("term", "part"), F.lit(8)))
+    rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
 
 
 def indexed_text_top(questions: DataFrame, path: str, k: int = TOP_K) -> DataFrame:
@@ -157,5 +168,7 @@ def indexed_text_top(questions: DataFrame, path: str, k: int = TOP_K) -> DataFra
     asked = questions.select("query_id", F.array_distinct(terms(F.col("question"))).alias("t")).where("size(t) > 0")
     asked = asked.select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term")).withColumn("bucket", _bucket("term"))
     postings = questions.sparkSession.read.schema(_POSTING_SCHEMA).parquet(path)
-    matched = postings.join(asked, ["bucket", "term"]).select("query_id", "n_terms", F.inline("postings"))
-    return ranked(text_scores(matched), "text_score", k)
+    matched = postings.join(asked, ["bucket", "term"])
+    pairs = matched.agg(F.sum(F.size("postings"))).first()[0] or 0
+    dealt = matched.select("query_id", "n_terms", F.inline("postings")).repartition(_parts(pairs, TASK_PAIRS), "query_id", "chunk_id")
+    return ranked(text_scores(dealt), "text_score", k)

@@ -199,3 +199,18 @@ def test_text_meets_in_packs(spark, monkeypatch, dense):
         assert sorted((x["query_id"], x["chunk_id"], x["text_score"], x["rank"]) for x in found.collect()) == sorted(want)
         plan = found._jdf.queryExecution().toString()
         assert "MapInArrow" in plan and "explode" not in plan
+
+
+def test_tasks_of_the_index_follow_the_input(spark, tmp_path, monkeypatch):
+    """Texts, postings and pairs are dealt to as many tasks as their size asks for, not to a fixed number."""
+    c, q = t.chunks(spark, DATA), t.questions(spark, DATA)
+    size = c.agg(F.sum(F.length("text"))).first()[0]
+    monkeypatch.setattr(ix, "TASK_CHARS", size // 7)
+    monkeypatch.setattr(ix, "TASK_PAIRS", 900)
+    dealt = []
+    deal = type(c).repartition
+    monkeypatch.setattr(type(c), "repartition", lambda self, n, *cols: dealt.append((n, cols)) or deal(self, n, *cols))
+    ix.append_postings(c, f"file://{tmp_path}/p")
+    got = ix.indexed_text_top(q, f"file://{tmp_path}/p")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, r.text_top(q, c).collect()))
+    assert [n for n, _ in dealt][0] == 8 and all(n > 8 for n, cols in dealt if cols[0] in ("term", "query_id"))
