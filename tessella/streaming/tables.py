@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: A commit's file lists so many folders at most.
 BUCKETS = 64
+#: Bytes of files that a task merges.
+TASK_BYTES = 16_000_000
 _BUCKET = "bucket_of_key"
 
 
@@ -78,28 +80,37 @@ class KeyedTable:
     def _bucket(self) -> Any:
         return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
 
-    def apply(self, rows: DataFrame, batch: int, before_commit: Callable[[], None] | None = None) -> bool:
+    def _size(self, path: str) -> int:
+        return self._fs.getContentSummary(self._hadoop(path)).getLength()
+
+    def apply(self, rows: DataFrame | None, batch: int, before_commit: Callable[[], None] | None = None, staged: str | None = None) -> bool:
         """Merge ``rows`` as number ``batch``; whether they were new. Rows with a null in the key belong to the key that has it.
 
         Rows of a key combine before the shuffle, so that a key with a third of all rows is no
-        larger than others. Only buckets with a changed key are written anew.
+        larger than others. Only buckets with a changed key are written anew, by as many tasks as their size asks for.
+        ``staged`` is a folder in which the caller has written ``rows`` as Parquet, with one row for each key; it stays.
         """
         last = self.commit()
         if batch <= last.batch:
             return False
         columns = self._read([]).columns
         latest = F.max_by(F.struct(*columns), F.struct(*self.order, *columns))
-        new = rows.select(*columns).groupBy(*self.key).agg(latest.alias("r")).select("r.*").withColumn(_BUCKET, self._bucket())
         name = f"{last.version + 1:012d}-{uuid.uuid4().hex}"
-        staged = f"{self.path}/staged/{name}"
-        new.write.parquet(staged)  # read twice: for its buckets, and to be merged
-        new = self.spark.read.parquet(staged)
+        if not (own := staged):
+            own = f"{self.path}/staged/{name}"
+            rows.select(*columns).groupBy(*self.key).agg(latest.alias("r")).select("r.*").write.parquet(own)  # read twice: for its buckets, and to be merged
+        new = self.spark.read.schema(self.schema).parquet(own).withColumn(_BUCKET, self._bucket())
         touched = sorted(str(r[_BUCKET]) for r in new.select(_BUCKET).distinct().collect())  # as many as buckets
         if touched:
-            kept = self._read([last.folders[b] for b in touched if b in last.folders])
-            merged = kept.unionByName(new.select(*columns)).groupBy(*self.key).agg(latest.alias("r")).select("r.*")
-            merged.withColumn(_BUCKET, self._bucket()).repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.path}/data/{name}")
-        self._fs.delete(self._hadoop(staged), True)
+            folders = [last.folders[b] for b in touched if b in last.folders]
+            tasks = -(-(self._size(own) + sum(self._size(f"{self.path}/data/{f}") for f in folders)) // TASK_BYTES)
+            # each side has a key once at most, so that rows can be dealt by bucket before they are merged, and aren't shuffled again
+            piece = F.pmod(F.xxhash64(F.lit(1), *self.key), F.lit(-(-tasks // len(touched)))).alias("piece")
+            both = self._read(folders).unionByName(new.select(*columns)).select("*", self._bucket().alias(_BUCKET), piece).repartition(tasks, _BUCKET, "piece")
+            merged = both.groupBy(_BUCKET, "piece", *self.key).agg(latest.alias("r")).select("r.*", _BUCKET) if folders else both.drop("piece")
+            merged.write.partitionBy(_BUCKET).parquet(f"{self.path}/data/{name}")
+        if not staged:
+            self._fs.delete(self._hadoop(own), True)
         if before_commit:
             before_commit()
         self._publish(Commit(last.version + 1, batch, last.folders | {b: f"{name}/{_BUCKET}={b}" for b in touched}))

@@ -214,3 +214,26 @@ def test_tasks_of_the_index_follow_the_input(spark, tmp_path, monkeypatch):
     got = ix.indexed_text_top(q, f"file://{tmp_path}/p")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, r.text_top(q, c).collect()))
     assert [n for n, _ in dealt][0] == 8 and all(n > 8 for n, cols in dealt if cols[0] in ("term", "query_id"))
+
+
+def test_reindexing_shuffles_texts_once(spark, tmp_path, monkeypatch):
+    """What is written between the steps has no texts of unchanged documents; two addresses with one document id keep their own chunks; of repeated addresses the least counts."""
+    from tessella.streaming import tables
+
+    monkeypatch.setattr(tables, "TASK_BYTES", 2000)  # a bucket by several tasks
+    kept, put = [], ri.written
+    monkeypatch.setattr(ri, "written", lambda df: kept.append(df.columns) or put(df))
+    site = lambda *x: spark.createDataFrame(list(x), "url string, title string, text string, document_id long")
+    pages = [(f"u/{i}", "T", f"text of {i} " * 40, i) for i in range(60)]
+    index = ri.document_index(spark, f"file://{tmp_path}/i", buckets=2)
+    ri.reindex(index, site(*pages, ("u/x", "T", "one", 1), ("u/y", "T", "b", 5), ("u/y", "T", "a", 6), ("u/y", None, "c", 7)), 1)
+    assert all("text" not in columns for columns in kept)
+    texts = {}
+    for x in ri.live_chunks(index).collect():
+        texts.setdefault(x["url"], []).append((x["document_id"], x["text"].split("\n")[1]))
+    assert texts["u/x"] == [(1, "one")] and texts["u/1"] == [(1, ("text of 1 " * 40).strip())] and texts["u/y"] == [(7, "c")] and len(texts) == 62
+    assert spark.read.parquet(f"file://{tmp_path}/i/data").count() == 62
+    files = len({x[0] for x in index.read().select(F.input_file_name()).distinct().collect()})
+    assert files > 2
+    assert {x["status"]: x["documents"] for x in ri.reindex(index, site(*pages), 2).collect()} == {"unchanged": 60, "gone": 2}
+    assert index.read().count() == 62 and index.read().where("NOT live").count() == 2
