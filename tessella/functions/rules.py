@@ -7,10 +7,13 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessella.functions.text import FILLERS, GREETINGS, MARKER, THANKS
+from tessella.operators.batches import some
 
 # What is masked and how it is written; separators of cards and of phones.
 CARD_SEPARATORS = "[ \t.\u00a0-]"
@@ -98,7 +101,10 @@ def split_visible(buffer: str) -> tuple[str, str]:
 
 
 def _vectorized(f: Callable[[str | None], str | None]) -> Callable[[Column], Column]:
-    return F.pandas_udf(lambda s: pd.Series([f(x) for x in s], dtype="object"), "string")  # type: ignore[call-overload]
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], pa.string()), *(pa.array(map(f, part.to_pylist()), pa.string()) for part in some(texts, pc.binary_length(texts)))])
+
+    return F.arrow_udf(of, "string")  # type: ignore[call-overload]
 
 
 def collapse_repeats_column(text: Column) -> Column:
