@@ -23,8 +23,8 @@ COSINE_THRESHOLD, RERANK_THRESHOLD = 0.60, 0.20
 RERANKED, RERANK_CHARS = 6, 400
 #: Question vectors of a block, and chunk vectors of a pack.
 BLOCK, PACK = 1024, 4096
-#: Characters of questions in a block, and of chunks in a pack.
-BLOCK_CHARS, PACK_CHARS = 400_000, 4_000_000
+#: Characters of terms of questions in a block, and of chunks in a pack; questions of a block that are scored at a time.
+BLOCK_CHARS, PACK_CHARS, SLICE = 1_600_000, 4_000_000, 2048
 #: Share of the pairs of a meeting from which a term goes into the product of matrices, terms there at most, and pairs of other terms summed up at a time.
 DENSE, MOST_DENSE, AT_ONCE = 0.01, 512, 1_000_000
 DIGITS = 6
@@ -91,17 +91,22 @@ def vector_top(questions: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataF
     return ranked(found, "score", k)
 
 
-def _bags(rows: DataFrame, id_column: str, text: str, name: str, chars: int) -> DataFrame:
-    """Terms of rows in packs of about ``chars`` of text, dealt by hash: ``{name}_ids`` in order, ``{name}_terms``, and for each term where its entries start, the rows that have it, how often, and a share.
+def _bags(rows: DataFrame, id_column: str, text: str, name: str, chars: int) -> tuple[DataFrame, int]:
+    """Terms of rows in packs of about ``chars`` of terms, dealt by hash: ``name`` (number of the pack), ``{name}_ids`` in order, ``{name}_terms``, and for each term where its entries start, the rows that have it, how often, and a share;
+    and how many packs.
 
     Rows of one id are in one pack and count as one text; the share is the sum of 1 / (different terms) over its rows that have the term. All but the ids and terms are arrays as bytes, which pass
-    to a worker as they are.
+    to a worker as they are. Texts are cut into terms once, after the joins that made ``rows``: a condition on
+    the terms would be taken before them, on texts that they leave out, and once more behind them. They are dealt before that,
+    as a join may leave them where they were read, most of them in one task.
     """
     rows = rows.where(F.col(id_column).isNotNull() & F.col(text).isNotNull())
-    size = rows.agg(F.sum(F.length(text))).first()[0] or 0
-    words = rows.select(F.col(id_column).cast("long").alias("id"), F.array_join(terms(F.col(text)), " ").alias("words")).where("words <> ''")
-    dealt = words.withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-size // chars)))))
-    return written(dealt.groupBy("pack").applyInArrow(_bag(name), ", ".join(f"{name}_{n} {kind}" for n, kind in _BAG.items())))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(F.col(id_column).cast("long").alias("id"), text, F.xxhash64(id_column).alias("deal")).repartition(tasks, "deal")
+    words = written(dealt.select("id", F.array_join(terms(F.col(text)), " ").alias("words")))
+    count = max(1, -(-(words.agg(F.sum(F.length("words"))).first()[0] or 0) // chars))
+    dealt = words.where("words <> ''").withColumn("pack", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
+    return written(dealt.repartitionById(count, "pack").groupBy("pack").applyInArrow(_bag(name), ", ".join([f"{name} int", *(f"{name}_{n} {kind}" for n, kind in _BAG.items())]))), count
 
 
 _BAG = {"ids": "binary", "terms": "string", "starts": "binary", "rows": "binary", "tf": "binary", "share": "binary"}
@@ -126,7 +131,8 @@ def _bag(name: str):
         starts = np.searchsorted(term, np.arange(len(coded.dictionary) + 1))
         arrays = (ids, starts.astype(np.int32), at.astype(np.int32), times.astype(np.int32), share)
         ids, starts, at, times, share = (pa.array([x.tobytes()], pa.binary()) for x in arrays)
-        return pa.table([ids, pa.array([" ".join(coded.dictionary.to_pylist())]), starts, at, times, share], names=[f"{name}_{n}" for n in _BAG])
+        number = table.column("pack").combine_chunks()[:1]
+        return pa.table([number, ids, pa.array([" ".join(coded.dictionary.to_pylist())]), starts, at, times, share], names=[name, *(f"{name}_{n}" for n in _BAG)])
 
     return bag
 
@@ -142,17 +148,28 @@ def _weights(tf: np.ndarray) -> np.ndarray:
     return (np.cumsum(1.0 / np.arange(1, max(2, tf.max(initial=0) + 1), dtype=np.float64) ** 2) * 0.1)[tf - 1]
 
 
-def _meet(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of the questions and of the chunks of a meeting and the sums of their shared terms; frequent terms by a product of matrices, the others term by term."""
+def _meet(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For SLICE questions of a meeting at a time their ids, those of the chunks and the sums of their shared terms; frequent terms by a product of matrices, the others term by term."""
     part = lambda side, name, kind: np.frombuffer(row[f"{side}_{name}"], kind)
     asked, found = part("block", "ids", np.int64), part("pack", "ids", np.int64)
-    shape = (len(asked), len(found))
     place = pc.index_in(pa.array(row["block_terms"].split(" ")), pa.array(row["pack_terms"].split(" ")))
     q_term = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
     c_term = place.drop_null().to_numpy().astype(np.int64)
-    q_starts, c_starts = part("block", "starts", np.int32).astype(np.int64), part("pack", "starts", np.int32).astype(np.int64)
-    q_rows, c_rows, share, weight = part("block", "rows", np.int32), part("pack", "rows", np.int32), part("block", "share", np.float64), _weights(part("pack", "tf", np.int32))
+    c_starts, c_rows, weight = part("pack", "starts", np.int32).astype(np.int64), part("pack", "rows", np.int32), _weights(part("pack", "tf", np.int32))
+    starts, rows, shares = part("block", "starts", np.int32), part("block", "rows", np.int32), part("block", "share", np.float64)
+    for begin in range(0, len(asked), SLICE):
+        mine = (rows >= begin) & (rows < begin + SLICE)
+        q_starts = np.concatenate([[0], np.cumsum(mine)])[starts]
+        scores = _sums(q_starts, rows[mine] - begin, shares[mine], q_term, c_starts, c_rows, weight, c_term, (len(asked[begin : begin + SLICE]), len(found)))
+        _, q, c = np.intersect1d(asked[begin : begin + SLICE], found, assume_unique=True, return_indices=True)
+        scores[q, c] = 0.0
+        yield asked[begin : begin + SLICE], found, scores
+
+
+def _sums(q_starts, q_rows, share, q_term, c_starts, c_rows, weight, c_term, shape: tuple[int, int]) -> np.ndarray:
+    """Sums of share times weight over the terms ``q_term`` of questions, which are ``c_term`` of chunks."""
     pairs = (q_starts[q_term + 1] - q_starts[q_term]) * (c_starts[c_term + 1] - c_starts[c_term])
+    q_term, c_term, pairs = q_term[pairs > 0], c_term[pairs > 0], pairs[pairs > 0]
     by_matrix = pairs > DENSE * shape[0] * shape[1]
     if (order := np.argsort(-pairs[by_matrix]))[MOST_DENSE:].size:
         by_matrix[np.flatnonzero(by_matrix)[order[MOST_DENSE:]]] = False
@@ -171,9 +188,7 @@ def _meet(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first = np.repeat(c_starts[c_term[some]], count)
         c = np.repeat(first - (np.cumsum(each) - each), each) + np.arange(each.sum())
         np.add.at(flat, np.repeat(q_rows[at].astype(np.int64) * shape[1], each) + c_rows[c], np.repeat(share[at], each) * weight[c])
-    _, q, c = np.intersect1d(asked, found, assume_unique=True, return_indices=True)
-    scores[q, c] = 0.0
-    return asked, found, scores
+    return scores
 
 
 def best_by_terms(k: int, least: float):
@@ -183,20 +198,20 @@ def best_by_terms(k: int, least: float):
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                asked, chunks, scores = _meet({n: batch.column(n)[i].as_py() for n in batch.schema.names})
-                scores /= 1.64493406685
-                width = -(-scores.shape[1] // max(2 * k, 64))  # the k-th best of the bests of groups of chunks is no better than the k-th best
-                bests = np.maximum.reduceat(scores, np.arange(0, scores.shape[1], width), axis=1)
-                bound = -np.partition(-bests, k - 1, axis=1)[:, k - 1] if bests.shape[1] >= k else np.zeros(len(asked))
-                bound = np.maximum((np.floor(bound * unit + 0.5) - 0.75) / unit, least - 1 / unit)
-                q, c = np.nonzero((scores >= bound[:, None]) & (scores > 0))
-                rounded = np.floor(scores[q, c] * unit + 0.5) / unit
-                enough = rounded >= least
-                q, c, rounded = q[enough], c[enough], rounded[enough]
-                order = np.lexsort((c, -rounded, q))  # ids are in order
-                q, c, rounded = q[order], c[order], rounded[order]
-                kept = np.arange(len(q)) - np.searchsorted(q, np.arange(len(asked)))[q] < k
-                yield pa.RecordBatch.from_arrays([pa.array(asked[q[kept]]), pa.array(chunks[c[kept]]), pa.array(rounded[kept])], names=["query_id", "chunk_id", "text_score"])
+                for asked, chunks, scores in _meet({n: batch.column(n)[i].as_py() for n in batch.schema.names}):
+                    scores /= 1.64493406685
+                    width = -(-scores.shape[1] // max(2 * k, 64))  # the k-th best of the bests of groups of chunks is no better than the k-th best
+                    bests = np.maximum.reduceat(scores, np.arange(0, scores.shape[1], width), axis=1)
+                    bound = -np.partition(-bests, k - 1, axis=1)[:, k - 1] if bests.shape[1] >= k else np.zeros(len(asked))
+                    bound = np.maximum((np.floor(bound * unit + 0.5) - 0.75) / unit, least - 1 / unit)
+                    q, c = np.nonzero((scores >= bound[:, None]) & (scores > 0))
+                    rounded = np.floor(scores[q, c] * unit + 0.5) / unit
+                    enough = rounded >= least
+                    q, c, rounded = q[enough], c[enough], rounded[enough]
+                    order = np.lexsort((c, -rounded, q))  # ids are in order
+                    q, c, rounded = q[order], c[order], rounded[order]
+                    kept = np.arange(len(q)) - np.searchsorted(q, np.arange(len(asked)))[q] < k
+                    yield pa.RecordBatch.from_arrays([pa.array(asked[q[kept]]), pa.array(chunks[c[kept]]), pa.array(rounded[kept])], names=["query_id", "chunk_id", "text_score"])
 
     return best
 
@@ -205,10 +220,10 @@ def text_top(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, least: flo
     """``query_id, chunk_id, text_score, rank`` by the sum over shared terms of 0.1 (1 + 1/4 + .. + 1/tf^2) / (1.644934 terms), of those that have ``least``.
 
     Each pack of chunks meets each block of questions once, as tables of their terms in a worker, so that pairs that share a term are
-    summed up in place and only the best of each meeting are shuffled.
+    summed up in place and only the best of each meeting are shuffled. A pack is a task, so that none waits for another's.
     """
-    blocks, packs = _bags(questions, "query_id", "question", "block", BLOCK_CHARS), _bags(chunks, "chunk_id", "text", "pack", PACK_CHARS)
-    found = packs.crossJoin(blocks).mapInArrow(best_by_terms(k, least), "query_id long, chunk_id long, text_score double")
+    (blocks, _), (packs, count) = _bags(questions, "query_id", "question", "block", BLOCK_CHARS), _bags(chunks, "chunk_id", "text", "pack", PACK_CHARS)
+    found = packs.repartitionById(count, "pack").drop("pack").crossJoin(blocks.drop("block")).mapInArrow(best_by_terms(k, least), "query_id long, chunk_id long, text_score double")
     return ranked(found, "text_score", k)
 
 

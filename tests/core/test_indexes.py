@@ -237,3 +237,23 @@ def test_reindexing_shuffles_texts_once(spark, tmp_path, monkeypatch):
     assert files > 2
     assert {x["status"]: x["documents"] for x in ri.reindex(index, site(*pages), 2).collect()} == {"unchanged": 60, "gone": 2}
     assert index.read().count() == 62 and index.read().where("NOT live").count() == 2
+
+
+def test_texts_are_cut_once_and_packs_have_tasks(spark, monkeypatch):
+    """Terms are cut behind the joins, without a condition that is taken on texts which no join keeps; each pack is a task of its own, and blocks in slices find the same."""
+    c, q = t.chunks(spark, DATA), t.questions(spark, DATA)
+    want = sorted(map(tuple, r.text_top(q, c, 5).collect()))
+    kept, put = [], r.written
+    monkeypatch.setattr(r, "written", lambda df: kept.append(df) or put(df))
+    monkeypatch.setattr(r, "SLICE", 7)
+    monkeypatch.setattr(r, "PACK_CHARS", 20_000)
+    found = r.text_top(q, c, 5)
+    assert sorted(map(tuple, found.collect())) == want
+    cut = [str(df._jdf.queryExecution().optimizedPlan()).splitlines() for df in kept]
+    assert sum("regexp_extract_all" in line for plan in cut for line in plan) == 2
+    assert not any("regexp_extract_all" in line and "Filter" in line for plan in cut for line in plan)
+    packs = [df for df in kept if "pack_ids" in df.columns][0]
+    n = packs.select("pack").distinct().count()
+    assert n > 4 and n == packs.count()
+    dealt = put(packs).repartitionById(n, "pack").select(F.spark_partition_id().alias("task")).distinct().count()
+    assert dealt == n and "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
