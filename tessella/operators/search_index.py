@@ -142,13 +142,13 @@ def _bucket(term: str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-_POSTING_SCHEMA = "term string, postings array<struct<chunk_id:bigint,tf:bigint>>, batch long, bucket int"
+_POSTING_SCHEMA = "term string, n int, postings array<struct<chunk_id:bigint,tf:bigint>>, batch long, bucket int"
 
 
 def append_postings(chunks: DataFrame, path: str, batch: int = 0) -> None:
     """Write the postings of ``chunks`` (``chunk_id``, ``text``) as ``batch`` of the index below ``path``; a batch written again replaces itself.
 
-    A row has up to about POSTINGS chunks of one term; a term that more chunks have is dealt to
+    A row has up to about POSTINGS chunks of one term, ``n`` says how many; a term that more chunks have is dealt to
     several rows by hash, so that no term is collected as a whole.
     """
     texts = chunks.where("chunk_id IS NOT NULL").select(F.col("chunk_id").cast("long").alias("chunk_id"), "text")
@@ -156,10 +156,10 @@ def append_postings(chunks: DataFrame, path: str, batch: int = 0) -> None:
     counts = texts.repartition(_parts(size, TASK_CHARS), "chunk_id").select("chunk_id", F.explode(terms(F.col("text"))).alias("term"))
     counts = written(counts.groupBy("chunk_id", "term").agg(F.count("*").alias("tf")))
     parts = _parts(counts.count(), TASK_PAIRS)
-    often = counts.groupBy("term").agg(F.ceil(F.count("*") / POSTINGS).cast("int").alias("parts")).where("parts > 1")
+    often = written(counts.groupBy("term").agg(F.ceil(F.count("*") / POSTINGS).cast("int").alias("parts")).where("parts > 1"))  # its size is known to the join, which needn't sort counts
     dealt = counts.join(often, "term", "left").withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.coalesce("parts", F.lit(1))))
     rows = dealt.repartition(parts, "term", "part").groupBy("term", "part").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "tf"))).alias("postings"))
-    rows = rows.select("term", "postings", _bucket("term").alias("bucket")).repartition(min(parts, BUCKETS * 8), "bucket", F.pmod(F.xxhash64("term", "part"), F.lit(8)))
+    rows = rows.select("term", F.size("postings").alias("n"), "postings", _bucket("term").alias("bucket")).repartition(min(parts, BUCKETS * 8), "bucket", F.pmod(F.xxhash64("term", "part"), F.lit(8)))
     rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}")
 
 
@@ -168,7 +168,8 @@ def indexed_text_top(questions: DataFrame, path: str, k: int = TOP_K) -> DataFra
     asked = questions.select("query_id", F.array_distinct(terms(F.col("question"))).alias("t")).where("size(t) > 0")
     asked = asked.select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term")).withColumn("bucket", _bucket("term"))
     postings = questions.sparkSession.read.schema(_POSTING_SCHEMA).parquet(path)
-    matched = postings.join(asked, ["bucket", "term"])
-    pairs = matched.agg(F.sum(F.size("postings"))).first()[0] or 0
+    pairs = postings.join(asked, ["bucket", "term"]).agg(F.sum("n")).first()[0] or 0
+    parts = _parts(postings.agg(F.sum("n")).first()[0] or 0, TASK_PAIRS)
+    matched = postings.repartition(parts, "bucket", "term").join(asked.repartition(parts, "bucket", "term"), ["bucket", "term"])
     dealt = matched.select("query_id", "n_terms", F.inline("postings")).repartition(_parts(pairs, TASK_PAIRS), "query_id", "chunk_id")
     return ranked(text_scores(dealt), "text_score", k)

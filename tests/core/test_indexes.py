@@ -257,3 +257,21 @@ def test_texts_are_cut_once_and_packs_have_tasks(spark, monkeypatch):
     assert n > 4 and n == packs.count()
     dealt = put(packs).repartitionById(n, "pack").select(F.spark_partition_id().alias("task")).distinct().count()
     assert dealt == n and "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postings_meet_questions_by_size(spark, tmp_path, monkeypatch):
+    """Frequent terms are joined as a table of known size, so that the counts aren't sorted by term in a fixed number of tasks; postings and questions meet in as many tasks as there are postings."""
+    c, q, path = t.chunks(spark, DATA), t.questions(spark, DATA), f"file://{tmp_path}/p"
+    monkeypatch.setattr(ix, "TASK_PAIRS", 900)
+    monkeypatch.setattr(ix, "POSTINGS", 20)
+    kept, put, dealt, deal = [], ix.written, [], type(c).repartition
+    monkeypatch.setattr(ix, "written", lambda df: kept.append(df.columns) or put(df))
+    monkeypatch.setattr(type(c), "repartition", lambda self, n, *cols: dealt.append((n, cols)) or deal(self, n, *cols))
+    ix.append_postings(c, path)
+    assert ["term", "parts"] in kept
+    rows = spark.read.parquet(path)
+    assert rows.where("n <> size(postings)").count() == 0
+    total = rows.agg(F.sum("n")).first()[0]
+    got = ix.indexed_text_top(q, path)
+    assert [n for n, cols in dealt if all(isinstance(x, str) for x in cols) and cols == ("bucket", "term")] == [-(-total // 900)] * 2
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, r.text_top(q, c).collect()))
