@@ -61,8 +61,8 @@ def normalize(text: Column) -> Column:
 
 def smalltalk(text: Column) -> Column:
     """``greeting``, ``thanks`` or ``farewell`` where that is the whole message, else null."""
-    plain = normalize(text)
-    return F.when(plain.isin(*GREETINGS), "greeting").when(plain.isin(*THANKS), "thanks").when(plain.isin(*FAREWELL), "farewell")
+    kinds = {phrase: kind for kind, phrases in (("farewell", FAREWELL), ("thanks", THANKS), ("greeting", GREETINGS)) for phrase in phrases}
+    return F.create_map(*[F.lit(v) for pair in kinds.items() for v in pair])[normalize(text)]  # one look, so that the text is normalised once
 
 
 def is_affirmation(text: Column) -> Column:

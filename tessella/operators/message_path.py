@@ -53,11 +53,10 @@ class Outcome:
         """``conversation_id, answer_to, role, text, text_masked, chunk_ids`` to append: each message that is no command, and its reply."""
         saved = self.decisions.where(~F.col("route").isin(*COMMANDS))
         none = F.array().cast("array<long>")
-        row = lambda role, text, masked, chunks: F.struct(F.lit(role).alias("role"), text.alias("text"), masked.alias("text_masked"), chunks.alias("chunk_ids"))
-        asked = row("user", F.col("text"), F.col("text_masked"), none)
-        sent = F.when(F.col("route") != "silent", row("assistant", F.col("reply"), F.col("reply_masked"), F.coalesce("chunk_ids", none)))
-        both = saved.withColumn("reply_masked", mask(F.col("reply"))).select("conversation_id", F.col("id").alias("answer_to"), F.explode(F.array_compact(F.array(asked, sent))).alias("m"))
-        return both.select("conversation_id", "answer_to", "m.*")
+        both = saved.withColumn("role", F.explode(F.when(F.col("route") == "silent", F.array(F.lit("user"))).otherwise(F.array(F.lit("user"), F.lit("assistant")))))
+        of = lambda asked, sent: F.when(F.col("role") == "user", asked).otherwise(sent)
+        text, masked, chunks = of(F.col("text"), F.col("reply")), of(F.col("text_masked"), mask(F.col("reply"))), of(none, F.coalesce("chunk_ids", none))
+        return both.select("conversation_id", F.col("id").alias("answer_to"), "role", text.alias("text"), masked.alias("text_masked"), chunks.alias("chunk_ids"))
 
     @property
     def escalations(self) -> DataFrame:
@@ -115,10 +114,11 @@ def handle_messages(
         return spark.read.schema(df.schema).parquet(folder)
 
     is_owner, is_held = owners.select("external_id").distinct().withColumn("owner", F.lit(True)), held.select("conversation_id").distinct().withColumn("held", F.lit(True))
-    rows = incoming.select("id", "conversation_id", "channel", "external_id", "text").join(is_owner, "external_id", "left").join(is_held, "conversation_id", "left")
-    rows = rows.withColumn("text_masked", mask(F.coalesce("text", F.lit("")))).withColumn("route", _command(F.coalesce("owner", F.lit(False))))
-    chat = F.when(F.col("held"), "silent").when(x.wants_operator(F.col("text")), "operator").when(x.smalltalk(F.col("text")).isNotNull(), "smalltalk")
-    rows = written(rows.withColumn("route", F.coalesce("route", chat)).drop("owner", "held"))
+    wish = F.when(x.wants_operator(F.col("text")), "operator").when(x.smalltalk(F.col("text")).isNotNull(), "smalltalk")
+    rows = incoming.select("id", "conversation_id", "channel", "external_id", "text", mask(F.coalesce("text", F.lit(""))).alias("text_masked"), wish.alias("wish"))  # where the rows are read, in many tasks
+    rows = rows.join(is_owner, "external_id", "left").join(is_held, "conversation_id", "left")
+    route = F.coalesce(_command(F.coalesce("owner", F.lit(False))), F.when(F.col("held"), "silent"), "wish")
+    rows = written(rows.withColumn("route", route).drop("owner", "held", "wish"))
 
     found = find(rows.where("route IS NULL").select(F.col("id").alias("query_id"), F.col("text_masked").alias("question")).distinct())
     found = found.select(F.col("query_id").alias("id"), "chunk_ids", "context")

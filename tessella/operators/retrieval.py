@@ -8,10 +8,12 @@ the best of each meeting are shuffled. Texts meet in the same way, as tables of
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +25,10 @@ COSINE_THRESHOLD, RERANK_THRESHOLD = 0.60, 0.20
 RERANKED, RERANK_CHARS = 6, 400
 #: Question vectors of a block, and chunk vectors of a pack.
 BLOCK, PACK = 1024, 4096
-#: Characters of terms of questions in a block, and of chunks in a pack; questions of a block that are scored at a time.
-BLOCK_CHARS, PACK_CHARS, SLICE = 1_600_000, 4_000_000, 2048
+#: Characters of terms of questions in a block, and of chunks in a pack; questions of a block that are scored at a time, and cells of a matrix at most.
+BLOCK_CHARS, PACK_CHARS, SLICE, CELLS = 4_000_000, 4_000_000, 2048, 4_000_000
 #: Share of the pairs of a meeting from which a term goes into the product of matrices, terms there at most, and pairs of other terms summed up at a time.
-DENSE, MOST_DENSE, AT_ONCE = 0.01, 512, 1_000_000
+DENSE, MOST_DENSE, AT_ONCE = 0.004, 512, 200_000
 DIGITS = 6
 
 
@@ -149,7 +151,7 @@ def _weights(tf: np.ndarray) -> np.ndarray:
 
 
 def _meet(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For SLICE questions of a meeting at a time their ids, those of the chunks and the sums of their shared terms; frequent terms by a product of matrices, the others term by term."""
+    """For at most SLICE questions of a meeting at a time their ids, those of the chunks and the sums of their shared terms; frequent terms by a product of matrices, the others term by term."""
     part = lambda side, name, kind: np.frombuffer(row[f"{side}_{name}"], kind)
     asked, found = part("block", "ids", np.int64), part("pack", "ids", np.int64)
     place = pc.index_in(pa.array(row["block_terms"].split(" ")), pa.array(row["pack_terms"].split(" ")))
@@ -157,13 +159,14 @@ def _meet(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     c_term = place.drop_null().to_numpy().astype(np.int64)
     c_starts, c_rows, weight = part("pack", "starts", np.int32).astype(np.int64), part("pack", "rows", np.int32), _weights(part("pack", "tf", np.int32))
     starts, rows, shares = part("block", "starts", np.int32), part("block", "rows", np.int32), part("block", "share", np.float64)
-    for begin in range(0, len(asked), SLICE):
-        mine = (rows >= begin) & (rows < begin + SLICE)
+    size = max(1, min(SLICE, CELLS // max(1, len(found))))
+    for begin in range(0, len(asked), size):
+        mine = (rows >= begin) & (rows < begin + size)
         q_starts = np.concatenate([[0], np.cumsum(mine)])[starts]
-        scores = _sums(q_starts, rows[mine] - begin, shares[mine], q_term, c_starts, c_rows, weight, c_term, (len(asked[begin : begin + SLICE]), len(found)))
-        _, q, c = np.intersect1d(asked[begin : begin + SLICE], found, assume_unique=True, return_indices=True)
+        scores = _sums(q_starts, rows[mine] - begin, shares[mine], q_term, c_starts, c_rows, weight, c_term, (len(asked[begin : begin + size]), len(found)))
+        _, q, c = np.intersect1d(asked[begin : begin + size], found, assume_unique=True, return_indices=True)
         scores[q, c] = 0.0
-        yield asked[begin : begin + SLICE], found, scores
+        yield asked[begin : begin + size], found, scores
 
 
 def _sums(q_starts, q_rows, share, q_term, c_starts, c_rows, weight, c_term, shape: tuple[int, int]) -> np.ndarray:
@@ -171,8 +174,8 @@ def _sums(q_starts, q_rows, share, q_term, c_starts, c_rows, weight, c_term, sha
     pairs = (q_starts[q_term + 1] - q_starts[q_term]) * (c_starts[c_term + 1] - c_starts[c_term])
     q_term, c_term, pairs = q_term[pairs > 0], c_term[pairs > 0], pairs[pairs > 0]
     by_matrix = pairs > DENSE * shape[0] * shape[1]
-    if (order := np.argsort(-pairs[by_matrix]))[MOST_DENSE:].size:
-        by_matrix[np.flatnonzero(by_matrix)[order[MOST_DENSE:]]] = False
+    if (order := np.argsort(-pairs[by_matrix]))[(most := min(MOST_DENSE, CELLS // max(shape))) :].size:
+        by_matrix[np.flatnonzero(by_matrix)[order[most:]]] = False
 
     def matrix(n: int, starts: np.ndarray, rows: np.ndarray, values: np.ndarray, chosen: np.ndarray) -> np.ndarray:
         at, count = _entries(starts, chosen)
@@ -191,21 +194,37 @@ def _sums(q_starts, q_rows, share, q_term, c_starts, c_rows, weight, c_term, sha
     return scores
 
 
+def _reaching(scores: np.ndarray, k: int, bound: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the scores that reach the bound for the ``k`` best of their row; only groups of columns whose best reaches it are looked through.
+
+    The bests of the groups are taken in one pass, and the k-th of them is no better than the k-th best.
+    """
+    n = scores.shape[1]
+    width = min(n, max(2 * k, 64))
+    whole = n // width * width
+    bests = scores[:, :whole].reshape(len(scores), -1, width).max(axis=1)  # column c is in group c % width
+    np.maximum(bests[:, : n - whole], scores[:, whole:], out=bests[:, : n - whole])
+    least = bound(-np.partition(-bests, k - 1, axis=1)[:, k - 1] if width >= k else np.zeros(len(scores)))
+    q, group = np.nonzero(bests >= least[:, None])
+    c = group[:, None] + np.arange(0, n, width)
+    reach = (c < n) & (scores[q[:, None], np.minimum(c, n - 1)] >= least[q, None])
+    return np.repeat(q, reach.sum(axis=1)), c[reach]
+
+
 def best_by_terms(k: int, least: float):
     """The ``k`` best chunks of a pack for each question of a block by their rounded scores, ties by chunk, a question's own left out; none below ``least``."""
-    unit = 10.0**DIGITS
+    unit, whole = 10.0**DIGITS, 1.64493406685
+
+    def bound(kth: np.ndarray) -> np.ndarray:
+        """Of sums, so low that rounding takes none of the best away; above 0."""
+        return np.maximum(np.maximum((np.floor(kth / whole * unit + 0.5) - 0.75) / unit, least - 1 / unit) * whole, 1e-12)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 for asked, chunks, scores in _meet({n: batch.column(n)[i].as_py() for n in batch.schema.names}):
-                    scores /= 1.64493406685
-                    width = -(-scores.shape[1] // max(2 * k, 64))  # the k-th best of the bests of groups of chunks is no better than the k-th best
-                    bests = np.maximum.reduceat(scores, np.arange(0, scores.shape[1], width), axis=1)
-                    bound = -np.partition(-bests, k - 1, axis=1)[:, k - 1] if bests.shape[1] >= k else np.zeros(len(asked))
-                    bound = np.maximum((np.floor(bound * unit + 0.5) - 0.75) / unit, least - 1 / unit)
-                    q, c = np.nonzero((scores >= bound[:, None]) & (scores > 0))
-                    rounded = np.floor(scores[q, c] * unit + 0.5) / unit
+                    q, c = _reaching(scores, k, bound)
+                    rounded = np.floor(scores[q, c] / whole * unit + 0.5) / unit
                     enough = rounded >= least
                     q, c, rounded = q[enough], c[enough], rounded[enough]
                     order = np.lexsort((c, -rounded, q))  # ids are in order
@@ -222,7 +241,9 @@ def text_top(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, least: flo
     Each pack of chunks meets each block of questions once, as tables of their terms in a worker, so that pairs that share a term are
     summed up in place and only the best of each meeting are shuffled. A pack is a task, so that none waits for another's.
     """
-    (blocks, _), (packs, count) = _bags(questions, "query_id", "question", "block", BLOCK_CHARS), _bags(chunks, "chunk_id", "text", "pack", PACK_CHARS)
+    sides = (questions, "query_id", "question", "block", BLOCK_CHARS), (chunks, "chunk_id", "text", "pack", PACK_CHARS)
+    with ThreadPoolExecutor(2) as pool:  # neither needs the other's tables
+        (blocks, _), (packs, count) = pool.map(inheritable_thread_target(questions.sparkSession)(lambda side: _bags(*side)), sides)
     found = packs.repartitionById(count, "pack").drop("pack").crossJoin(blocks.drop("block")).mapInArrow(best_by_terms(k, least), "query_id long, chunk_id long, text_score double")
     return ranked(found, "text_score", k)
 

@@ -60,10 +60,10 @@ path AS (SELECT *, CASE WHEN route = 'operator' THEN 'user_request' WHEN route =
 """
 
 
-def _find(chunks: DataFrame):
+def _find(chunks: DataFrame, heads: DataFrame):
     def find(questions: DataFrame) -> DataFrame:
         hits = r.text_top(questions, chunks, HITS, MIN_SCORE)
-        hits = hits.join(chunks.select("chunk_id", F.substring("text", 1, READ).alias("found")), "chunk_id")
+        hits = hits.join(heads.select("chunk_id", F.col("text").alias("found")), "chunk_id")
         ids = F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))), lambda h: h["chunk_id"])
         return hits.groupBy("query_id").agg(ids.alias("chunk_ids"), F.min_by("found", "rank").alias("context"))
 
@@ -83,7 +83,7 @@ def _path(spark: SparkSession, d: str) -> p.Outcome:
     )
     held = turns.where("role = 'system'").select(F.col("conv_id").alias("conversation_id"))
     owners = incoming.where(F.col("external_id").isin(*OWNERS)).select("external_id")
-    return p.handle_messages(incoming, held, owners, _find(t.chunks(spark, d)), _answer, CANNED)
+    return p.handle_messages(incoming, held, owners, _find(t.chunks(spark, d), t.chunks(spark, d, READ)), _answer, CANNED)
 
 
 @query("r09_path_replies", _PATH + "SELECT id, channel, external_id, reply AS text FROM path WHERE route <> 'silent'")

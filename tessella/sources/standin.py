@@ -81,9 +81,10 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("conversation_id"), "turn", "role", "text")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with text and vector; ``label`` plays the document."""
+def chunks(spark: SparkSession, sf_dir: str, read: int | None = None) -> DataFrame:
+    """Chunks with text and vector; ``label`` plays the document. With ``read`` the beginning of the text, cut before the join."""
     docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    docs = docs.withColumn("text", F.substring("text", 1, read)) if read else docs
     return docs.join(vectors, docs["doc_id"] == vectors["vec_id"]).select(
         F.col("doc_id").alias("chunk_id"), F.col("label").alias("document_id"), F.col("lang").alias("workspace"), F.col("source").alias("title"), "text", "embedding"
     )

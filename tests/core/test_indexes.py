@@ -1,6 +1,7 @@
 """Indexes of vectors and texts against the exact ways, tables kept by key through stops and replays, and re-indexing."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,22 @@ def test_text_meets_in_packs(spark, monkeypatch, dense):
         assert "MapInArrow" in plan and "explode" not in plan
 
 
+def test_cells_of_a_meeting_are_bounded(monkeypatch):
+    """Very many short texts in a pack take fewer questions at a time; only groups of columns whose best counts are looked through, whatever the number of columns."""
+    g = np.random.default_rng(3)
+    for n in (1, 2, 5, 63, 64, 65, 200):
+        scores = np.round(g.random((40, n)) * (g.random((40, n)) < 0.7), 2)
+        q, c = r._reaching(scores, 3, lambda kth: np.maximum(kth, 0.3))
+        kth = np.maximum(np.sort(scores, axis=1)[:, -3], 0.3) if n >= 3 else np.full(40, 0.3)
+        assert {(a, b) for a, b in zip(*np.nonzero(scores >= kth[:, None]))} <= set(zip(q, c)) and len(set(zip(q, c))) == len(q)
+    bag = lambda name, texts: {k: v[0] for k, v in r._bag(name)(pa.table({"pack": pa.array([0] * len(texts), pa.int32()), "id": range(len(texts)), "words": texts})).to_pydict().items()}
+    row = bag("block", [f"w{i % 7} w{i % 5}" for i in range(30)]) | bag("pack", [f"w{i % 9}" for i in range(50)])
+    whole = np.concatenate([scores for _, _, scores in r._meet(row)])
+    monkeypatch.setattr(r, "CELLS", 210)
+    parts = [scores for _, _, scores in r._meet(row)]
+    assert [len(x) for x in parts] == [4] * 7 + [2] and np.allclose(np.concatenate(parts), whole)
+
+
 def test_tasks_of_the_index_follow_the_input(spark, tmp_path, monkeypatch):
     """Texts, postings and pairs are dealt to as many tasks as their size asks for, not to a fixed number."""
     c, q = t.chunks(spark, DATA), t.questions(spark, DATA)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import message_path as p
 from tessella.plans.paths import CANNED
+from tessella.sources import standin
 
 INCOMING = "id long, conversation_id long, channel string, external_id string, text string"
 STORY = "Вклад открывают в отделении или в приложении, ставка двенадцать процентов годовых, срок от трёх месяцев, досрочно без потери"
@@ -73,3 +74,15 @@ def test_commands_and_masks(spark):
 def test_empty_batch(spark):
     out = _run(spark, [])
     assert [t.count() for t in (out.replies, out.messages, out.escalations, out.audit, out.links)] == [0] * 5
+
+
+def test_only_what_is_asked_for_is_made(spark):
+    """Messages without their masked texts mask no reply; beginnings of chunks are cut before the join that deals them."""
+    out = _run(spark, [(1, 1, "widget", "a", "q"), (2, 1, "widget", "a", "спасибо"), (3, 2, "widget", "b", "Спасибо!"), (4, 2, "widget", "b", None)], held=[2], context={"q": STORY})
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan(out.messages) and "regexp_replace" not in plan(out.messages.select("conversation_id", "answer_to", "role", "text", "chunk_ids"))
+    assert sorted((m["answer_to"], m["role"], m["text"], m["chunk_ids"]) for m in out.messages.collect()) == [
+        (1, "assistant", STORY, [7, 8]), (1, "user", "q", []), (2, "assistant", CANNED["smalltalk"], []), (2, "user", "спасибо", []), (3, "user", "Спасибо!", []), (4, "user", None, [])
+    ]
+    lines = plan(standin.chunks(spark, "/root/testdata/sf0.001", 20)).splitlines()
+    assert min(i for i, line in enumerate(lines) if "substring" in line) > min(i for i, line in enumerate(lines) if "Join" in line)
